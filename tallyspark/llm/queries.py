@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import quality
+from tallyspark.llm import bytebpe, dedup, packing, quality, sharding, urls
 from tallyspark.llm.common import table
 
 
@@ -16,6 +17,35 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("left_share", 6).alias("left_share"), F.size("removed").cast("long").alias("n_removed_lines"))
 
 
+def op7_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.with_slots(sharding.kd_shards(table(spark, sf_dir, "documents"), shards=16))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.filter("toxic IS NOT NULL OR quality IS NOT NULL").select("doc_id", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
+    found = urls.judge(table(spark, sf_dir, "pages"), bad)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
+
+
+def op5_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
+def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_rules": op3_line_rules,
+    "op5_column_generation": op5_column_generation,
+    "op7_kd_tree": op7_kd_tree,
+    "op8_path_templates": op8_path_templates,
+    "op9_chunked_bpe": op9_chunked_bpe,
+    "op10_chosen_path": op10_chosen_path,
 }
