@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bytebpe, dedup, packing, quality, sharding, urls
+from tallyspark.llm import ann, bytebpe, dedup, packing, privacy, quality, sharding, toxicity, urls
 from tallyspark.llm.common import table
 
 
@@ -29,6 +29,21 @@ def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(privacy.written("base"), 256).alias("base_sha256"), privacy.written("all_spans").alias("spans"))
+
+
+def op4_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op6_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "toxic", *(F.round(f"p_{c}", 6).alias(f"p_{c}") for c in toxicity.CATEGORIES))
+
+
 def op5_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
@@ -42,8 +57,11 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_contextual_pii": op2_contextual_pii,
     "op3_line_rules": op3_line_rules,
+    "op4_anisotropic": op4_anisotropic,
     "op5_column_generation": op5_column_generation,
+    "op6_classifier_chain": op6_classifier_chain,
     "op7_kd_tree": op7_kd_tree,
     "op8_path_templates": op8_path_templates,
     "op9_chunked_bpe": op9_chunked_bpe,
