@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import quality
+from tallyspark.llm import dedup, packing, privacy, quality, toxicity
 from tallyspark.llm.common import stage, table
 
 
@@ -15,10 +16,35 @@ def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.cleaned(docs)
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not judge toxic."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return dedup.one_of_each(docs, width=5, percent=80)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return privacy.redacted(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, placed in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", line_rules),
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_near_duplicates),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
 ]
 
+#: SQL can't express a trained chain, minwise trees or a tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
