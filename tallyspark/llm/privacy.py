@@ -158,6 +158,10 @@ def personal_data(docs: DataFrame, min_seeds: int = 5, threshold: float = 0.8, r
     return joined.select(F.col("s.doc_id").alias("doc_id"), F.col("s.th").alias("th"), "base", spans.alias("all_spans"))
 
 
+def count_of(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
+
+
 def written(spans: str) -> Column:
     """kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"], x["e"])), ",")

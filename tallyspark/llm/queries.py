@@ -31,7 +31,7 @@ def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = privacy.personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS)]
+    counts = [privacy.count_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS)]
     return found.select("doc_id", *counts, F.sha2(privacy.written("base"), 256).alias("base_sha256"), privacy.written("all_spans").alias("spans"))
 
 
