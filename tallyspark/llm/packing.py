@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,11 +23,36 @@ from tallyspark.llm.common import rank_in_groups, stage
 CACHED_WORDS = 300_000
 
 
+#: Parts in these characters bear no normalisation but lower-casing, so their pre-tokens can be encoded one by one.
+PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]*")
+
+
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, others from U+0100 on."""
+    own = [b for b in range(256) if chr(b).isprintable() and b != 0x20 and b != 0xAD]
+    other = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+class Parts(dict):
+    """Encoded parts; a missing one is made and kept."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        made = self[part] = self.make(part)
+        return made
+
+
 class WordEncoder:
     """Ids of whole texts from ids of their blank-separated parts.
 
     The tokenizer drops white space, looks at no character beyond a part and changes none across a blank,
-    so the parts' ids, joined, are the text's ids; parts repeat, so most are found in the cache.
+    so the parts' ids, joined, are the text's ids; parts repeat, so most are found in the cache. New parts
+    of plain characters are encoded by their pre-tokens' bytes with a rank table built from the tokenizer's own
+    vocabulary and merges (byte 0xFF, which no text holds, ends a word); all others by the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,23 +61,48 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = Parts(self.part)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.fast = self.rank_table(spec)
+        if self.fast is not None:
+            self.pretoken = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+
+    @staticmethod
+    def rank_table(spec: dict) -> tiktoken.Encoding | None:
+        """Ranks that are the ids, if ids follow the order of merges; else none, and the tokenizer does it all."""
+        vocabulary, suffix, byte = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or "", byte_of_char()
+        kinds = [n["type"] for n in spec["normalizer"].get("normalizers", [])] if spec.get("normalizer") else []
+        added = {t["content"] for t in spec["added_tokens"]}
+        ranks: dict[bytes, int] = {}
+        for token, i in vocabulary.items():
+            if token in added:
+                continue
+            body, end = (token[: -len(suffix)], b"\xff") if suffix and token.endswith(suffix) and token != suffix else (token, b"")
+            if any(c not in byte for c in body):
+                return None
+            ranks[bytes(byte[c] for c in body) + end] = i
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+        ordered = all(vocabulary[m] == 512 + i for i, m in enumerate(merged))
+        if not suffix or kinds != ["NFC", "Replace", "Lowercase"] or not ordered:
+            return None
+        ranks.setdefault(b"\xff", len(vocabulary) + 1)  # never left over: every byte joins it first
+        return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+
+    def part(self, p: str) -> bytes:
+        if self.fast is not None and PLAIN.fullmatch(p):
+            piece = self.fast._encode_single_piece
+            ids = [i for t in self.pretoken.findall(p.lower()) for i in piece(t.encode() + b"\xff")]
+        else:
+            ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        parts = text.replace("\n", " ").split(" ")
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known.update(found)
-        return b"".join([known[p] for p in parts])
+        return b"".join([known[p] for p in text.replace("\n", " ").split(" ")])
 
 
 @lru_cache(maxsize=2)
