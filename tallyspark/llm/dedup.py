@@ -6,25 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import stage
 from tallyspark.llm.components import components
-from tallyspark.llm.shingles import COORDINATES, minwise, shingle_set, similar
+from tallyspark.llm.shingles import COORDINATES, minwise, shingle_set
 
-#: At similarity 0.8 two texts differ in one of ten of the 64 token bits; more than this many is five deviations off.
-MAX_BITS_APART = 19
+#: Of 64 tokens, at similarity 0.8, the last two bits agree in 54 and all bits in 51; fewer than these are five and four and a half deviations off.
+MIN_ALIKE, MIN_TOKENS = 40, 37
 BATCH_SHINGLES = 400_000
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, one bit of each token, the tokens."""
+    """doc_id, n_shingles, two hashes of the whole set, two bits of each token, the tokens."""
 
     def sign(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
         full = [i for i, s in enumerate(sets) if len(s)]
         n = len(sets)
-        h1, h2, bits = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        h1, h2, bits0, bits1 = (np.zeros(n, np.int64) for _ in range(4))
         tokens: list = [np.empty(0, np.int32)] * n
         if full:
             lengths = np.array([len(sets[i]) for i in full])
@@ -33,10 +33,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             t = minwise(flat, starts)
             h1[full] = np.add.reduceat(flat, starts).view(np.int64)
             h2[full] = np.bitwise_xor.reduceat(flat * np.uint64(0xC2B2AE3D27D4EB4F) ^ (flat >> np.uint64(31)), starts).view(np.int64)
-            bits[full] = ((t & 1).astype(np.uint64) << np.arange(COORDINATES, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+            for k, plane in enumerate((bits0, bits1)):
+                plane[full] = (((t >> k) & 1).astype(np.uint64) << np.arange(COORDINATES, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
             for i, row in zip(full, t.view(np.int32), strict=True):
                 tokens[i] = row
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": [len(s) for s in sets], "h1": h1, "h2": h2, "bits": bits, "tokens": tokens})
+        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": [len(s) for s in sets], "h1": h1, "h2": h2, "bits0": bits0, "bits1": bits1, "tokens": tokens})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list = []
@@ -54,64 +55,126 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             yield sign(ids, sets)
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return columns.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, bits long, tokens array<int>")
+    return columns.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, bits0 long, bits1 long, tokens array<int>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets are similar enough.
+def texts_as_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id and its full shingle set (sorted hashes); several rows with one doc_id give one set."""
 
-    Texts travel to the pairs, not the other way round: only texts that are in a pair are shuffled twice.
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                some = batch.iloc[at : at + 500]
+                yield pd.DataFrame({"id": some["id"], "shingles": [shingle_set(t, width).view(np.int64) for t in some["text"]]})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    return rows.groupBy("id").agg(F.max("text").alias("text")).mapInPandas(read, "id long, shingles array<long>")
+
+
+def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The rows of batches that are sorted by key, re-cut so that no key is split."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[key].to_numpy()
+        last = int(np.searchsorted(k, k[-1]))  # where the last run begins
+        if last or (kept and kept[-1][key].iloc[-1] != k[-1]):
+            yield pd.concat([*kept, batch.iloc[:last]], ignore_index=True)
+            kept = [batch.iloc[last:]]
+        else:
+            kept.append(batch)
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def runs(rows: pd.DataFrame, key: str) -> Iterator[pd.DataFrame]:
+    k = rows[key].to_numpy()
+    edges = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi - lo > 1:
+            yield rows.iloc[lo:hi]
+
+
+def responsible(x: np.ndarray, y: np.ndarray, small_x: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """For each (x, y): no earlier tree has both in one small node. So a pair is compared in one tree only.
+
+    x, y: the trees' tokens, broadcast against each other; small_x: for each x, a bit for each tree whose
+    node of x is small. tree: the tree of the cell, or the number of trees for cells below the first level.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.lit(1).alias("one")).drop("one")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    texts = stage(texts, "dedup")
+    met = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), bool)
+    for t in range(int(tree)):
+        met |= (x[..., t] == y[..., t]) & ((small_x >> t) & 1).astype(bool)
+    return ~met
+
+
+def with_partner(cells: DataFrame) -> DataFrame:
+    """The rows of cells that have a partner there: alike by the token bits and not met in an earlier tree."""
+
+    def flag(rows: pd.DataFrame) -> np.ndarray:
+        b0, b1 = (rows[b].to_numpy().view(np.uint64) for b in ("bits0", "bits1"))
+        hit = np.zeros(len(rows), bool)
+        trees = small = None
+        for at in range(0, len(rows), 256):
+            here = slice(at, at + 256)
+            alike = COORDINATES - np.bitwise_count((b0[here, None] ^ b0[None]) | (b1[here, None] ^ b1[None])).astype(np.int16) >= MIN_ALIKE
+            alike[np.arange(alike.shape[0]), np.arange(at, at + alike.shape[0])] = False
+            i, j = np.nonzero(alike)
+            if len(i):
+                if trees is None:
+                    trees, small = np.stack(rows["trees"].to_numpy()), rows["small"].to_numpy()
+                good = responsible(trees[at + i], trees[j], small[at + i], rows["tree"].iloc[0])
+                hit[at + i[good]] = True
+        return hit
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple = (None, None)
-        for batch in batches:
-            found = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if last[0] != b:
-                    last = (b, shingle_set(y, width))
-                if similar(shingle_set(x, width), last[1], percent):
-                    found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
-
-
-def near(x: Column, y: Column) -> Column:
-    return F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS_APART
-
+        for rows in whole_runs(batches, "cell"):
+            found = [r[["cell", "tree", "id"]][flag(r)] for r in runs(rows, "cell")]
+            if found:
+                yield pd.concat(found)
+
+    placed = cells.repartition("cell").sortWithinPartitions("cell")
+    return placed.mapInPandas(run, "cell long, tree int, id long")
+
+
+def links_in_cells(flagged: DataFrame, sets: DataFrame, signed: DataFrame, percent: int, trees: int) -> DataFrame:
+    """Links (a, b) between rows of a cell, confirmed on full sets; enough to connect what is connected there."""
+
+    def join(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        ids, shingles = rows["id"].to_numpy(), [np.asarray(x).view(np.uint64) for x in rows["shingles"]]  # sorted as unsigned
+        tokens, small, sizes = np.stack(rows["tokens"].to_numpy()), rows["small"].to_numpy(), np.array([len(x) for x in shingles])
+        label, found = np.arange(len(ids)), []
+        for i in range(len(ids)):
+            other = np.flatnonzero((label != label[i]) & (np.arange(len(ids)) > i) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+            other = other[(tokens[other] == tokens[i]).sum(axis=1) >= MIN_TOKENS]
+            other = other[responsible(tokens[i : i + 1, :trees], tokens[other, :trees], small[i : i + 1], rows["tree"].iloc[0])]
+            for at in range(0, len(other), 256):
+                some = other[at : at + 256]
+                flat = np.concatenate([shingles[j] for j in some])
+                place = np.minimum(np.searchsorted(shingles[i], flat), sizes[i] - 1)
+                both = np.add.reduceat((shingles[i][place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+                for j in some[100 * both >= percent * (sizes[i] + sizes[some] - both)]:
+                    if label[j] != label[i]:
+                        found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                        label[label == label[j]] = label[i]
+        return found
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of differently labelled rows that meet in a path of few rows and pass the bit test."""
-    left, right = rows.select("path", F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("label").alias("la")), rows.select("path", F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("label").alias("lb"))
-    return left.join(right, "path").filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & near(F.col("bits_a"), F.col("bits_b"))).select("a", "b")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, "cell"):
+            found = [x for r in runs(rows, "cell") for x in join(r)]
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
+    known = sets.join(signed.select("id", "tokens", "small"), "id")
+    full = flagged.join(known, "id").repartition("cell").sortWithinPartitions("cell", "id")
+    return full.select("cell", "tree", "id", "tokens", "small", "shingles").mapInPandas(run, "a long, b long")
 
-def block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """As cross_pairs, for paths of any size: rows are dealt into blocks and each task compares two blocks.
 
-    Only pairs that pass are written, so nothing grows with the square of a path but the bit tests.
-    """
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+def in_blocks(rows: DataFrame, block: int, weight: int) -> DataFrame:
+    """Cells for nodes of any size: rows are dealt into blocks, and each two blocks meet in a cell."""
+    sizes = rows.groupBy("path").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / weight)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "path").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("path", "id", "bits", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group["mine"] == group["i"]], group[group["mine"] == group["j"]]
-        bits_y, label_y, id_y = y["bits"].to_numpy(), y["label"].to_numpy(), y["id"].to_numpy()
-        found = []
-        for a, bits, label in zip(x["id"].to_numpy(), x["bits"].to_numpy(), x["label"].to_numpy(), strict=True):
-            hit = id_y[(label_y != label) & (np.bitwise_count(bits_y ^ bits) <= MAX_BITS_APART)]
-            found += [(max(a, b), min(a, b)) for b in hit]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return sent.groupBy("path", "i", "j").applyInPandas(compare, "a long, b long")
+    return sent.withColumn("cell", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
 
 
 def branch(rows: DataFrame, chance: float) -> DataFrame:
@@ -124,64 +187,55 @@ def branch(rows: DataFrame, chance: float) -> DataFrame:
     return down.withColumn("path", F.xxhash64("path", "c", F.get("tokens", F.col("c")))).drop("c")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: int = 12, leaf: int = 24, levels: int = 8, two_children: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: int = 12, leaf: int = 1024, leaf_shingles: int = 2_000_000, levels: int = 6, two_children: float = 0.5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
     1. Texts with equal shingle sets form a class; its smallest doc_id stands for it.
-    2. Each of the independent trees deals the representatives by one minwise token. In every node all rows
-       are compared with the smallest id: a linear number of pairs. Passing pairs are confirmed on full sets,
-       for each text its closest partner first, and linked into components.
-    3. Nodes that still hold rows of different components: small ones are compared exhaustively, large ones
-       branch by further tokens, which parts unlike texts and keeps like ones together. What is still
-       large after the last level is compared in blocks, so nothing is cut off.
-    A pair of similarity 0.8 shares a node of a tree with probability 0.8 or more at the first level; twelve trees
-    miss it with less than 1e-8 where nodes are small.
+    2. Each of the independent trees deals the representatives by one minwise token. Small nodes (at most
+       leaf rows and leaf_shingles shingles) are compared exhaustively: bits of the tokens first, which
+       leaves rows with a likely partner, then these rows' full sets. A pair is compared in the first tree in
+       which it shares a small node.
+    3. Larger nodes branch by further tokens, which parts unlike texts and keeps like ones together. What is
+       still large after the last level is compared block by block, so nothing is cut off.
+    4. The confirmed links are closed to components.
+    A pair of similarity 0.8 shares no node of any of twelve trees with a probability below 1e-8.
 
     Null and empty texts have no shingles and stay alone; a null doc_id stays alone and is kept; rows with
-    one doc_id count as one document of all their sets. Ties go to the smaller doc_id.
+    one doc_id count as one document. Ties go to the smaller doc_id.
     """
     signed = stage(signatures(docs, width), "dedup")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    reps = stage(usable.join(classes, ["h1", "h2"]).filter("doc_id = id").select("id", "bits", "tokens").dropDuplicates(["id"]), "dedup")
-    paths = F.array(*(F.xxhash64(F.lit(t), F.col("tokens")[t]) for t in range(trees)))
-    members = reps.select("id", "bits", F.explode(paths).alias("path"))
-    nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "bits")).alias("pivot")).filter("n > 1")
-    shared = stage(members.join(nodes, "path"), "dedup")  # rows that meet another text in some tree
-    star = shared.filter((F.col("id") != F.col("pivot.id")) & near(F.col("bits"), F.col("pivot.bits")))
-    starred = star.select(F.col("id").alias("a"), F.col("pivot.id").alias("b"), F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot.bits"))).alias("apart"))
-    closest = starred.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-    tried = stage(closest, "dedup")
-    links = stage(confirmed(tried, docs, width, percent), "dedup")
-    labels = components(links)
-
-    labelled = shared.select("path", "id", "bits", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("path")
-    open_rows = stage(labelled.join(mixed, "path"), "dedup")
-    pairs = [cross_pairs(open_rows.filter(F.col("n") <= leaf))]
-    large = open_rows.filter(F.col("n") > leaf).drop("n")
-    rows = stage(large.join(reps.select("id", "tokens"), "id"), "dedup")
-    for _ in range(levels):
-        if rows.isEmpty():
-            break
+    reps = usable.join(classes, ["h1", "h2"]).filter("doc_id = id").select("id", "n_shingles", "bits0", "bits1", "tokens").dropDuplicates(["id"])
+    reps = stage(reps, "dedup")
+    paths = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[t]).alias("path")) for t in range(trees)))
+    members = reps.select("id", "n_shingles", F.explode(paths).alias("p")).select("id", "n_shingles", "p.*")
+    is_small = (F.count(F.lit(1)) <= leaf) & (F.sum("n_shingles") <= leaf_shingles)
+    nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), is_small.alias("is_small")).filter("n > 1").drop("n")
+    shared = stage(members.drop("n_shingles").join(nodes, "path"), "dedup")  # rows that meet another text in some tree
+    small = shared.groupBy("id").agg(F.bit_or(F.when(F.col("is_small"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).otherwise(F.lit(0).cast("long"))).alias("small"))
+    marked = stage(reps.join(small, "id"), "dedup")
+    facts = marked.select("id", "bits0", "bits1", F.slice("tokens", 1, trees).alias("trees"), "small")
+    cells = [shared.filter("is_small").select(F.col("path").alias("cell"), "tree", "id")]
+    rows = shared.filter(~F.col("is_small")).select("path", "id").join(marked.select("id", "n_shingles", "tokens"), "id")
+    level = 0
+    while level < levels and not rows.isEmpty():
         down = stage(branch(rows, two_children), "dedup")
-        sizes = down.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("path", "n")
-        still = stage(down.join(sizes, "path"), "dedup")
-        pairs.append(cross_pairs(still.filter(F.col("n") <= leaf)))
-        rows = still.filter(F.col("n") > leaf).drop("n")
-    else:
-        if not rows.isEmpty():
-            pairs.append(block_pairs(rows.drop("tokens"), 512))
-    rest = pairs[0]
-    for more in pairs[1:]:
-        rest = rest.union(more)
-    untried = rest.union(starred.select("a", "b")).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
-    by_a, by_b = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    apart = untried.join(by_a, "a", "left").join(by_b, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    again = stage(apart.join(tried, ["a", "b"], "left_anti"), "dedup")
-    if not again.isEmpty():
-        links = links.union(confirmed(again, docs, width, percent))
-        labels = components(stage(links, "dedup"))
+        sizes = down.groupBy("path").agg(F.count(F.lit(1)).alias("n"), is_small.alias("is_small")).filter("n > 1").drop("n")
+        down = down.join(sizes, "path")
+        cells.append(down.filter("is_small").select(F.col("path").alias("cell"), F.lit(trees).alias("tree"), "id"))
+        rows = stage(down.filter(~F.col("is_small")).drop("is_small"), "dedup")
+        level += 1
+    if not rows.isEmpty():
+        cells.append(in_blocks(rows.drop("tokens"), leaf // 2, leaf_shingles // 2).select("cell", F.lit(trees).alias("tree"), "id"))
+    met = cells[0]
+    for more in cells[1:]:
+        met = met.union(more)
+    flagged = stage(with_partner(met.join(facts, "id")), "dedup")
+    ids = flagged.groupBy("id").agg(F.lit(1).alias("one")).drop("one")
+    sets = stage(texts_as_sets(docs, ids, width), "dedup")
+    labels = components(stage(links_in_cells(flagged, sets, marked, percent, trees), "dedup"))
+
     named = classes.join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_component"))
     of_id = usable.join(named, ["h1", "h2"]).groupBy("doc_id").agg(F.min("class_component").alias("component"))
     s, o = signed.alias("s"), of_id.alias("o")

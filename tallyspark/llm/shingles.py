@@ -44,11 +44,3 @@ def minwise(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
         low ^= low >> np.uint64(32)
         tokens[:, t] = (low * MIX) >> np.uint64(32)
     return tokens
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union."""
-    if not len(a) or not len(b):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
