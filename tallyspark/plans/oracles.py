@@ -148,8 +148,8 @@ cover AS (
   FROM flags GROUP BY query_id)"""
 RENDERED = """rendered AS (
   SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS doc_id, string_agg(line, chr(10) ORDER BY o_orderkey) AS text FROM (
-    SELECT o_orderkey, 'Order total was $' || format('{:,.2f}', round(o_totalprice / 1000, 2)) || CASE WHEN o_orderkey % 4 = 0 THEN ' million, up 12.5%' ELSE ' thousand' END
-      || CASE WHEN o_orderkey % 3 = 0 THEN ' [verified: claim_' || o_orderkey || ']' ELSE '' END || '.' AS line FROM orders) GROUP BY 1)"""
+    SELECT o_orderkey, 'Order total was $' || format('{:,}', CAST(floor(cents / 100000) AS BIGINT)) || '.' || lpad(CAST(CAST(floor(cents / 1000) AS BIGINT) % 100 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey % 4 = 0 THEN ' million, up 12.5%' ELSE ' thousand' END
+      || CASE WHEN o_orderkey % 3 = 0 THEN ' [verified: claim_' || o_orderkey || ']' ELSE '' END || '.' AS line FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)) GROUP BY 1)"""
 SCAN = RENDERED + f""", ln AS (SELECT doc_id, i - 1 AS line_no, trim(l[i]) AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM rendered))),
 nums AS (SELECT *, regexp_extract_all(line, '{rules.FINANCIAL_NUMBER}') AS numbers, list_sort(list_distinct(regexp_extract_all(line, '{rules.VERIFIED_TAG}', 1))) AS tags FROM ln),
 ok AS (SELECT list('claim_' || o_orderkey) AS ids FROM orders WHERE o_orderstatus = 'F'),
@@ -231,7 +231,7 @@ SQL: dict[str, str] = {
       o AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM b) THEN coalesce(kept, '') || chr(10) || chr(10) || 'Numeric guardrail note: unverified financial-number lines were removed before finalization.' ELSE text END AS text FROM rendered LEFT JOIN k USING (doc_id))
       SELECT doc_id, md5(text) AS digest, CAST(len(text) AS BIGINT) AS n_chars FROM o""",
     "stage_guard": f"""WITH {RENDERED}, ln AS (SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM rendered))),
-      v AS (SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS doc_id, unnest([format('{{:.0f}}', x), format('{{:.1f}}', x), format('{{:.2f}}', x), CAST(x AS VARCHAR)]) AS number FROM (SELECT o_orderkey, round(o_totalprice / 1000, 2) AS x FROM orders WHERE o_orderkey % 2 = 0)),
+      v AS (SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS doc_id, unnest([format('{{:.0f}}', x), format('{{:.1f}}', x), format('{{:.2f}}', x), CAST(x AS VARCHAR)]) AS number FROM (SELECT o_orderkey, floor(CAST(round(o_totalprice * 100) AS BIGINT) / 1000) / 100 AS x FROM orders WHERE o_orderkey % 2 = 0)),
       ok AS (SELECT DISTINCT doc_id, number FROM v UNION SELECT DISTINCT doc_id, '12.5' FROM v),
       n AS (SELECT doc_id, line_no, line, replace(trim(number, '$%'), ',', '') AS number FROM (SELECT doc_id, line_no, line, regexp_replace(unnest(regexp_extract_all(line, '(?:^|[^A-Za-z])([-+]?\\$?[0-9][0-9,]*(?:\\.[0-9]+)?%?)', 1)), '^[+]', '+') AS number FROM ln)),
       bad AS (SELECT DISTINCT doc_id, line_no FROM n WHERE NOT (coalesce(try_cast(number AS DOUBLE) = floor(try_cast(number AS DOUBLE)) AND try_cast(number AS DOUBLE) BETWEEN 1900 AND 2100, false)) AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = n.doc_id AND ok.number = n.number)),

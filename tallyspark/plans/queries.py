@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
@@ -262,10 +262,15 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.rewritten(covered(spark, sf_dir), "Issuer", [2023, 2025]).select("query_id", "query", "reason")
 
 
+def cents() -> Column:
+    """An order's price in cents, as a whole number, so that no engine rounds it another way."""
+    return F.round(F.col("o_totalprice") * 100).cast("long")
+
+
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose from orders: ten documents' lines each, some with tags, values in millions and percentages."""
     o = load(spark, sf_dir, "orders")
-    amount = F.format_number(F.round(F.col("o_totalprice") / 1000, 2), 2)
+    amount = F.concat(F.format_number(F.floor(cents() / 100_000), 0), F.lit("."), F.lpad((F.floor(cents() / 1000) % 100).cast("string"), 2, "0"))
     tag = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" [verified: claim_"), F.col("o_orderkey").cast("string"), F.lit("]"))).otherwise(F.lit(""))
     line = F.concat(F.lit("Order total was $"), amount, F.when(F.col("o_orderkey") % 4 == 0, F.lit(" million, up 12.5%")).otherwise(F.lit(" thousand")), tag, F.lit("."))
     key = F.floor(F.col("o_orderkey") / 10).cast("long")
@@ -293,7 +298,7 @@ def guardrail_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
-    allowed = o.filter("o_orderkey % 2 = 0").groupBy(F.floor(F.col("o_orderkey") / 10).cast("long").alias("doc_id")).agg(F.flatten(F.collect_list(guardrail.renderings(F.round(F.col("o_totalprice") / 1000, 2)))).alias("numbers"))
+    allowed = o.filter("o_orderkey % 2 = 0").groupBy(F.floor(F.col("o_orderkey") / 10).cast("long").alias("doc_id")).agg(F.flatten(F.collect_list(guardrail.renderings(F.floor(cents() / 1000) / 100))).alias("numbers"))
     allowed = allowed.withColumn("numbers", F.array_append("numbers", "12.5"))
     return guardrail.stage_guard(rendered(spark, sf_dir), allowed).select("doc_id", "status", F.col("blocked_lines").cast("long"), F.length("text").cast("long").alias("n_chars"))
 
