@@ -21,7 +21,8 @@ WITH d AS (
          md5(trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS k
   FROM (SELECT doc_id, host, text, unnest(l) AS x FROM w)
 ), carried AS (
-  SELECT DISTINCT host, k, text, sig FROM (SELECT host, k, text, min(k) OVER (PARTITION BY doc_id) AS sig FROM lines)
+  SELECT DISTINCT host, k, text, CASE WHEN k = ks[1] THEN coalesce(ks[2], k) ELSE ks[1] END AS sig
+  FROM (SELECT host, k, text, list_sort(list_distinct(list(k) OVER (PARTITION BY doc_id))) AS ks FROM lines)
 ), counts AS (
   SELECT host, k, count(DISTINCT text) AS n_docs, count(DISTINCT sig) AS n_sigs FROM carried GROUP BY 1, 2
 ), hosts AS (

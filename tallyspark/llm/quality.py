@@ -86,10 +86,12 @@ def frequent_lines(measured: DataFrame, min_docs: int, max_share: float, min_var
     """(host, k) of the lines above the limits.
 
     Documents are counted once per distinct text. A line of a family of near copies is no boilerplate, so
-    the carriers' signatures (each text's smallest line key) must vary too. Every grouping is combined on
-    the map side first, so a line that a third of all documents carry costs one row per task.
+    the carriers' signatures (the smallest key of each text's other lines) must vary too. Every grouping is
+    combined on the map side first, so a line that a third of all documents carry costs one row per task.
     """
-    carried = measured.select("host", "th", F.array_min(F.transform("lines", lambda x: x["k"])).alias("sig"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
+    keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["k"])))
+    every = measured.select("host", "th", keys.alias("keys")).select("host", "th", F.get("keys", F.lit(0)).alias("least"), F.get("keys", F.lit(1)).alias("second"), F.explode("keys").alias("k"))
+    carried = every.withColumn("sig", F.when(F.col("k") == F.col("least"), F.coalesce("second", "k")).otherwise(F.col("least")))
     texts = carried.groupBy("host", "k", "sig", "th").agg(F.lit(1).alias("one"))
     families = texts.groupBy("host", "k", "sig").agg(F.count(F.lit(1)).alias("n"))
     lines = families.groupBy("host", "k").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sigs")).filter(F.col("n_docs") > min_docs)
