@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import stage
+
 WORD = re.compile(r"[^\W\d_]+")
 STEM_LENGTHS = (4, 5, 6)
 #: The chain's order. The last is the labelled category; the others refine it, see category_labels.
@@ -82,12 +84,16 @@ def linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 25)
     return w
 
 
-def families(rows: list[np.ndarray]) -> np.ndarray:
-    """For each row, whether it is the first of its near copies: fewer than 5 of 8 minwise features are an earlier row's."""
+def probes_of(features: np.ndarray) -> np.ndarray:
+    """Minwise features of a text; 0 without any."""
     draw = np.random.RandomState(11).randint(1, 2**62, PROBES).astype(np.uint64) | np.uint64(1)
-    probes = np.array([[(r * d).min() if len(r) else 0 for d in draw] for r in rows], np.uint64)
+    return np.array([(features * d).min() for d in draw], np.uint64) if len(features) else np.zeros(PROBES, np.uint64)
+
+
+def families(probes: np.ndarray) -> np.ndarray:
+    """For each row, whether it is the first of its near copies: fewer than 5 of 8 minwise features are an earlier first row's."""
     seen: dict[tuple[int, int], list[int]] = {}
-    first = np.ones(len(rows), bool)
+    first = np.ones(len(probes), bool)
     for i, p in enumerate(probes):
         met = {j for t in range(PROBES) for j in seen.get((t, int(p[t])), ())}
         if any((probes[j] == p).sum() >= 5 for j in met):
@@ -98,17 +104,6 @@ def families(rows: list[np.ndarray]) -> np.ndarray:
     return first
 
 
-def telling_features(rows: list[np.ndarray], toxic: np.ndarray, min_rows: int, min_odds: float, most: int) -> np.ndarray:
-    """Hashes of the features that speak most for the labelled category: log odds times the root of their count."""
-    names, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    hit = np.bincount(inverse, toxic[owner], len(names))
-    clean = np.bincount(inverse, 1 - toxic[owner], len(names))
-    odds = np.log((hit + 0.5) / (toxic.sum() + 1)) - np.log((clean + 0.5) / ((1 - toxic).sum() + 1))
-    good = np.flatnonzero((hit >= min_rows) & (odds >= min_odds))
-    return names[good[np.argsort(-odds[good] * np.sqrt(hit[good]), kind="stable")][:most]]
-
-
 def category_labels(x: np.ndarray, toxic: np.ndarray, is_stem: np.ndarray) -> np.ndarray:
     """Training labels of the chain for labelled rows.
 
@@ -123,18 +118,66 @@ def category_labels(x: np.ndarray, toxic: np.ndarray, is_stem: np.ndarray) -> np
     return np.column_stack([t & words, t & stems & ~words, t & (count > usual), t]).astype(float)
 
 
-def fit(labelled: pd.DataFrame, min_odds: float = 2.5, most: int = 400) -> Chain:
-    """Fit the chain on rows of features (sorted hashes) and toxic (0 or 1)."""
-    rows = [np.asarray(f, np.int64).view(np.uint64) for f in labelled["features"]]
-    toxic = labelled["toxic"].to_numpy().astype(float)
-    first = families(rows)
-    rows, toxic = [r for r, f in zip(rows, first, strict=True) if f], toxic[first]
+def training_rows(docs: DataFrame, labels: DataFrame, rows_each: int) -> DataFrame:
+    """doc_id, toxic, text of at most rows_each labelled documents of either label, those of smallest hashed doc_id."""
+    one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    present = one.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id", F.lit("toxicity")), "doc_id"]
+    chosen = [r for v in (1, 0) for r in present.filter(F.col("toxic") == v).orderBy(*order).limit(rows_each).collect()]
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # at most 2 * rows_each ids
+    return stage(rows.select("doc_id", "toxic", "text"), "toxicity")
+
+
+def fit(sample: DataFrame, min_odds: float = 2.5, most: int = 400) -> Chain:
+    """Fit the chain on a bounded sample (doc_id, toxic, text).
+
+    Texts and their features stay on the executors. To the driver go each row's minwise features, the
+    telling features and each row's places among them.
+    """
+
+    def minwise_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [probes_of(features_of(t)).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "probes": found})
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                some = batch.iloc[at : at + 500]
+                rows = [features_of(t) for t in some["text"]]
+                names, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+                toxic = np.repeat(some["toxic"].to_numpy().astype(float), [len(r) for r in rows])
+                hit = np.bincount(inverse, toxic, len(names)).astype(np.int64)
+                yield pd.DataFrame({"feature": names.view(np.int64), "hit": hit, "n": np.bincount(inverse, minlength=len(names)).astype(np.int64)})
+
+    probed = sample.mapInPandas(minwise_rows, "doc_id long, toxic int, probes array<long>").toPandas().sort_values("doc_id", kind="stable")
+    first = families(np.array(probed["probes"].tolist(), np.int64).reshape(-1, PROBES).view(np.uint64))
+    kept = probed[first]
+    toxic = kept["toxic"].to_numpy().astype(float)
     if not len(toxic) or toxic.min() == toxic.max():  # nothing to tell apart: all probabilities are the label's share
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Chain({}, [np.concatenate([np.zeros(i), [logit(np.array(share))]]) for i in range(len(CATEGORIES))], 0.5)
-    chosen = telling_features(rows, toxic, int(np.clip(toxic.sum() // 100, 3, 8)), min_odds, most)
-    x = np.array([np.isin(chosen, r, assume_unique=True) for r in rows], float).reshape(len(rows), len(chosen))
-    y = category_labels(x, toxic, (chosen & np.uint64(1)).astype(bool))
+    n_toxic, n_clean = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    spark = sample.sparkSession
+    distinct = sample.dropDuplicates(["doc_id"]).join(F.broadcast(spark.createDataFrame([(int(i),) for i in kept["doc_id"].unique()], "doc_id long")), "doc_id")
+    sums = distinct.mapInPandas(counts, "feature long, hit long, n long").groupBy("feature").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    odds = F.log((F.col("hit") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("hit") + 0.5) / (n_clean + 1))
+    telling = sums.withColumn("odds", odds).filter((F.col("hit") >= int(np.clip(n_toxic // 100, 3, 8))) & (F.col("odds") >= min_odds))
+    chosen = [r["feature"] for r in telling.orderBy(F.desc(F.round(F.col("odds") * F.sqrt("hit"), 9)), "feature").limit(most).collect()]
+    columns = {int(np.int64(f).view(np.uint64)): i for i, f in enumerate(chosen)}
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [[columns[h] for h in features_of(t).tolist() if h in columns] for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "places": found})
+
+    placed = distinct.mapInPandas(places, "doc_id long, toxic int, places array<int>").toPandas().sort_values("doc_id", kind="stable")
+    toxic = placed["toxic"].to_numpy().astype(float)
+    x = np.zeros((len(placed), len(chosen)))
+    for i, at in enumerate(placed["places"]):
+        x[i, np.asarray(at, int)] = 1
+    y = category_labels(x, toxic, np.array([h & 1 for h in columns], bool))
     fold = np.arange(len(x)) % FOLDS
     out_of_fold = np.empty((len(x), 0))
     weights = []
@@ -149,30 +192,14 @@ def fit(labelled: pd.DataFrame, min_odds: float = 2.5, most: int = 400) -> Chain
     grid = np.arange(0.2, 0.91, 0.05)
     scores = [2 * ((p >= g) & (toxic == 1)).sum() / max(1, (p >= g).sum() + toxic.sum()) for g in grid]
     best = np.flatnonzero(np.array(scores) >= max(scores) - 1e-9)
-    return Chain({int(h): i for i, h in enumerate(chosen)}, weights, float(grid[best[len(best) // 2]]))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, rows_each: int) -> pd.DataFrame:
-    """Features and label of at most rows_each labelled documents of either label, those of smallest hashed doc_id."""
-    one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    present = one.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    order = [F.xxhash64("doc_id", F.lit("toxicity")), "doc_id"]
-    chosen = [r for v in (1, 0) for r in present.filter(F.col("toxic") == v).orderBy(*order).limit(rows_each).collect()]
-    sample = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "features": [features_of(t).view(np.int64) for t in batch["text"]]})
-
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most 2 * rows_each ids
-    return joined.select("doc_id", "text", "toxic").mapInPandas(read, "doc_id long, toxic int, features array<long>").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    return Chain(columns, weights, float(grid[best[len(best) // 2]]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows_each: int = 2000) -> DataFrame:
     """doc_id, th (hash of the text), a probability for each category, toxic for every row of docs.
 
-    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored. The chain is fitted on the driver on at most
-    2 * rows_each labelled documents; near copies count once there. Whole texts are scored by the presence
+    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored. The chain is fitted on at most 2 * rows_each
+    labelled documents; near copies count once there. Whole texts are scored by the presence
     of telling words and stems. Null or empty texts have no features; without labels of both kinds
     nothing is told apart and every row gets the share of toxic labels (0 without any). Of several labels of a document the greatest counts; a
     null doc_id is carried through; rows with one doc_id are each scored.
