@@ -42,7 +42,7 @@ def narrative_facts(chunks: DataFrame, patterns: list[tuple] = NARRATIVE) -> Dat
     found = []
     for sections, metric, pattern, group, method, confidence, review in patterns:
         regex = F.replace(F.lit(pattern), F.lit("{year}"), F.col("fiscal_year").cast("string"))
-        value = F.regexp_extract(text, regex, group) if "{year}" not in pattern else F.get(F.regexp_extract_all(text, regex, F.lit(group)), F.lit(0))
+        value = F.get(F.regexp_extract_all(text, regex, F.lit(group)), F.lit(0))
         whole = F.get(F.regexp_extract_all(text, regex, F.lit(0)), F.lit(0))
         row = F.struct(F.lit(metric).alias("metric"), value.try_cast("double").alias("value"), whole.alias("source_text"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"), F.lit(review).alias("review_required"))
         found.append(F.when(F.col("section_type").isin(sections), row))

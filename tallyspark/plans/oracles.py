@@ -255,4 +255,10 @@ SQL: dict[str, str] = {
       s AS (SELECT *, CASE WHEN t1 IS NOT NULL THEN 'ticker' WHEN n2 = 1 THEN 'title' WHEN n3 >= 1 THEN 'prefix' WHEN n4 >= 1 THEN 'part' END AS step FROM m),
       r AS (SELECT *, CASE WHEN step IS NULL THEN 'not_found' WHEN (step = 'prefix' AND n3 > 1) OR (step = 'part' AND n4 > 1) THEN 'ambiguous' ELSE 'resolved' END AS status FROM s)
       SELECT query_id, status, CASE WHEN status = 'resolved' THEN CASE step WHEN 'ticker' THEN t1 WHEN 'title' THEN t2 WHEN 'prefix' THEN t3 ELSE t4 END END AS ticker, step FROM r""",
+    "narrative_facts": "SELECT * FROM " + values(fixtures.NARRATIVE_ROWS, "chunk_id, metric, value, confidence, review_required, fact_id"),
+    "compact_evidence": r"""SELECT query_id, pos, chunk_id, substring(trim(regexp_replace(text, '[\t\n\f\r\x0B ]+', ' ', 'g')), 1, 60) AS preview FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS k FROM (SELECT conv_id % 30 AS query_id, conv_id * 1000 + turn AS pos, conv_id || '_' || turn AS chunk_id, text FROM conversations)) WHERE k <= 8""",
+    "parsed_tasks": """WITH m AS (SELECT doc_id AS query_id, list_filter([CASE WHEN NOT contains(lower(text), 'license') THEN 'license' END, CASE WHEN NOT contains(lower(text), 'the') THEN 'the' END, CASE WHEN NOT contains(lower(text), 'und') THEN 'und' END], lambda x: x IS NOT NULL) AS missing FROM documents)
+      SELECT query_id, array_to_string(missing, ',') AS missing, len(missing) = 0 AS accepted FROM m""",
+    "tool_calls": "SELECT user_id AS run, count(*) AS n_calls, string_agg(event_type, ',' ORDER BY event_id) AS names, bool_or(contains(event_type, 'retrieve')) AS used_retrieval FROM events WHERE event_type <> 'click' GROUP BY 1",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
-from tallyspark.operators import entities, evidence, facts, guardrail, ingestion, reports, resolution, retrieval, statements, verification
+from tallyspark.operators import entities, evidence, extraction, facts, guardrail, ingestion, projections, reports, research, resolution, retrieval, statements, verification
 from tallyspark.plans import fixtures, views
 from tallyspark.sources import readers
 from tallyspark.sources.readers import load
@@ -356,6 +356,34 @@ def critic_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.repaired(claims, critic_anti_join(spark, sf_dir)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def narrative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = spark.createDataFrame(fixtures.NARRATIVE_CHUNKS, "company string, chunk_id string, fiscal_year int, section_type string, text string")
+    return extraction.narrative_facts(chunks).select("chunk_id", "metric", "value", "confidence", "review_required", "fact_id")
+
+
+def compact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 30).alias("query_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text")
+    return projections.compact_evidence(turns, 8, 60)
+
+
+def parsed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    out = projections.parsed_tasks(asked, ["license", "the", "und"])
+    return out.select("query_id", F.array_join("missing", ",").alias("missing"), "accepted")
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), F.when(F.col("event_type") != "click", "tool_call").otherwise("text").alias("kind"), F.col("event_type").alias("name"))
+    return projections.tool_calls(e)
+
+
+def research_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.when(F.col("section_type") == "en", "liquidity").when(F.col("section_type") == "de", "debt").otherwise("mda")
+    chunks = views.chunks(spark, sf_dir).withColumn("section_type", kinds)
+    found, _ = research.research(chunks, "licensed under the debt", "Issuer", [2023, 2025], 2)
+    return found.select("chunk_id", F.col("pass").cast("long").alias("pass"), "reranker_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -367,5 +395,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         statement_rule_match, companyfacts_inventory, inline_xbrl_facts, xml_instance, submissions_unnest,
         evidence_coverage, query_rewrite, guardrail_scan, guardrail_report, guardrail_strip, stage_guard,
         evaluation_summary, source_mix, years_complete, chunk_summary, entity_resolve, task_cross, memory_upsert, trace_rollup, critic_anti_join, critic_repair,
+        narrative_facts, compact_evidence, parsed_tasks, tool_calls, research_loop,
     )
 }
