@@ -2,10 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from comparing import DATA
+from comparing import DATA, rows, tables
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, queries
+from tallyspark.llm import ann, oracles, queries
 from tallyspark.llm.common import table
 
 
@@ -25,8 +25,8 @@ def recall(found, expected: dict[int, list[int]]) -> float:
 
 
 def test_query_recall_scores_and_order(spark):
-    rows = table(spark, str(DATA / "sf0.1"), "embeddings").collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    given = table(spark, str(DATA / "sf0.1"), "embeddings").collect()
+    ids, x = np.array([r.vec_id for r in given]), np.array([r.embedding for r in given], float)
     found = queries.op4_anisotropic(spark, str(DATA / "sf0.1")).collect()
     assert recall(found, plain(ids, x, 20)) >= 0.9 and len(found) == 20 * (ids % 20 == 0).sum()
     at = {int(i): v for i, v in zip(ids, x)}
@@ -40,6 +40,11 @@ def test_query_recall_scores_and_order(spark):
         assert all((-a.score, a.vec_id) < (-b.score, b.vec_id) for a, b in zip(group, group[1:]))
 
 
+def test_query_equals_sql(spark):
+    found = queries.op4_anisotropic(spark, str(DATA / "sf0.01")).toPandas()
+    assert rows(found) == rows(tables("sf0.01").execute(oracles.SQL["op4_anisotropic"]).df())
+
+
 def test_blocks_give_the_same_as_one_block(spark):
     vectors = table(spark, str(DATA / "sf0.01"), "embeddings")
     one, many = (sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(vectors, F.col("vec_id") % 20 == 0, **blocks).collect()) for blocks in ({}, {"query_block": 7, "row_block": 60}))
@@ -48,9 +53,9 @@ def test_blocks_give_the_same_as_one_block(spark):
 
 def test_many_equal_vectors_go_by_id(spark):
     draw = np.random.RandomState(3)
-    rows = [(i, [1.0, 0.0, 0.0, 1.0, 0.5] if i % 3 == 0 else draw.randn(5).tolist()) for i in range(600)]
-    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
-    x = np.array([r[1] for r in rows])
+    given = [(i, [1.0, 0.0, 0.0, 1.0, 0.5] if i % 3 == 0 else draw.randn(5).tolist()) for i in range(600)]
+    found = ann.search(spark.createDataFrame(given, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    x = np.array([r[1] for r in given])
     expected = plain(np.arange(600), x, 5)
     assert recall(found, expected) >= 0.95
     top = [r.vec_id for r in sorted((r for r in found if r.query_id == 60), key=lambda r: r.rank)]
@@ -58,8 +63,8 @@ def test_many_equal_vectors_go_by_id(spark):
 
 
 def test_odd_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (20, None), (40, []), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (120, [None, 1.0]), (140, [3.0, 1.0]), (140, [3.0, 1.0]), (1, [1.0, 1.0]), (None, [1.0, 1.0]), (2, [1.0, 2.0, 3.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("code", "qb", "rb", "near", "r", "class_id")})
+    given = [(0, [1.0, 2.0]), (20, None), (40, []), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (120, [None, 1.0]), (140, [3.0, 1.0]), (140, [3.0, 1.0]), (1, [1.0, 1.0]), (None, [1.0, 1.0]), (2, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(given, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("code", "qb", "rb", "near", "r", "class_id")})
     found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(vectors, F.col("vec_id") % 20 == 0).collect())
     assert found == [(0, 1, 140, 5.0), (0, 2, 1, 3.0), (140, 1, 0, 5.0), (140, 2, 1, 4.0)]
     assert ann.search(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0

@@ -4,10 +4,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from comparing import DATA
+from comparing import DATA, rows, tables
 from conftest_llm import ODD, frame, prose
 
-from tallyspark.llm import dedup, queries
+from tallyspark.llm import dedup, oracles, queries
 from tallyspark.llm.common import table
 from tallyspark.llm.components import components
 from tallyspark.llm.shingles import shingle_set
@@ -50,6 +50,11 @@ def test_query_equals_brute_force(spark):
     check(docs, queries.op10_chosen_path(spark, str(DATA / "sf0.001")).collect())
 
 
+def test_query_equals_sql(spark):
+    found = queries.op10_chosen_path(spark, str(DATA / "sf0.001")).toPandas()
+    assert rows(found) == rows(tables("sf0.001").execute(oracles.SQL["op10_chosen_path"]).df())
+
+
 def test_families_near_the_limit(spark):
     base = prose(1, 150).replace("\n", " ")
     docs = family(base, 0, 90, 9) + family(prose(2, 60).replace("\n", " "), 100, 40, 3) + [(200 + i, prose(50 + i, 40), "a") for i in range(40)]
@@ -92,9 +97,9 @@ def test_runs_are_never_cut():
     keys = np.sort(np.random.RandomState(0).randint(0, 40, 300))
     frames = [pd.DataFrame({"cell": keys[i : i + 7]}) for i in range(0, 300, 7)]
     seen: list[int] = []
-    for rows in dedup.whole_runs(iter(frames), "cell"):
-        assert not set(rows["cell"]) & set(seen)
-        seen += rows["cell"].tolist()
+    for run in dedup.whole_runs(iter(frames), "cell"):
+        assert not set(run["cell"]) & set(seen)
+        seen += run["cell"].tolist()
     assert seen == keys.tolist()
 
 
