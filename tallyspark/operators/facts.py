@@ -108,3 +108,18 @@ def year_pairs(facts: DataFrame, keys: list[str], old_year: int, new_year: int)
     both = facts.filter(F.col("fiscal_year").isin(old_year, new_year)).groupBy(*keys)
     paired = both.agg(F.max(F.when(F.col("fiscal_year") == old_year, F.col("value"))).alias("old_value"), F.max(F.when(F.col("fiscal_year") == new_year, F.col("value"))).alias("new_value"))
     return paired.filter("old_value IS NOT NULL AND new_value IS NOT NULL")
+
+
+def first_package_rows(items: DataFrame) -> DataFrame:
+    """Statement rows of each (ticker, fiscal_year) from the first package that has any: the year's own, else the next year's.
+
+    items: ticker, accession, package_year, fiscal_year, pos and more. Rows of other packages are dropped.
+    """
+    near = items.filter((F.col("package_year") == F.col("fiscal_year")) | (F.col("package_year") == F.col("fiscal_year") + 1))
+    first = near.groupBy("ticker", "fiscal_year").agg(F.min(F.struct("package_year", "accession")).alias("p")).select("ticker", "fiscal_year", F.col("p.accession").alias("accession"))
+    return near.join(first, ["ticker", "fiscal_year", "accession"], "left_semi")
+
+
+def default_years(years: Column) -> Column:
+    """The two years that a task takes without a choice: the last two of the descending list."""
+    return F.slice(years, F.greatest(F.size(years) - 1, F.lit(1)), 2)

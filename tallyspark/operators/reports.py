@@ -78,3 +78,52 @@ def ordered_evidence(evidence: DataFrame, limit: int = 12) -> DataFrame:
     priority = F.when(F.col("section_type") == "debt", 0).when(F.col("section_type") == "liquidity", 1).when(F.col("section_type") == "credit_facilities", 2).when(F.col("section_type") == "mda", 3).otherwise(4)
     order = Window.partitionBy("query_id").orderBy("fiscal_year", priority, F.desc("score"), "chunk_id")
     return evidence.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
+#: Word in a metric's name, what a rise means, what a fall means; the first word that occurs decides.
+NOTES = [
+    ("debt", "more leverage or refinancing need", "less debt to carry"),
+    ("cash", "more liquidity at hand", "less liquidity at hand"),
+    ("liquidity", "more liquidity at hand", "less liquidity at hand"),
+    ("equity", "a larger base below creditors", "a smaller base below creditors"),
+    ("income", "more cash from operations", "less cash from operations"),
+    ("earnings", "more cash from operations", "less cash from operations"),
+    ("interest", "a higher cost of financing", "a lower cost of financing"),
+]
+THEME_ITEMS = {
+    "leverage_analysis": "Compare debt with operating income and interest cover.",
+    "debt_liquidity": "Reconcile cash, credit lines and maturities with management's commentary.",
+    "cash_flow_coverage": "Compare cash generation with debt service and capital spending.",
+}
+OTHER_ITEM = "Check commitments off the balance sheet and events after its date."
+
+
+def analyst_note(metric: Column, moved: Column, percent: Column) -> Column:
+    """A sentence on a metric's movement; without a known word it states the movement alone."""
+    name = F.replace(metric, F.lit("_"), F.lit(" "))
+    said = F.concat_ws(" ", name, F.when(moved > 0, "rose").when(moved < 0, "fell").otherwise("did not change"), F.when((moved != 0) & percent.isNotNull(), F.concat(F.lit("by "), F.format_number(F.abs(percent), 2), F.lit("%"))))
+    meaning = F.when(moved == 0, F.lit(None))
+    for word, up, down in NOTES:
+        meaning = meaning.when(F.lower(metric).contains(word), F.when(moved > 0, up).otherwise(down))
+    return F.concat(said, F.coalesce(F.concat(F.lit(": "), meaning), F.lit("")), F.lit("."))
+
+
+def watch_items(register: DataFrame, keys: list[str], theme: str) -> DataFrame:
+    """keys, items: what to look into, one for each adverse or favourable metric in their order, then the theme's."""
+    name = F.replace("metric", F.lit("_"), F.lit(" "))
+    ask = F.when(F.col("signal") == "adverse", F.concat(F.lit("Find what drove "), name, F.lit(" and whether it lasts."))).when(F.col("signal") == "favorable", F.concat(F.lit("Confirm that "), name, F.lit(" is not a matter of timing.")))
+    listed = F.transform(F.sort_array(F.collect_list(F.when(ask.isNotNull(), F.struct("metric", ask.alias("ask"))))), lambda x: x["ask"])
+    return register.groupBy(*keys).agg(F.array_distinct(F.concat(listed, F.array(F.lit(THEME_ITEMS.get(theme, OTHER_ITEM))))).alias("items"))
+
+
+def conclusions(metrics: DataFrame, keys: list[str], theme: str) -> DataFrame:
+    """keys, n_verified, conclusion: whether the theme is supported by verified metrics."""
+    counted = metrics.groupBy(*keys).agg(F.sum((F.col("status") == "verified").cast("long")).alias("n_verified"), F.count(F.lit(1)).alias("n"))
+    said = F.when(F.col("n_verified") == 0, F.lit(f"{theme} cannot be assessed: no verified metric.")).otherwise(F.format_string(f"{theme} rests on %d verified metrics of %d.", "n_verified", "n"))
+    return counted.select(*keys, "n_verified", said.alias("conclusion"))
+
+
+def citations(results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, citations: the distinct citations of all results in the order of pos."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "citations"))), lambda x: x["citations"])
+    return results.groupBy(*keys).agg(F.array_join(F.array_distinct(F.flatten(ordered)), "; ").alias("citations"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyspark.functions import rules
+from tallyspark.operators import reports
 from tallyspark.plans import fixtures, views
 
 
@@ -255,6 +256,10 @@ SQL: dict[str, str] = {
       s AS (SELECT *, CASE WHEN t1 IS NOT NULL THEN 'ticker' WHEN n2 = 1 THEN 'title' WHEN n3 >= 1 THEN 'prefix' WHEN n4 >= 1 THEN 'part' END AS step FROM m),
       r AS (SELECT *, CASE WHEN step IS NULL THEN 'not_found' WHEN (step = 'prefix' AND n3 > 1) OR (step = 'part' AND n4 > 1) THEN 'ambiguous' ELSE 'resolved' END AS status FROM s)
       SELECT query_id, status, CASE WHEN status = 'resolved' THEN CASE step WHEN 'ticker' THEN t1 WHEN 'title' THEN t2 WHEN 'prefix' THEN t3 ELSE t4 END END AS ticker, step FROM r""",
+    "analyst_notes": f"""WITH {REGISTER}, a AS (SELECT entity, metric, absolute_change AS c, replace(metric, '_', ' ') AS name, signal, CASE {" ".join(f"WHEN contains(metric, '{w}') THEN CASE WHEN absolute_change > 0 THEN '{u}' ELSE '{d}' END" for w, u, d in reports.NOTES)} END AS m, percent_change AS p FROM register),
+      n AS (SELECT entity, metric, name || CASE WHEN c > 0 THEN ' rose' WHEN c < 0 THEN ' fell' ELSE ' did not change' END || CASE WHEN c <> 0 AND p IS NOT NULL THEN ' by ' || format('{{:,.2f}}', abs(p)) || '%' ELSE '' END || CASE WHEN c <> 0 AND m IS NOT NULL THEN ': ' || m ELSE '' END || '.' AS note FROM a),
+      i AS (SELECT entity, coalesce(string_agg(CASE signal WHEN 'adverse' THEN 'Find what drove ' || name || ' and whether it lasts.' WHEN 'favorable' THEN 'Confirm that ' || name || ' is not a matter of timing.' END, ' ' ORDER BY metric) || ' ', '') || '{reports.THEME_ITEMS["debt_liquidity"].replace("'", "''")}' AS items FROM a GROUP BY 1)
+      SELECT entity, metric, note, items FROM n JOIN i USING (entity)""",
     "narrative_facts": "SELECT * FROM " + values(fixtures.NARRATIVE_ROWS, "chunk_id, metric, value, confidence, review_required, fact_id"),
     "compact_evidence": r"""SELECT query_id, pos, chunk_id, substring(trim(regexp_replace(text, '[\t\n\f\r\x0B ]+', ' ', 'g')), 1, 60) AS preview FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS k FROM (SELECT conv_id % 30 AS query_id, conv_id * 1000 + turn AS pos, conv_id || '_' || turn AS chunk_id, text FROM conversations)) WHERE k <= 8""",

@@ -356,6 +356,13 @@ def critic_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.repaired(claims, critic_anti_join(spark, sf_dir)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def analyst_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = register(spark, sf_dir)
+    notes = r.select("entity", "metric", reports.analyst_note(F.col("metric"), F.col("absolute_change"), F.col("percent_change")).alias("note"))
+    items = reports.watch_items(r, ["entity"], "debt_liquidity").select("entity", F.array_join("items", " ").alias("items"))
+    return notes.join(items, "entity")
+
+
 def narrative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = spark.createDataFrame(fixtures.NARRATIVE_CHUNKS, "company string, chunk_id string, fiscal_year int, section_type string, text string")
     return extraction.narrative_facts(chunks).select("chunk_id", "metric", "value", "confidence", "review_required", "fact_id")
@@ -395,6 +402,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         statement_rule_match, companyfacts_inventory, inline_xbrl_facts, xml_instance, submissions_unnest,
         evidence_coverage, query_rewrite, guardrail_scan, guardrail_report, guardrail_strip, stage_guard,
         evaluation_summary, source_mix, years_complete, chunk_summary, entity_resolve, task_cross, memory_upsert, trace_rollup, critic_anti_join, critic_repair,
-        narrative_facts, compact_evidence, parsed_tasks, tool_calls, research_loop,
+        analyst_notes, narrative_facts, compact_evidence, parsed_tasks, tool_calls, research_loop,
     )
 }

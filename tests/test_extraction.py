@@ -75,3 +75,16 @@ def test_workspace(spark, tmp_path):
     assert spark.read.json(w.path("numeric_facts")).count() == 2
     with pytest.raises(KeyError):
         w.path("none")
+
+
+def test_citations_packages_years_and_conclusions(spark):
+    from tallyspark.operators import facts, reports
+
+    r = spark.createDataFrame([(1, 1, ["b", "a"]), (1, 0, ["c", "b"])], "k long, pos int, citations array<string>")
+    assert reports.citations(r, ["k"]).first().citations == "c; b; a"
+    items = spark.createDataFrame([("F", "own", 2024, 2024, 1), ("F", "next", 2025, 2024, 1), ("F", "next", 2025, 2023, 2), ("F", "next", 2025, 2025, 3), ("F", "late", 2026, 2022, 4)], "ticker string, accession string, package_year int, fiscal_year int, pos int")
+    assert sorted((x.fiscal_year, x.accession) for x in facts.first_package_rows(items).collect()) == [(2024, "own"), (2025, "next")]
+    years = spark.createDataFrame([([2025, 2024, 2023],), ([2025],), ([],)], "y array<int>").select(facts.default_years(F.col("y"))).collect()
+    assert [x[0] for x in years] == [[2024, 2023], [2025], []]
+    m = spark.createDataFrame([(1, "verified"), (1, "missing"), (2, "missing")], "k long, status string")
+    assert {x.k: x.n_verified for x in reports.conclusions(m, ["k"], "t").collect()} == {1: 1, 2: 0}
