@@ -10,6 +10,10 @@ from tallyspark.functions import rules
 from tallyspark.functions.text import contains_any, phrase_weight, searchable, tokens
 
 
+#: Query terms up to which they are sent to every task: a few MB.
+BROADCAST_TERMS = 100_000
+
+
 def filtered(chunks: DataFrame, fiscal_years: list[int] | None = None, filing_types: list[str] | None = None) -> DataFrame:
     """Chunks of the given years and forms; no filter where a list is missing or empty."""
     if fiscal_years:
@@ -33,14 +37,18 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_n: int, k1: float = rules.BM
     """query_id, chunk_id, score, rank: the top_n chunks of positive score for each query.
 
     Statistics are those of chunks as given, so filter before for statistics of the filtered corpus. A
-    query's repeated term counts as often. Only tokens that some query holds leave the scan: counts by
-    (chunk, term) are combined on the map side, and lengths need no shuffle at all.
+    query's repeated term counts as often. Up to BROADCAST_TERMS query terms go to the tasks, so that only
+    tokens that some query holds leave the scan; counts by (chunk, term) are combined on the map side, and
+    lengths need no shuffle at all.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     docs = document_terms(chunks)
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
     n, mean = corpus["n"], max(corpus["mean"], 1.0)
-    postings = docs.select("chunk_id", "length", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    if terms.count() <= BROADCAST_TERMS:  # else tokens are dealt by term, and AQE splits frequent ones
+        terms = F.broadcast(terms)
+    postings = docs.select("chunk_id", "length", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
     tf = postings.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
