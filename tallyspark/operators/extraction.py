@@ -57,7 +57,7 @@ def tagged_debt_facts(keyed: DataFrame, chunks: DataFrame) -> DataFrame:
     The chunk is the year's first debt chunk that holds "debt payable", else its first debt chunk.
     """
     order = [(m, c, i) for m, found in DEBT_CONCEPTS.items() for i, c in enumerate(found)]
-    table = keyed.sparkSession.createDataFrame(order, "metric string, concept string, priority int")
+    table = F.broadcast(keyed.sparkSession.createDataFrame(order, "metric string, concept string, priority int"))  # a fixed rule table
     best = by_priority(keyed.select("doc_id", F.col("year").alias("fiscal_year"), F.col("key").alias("concept"), "value", F.lit(0).alias("pos")), table, ["doc_id", "fiscal_year"])
     debt = chunks.filter("section_type = 'debt'").withColumn("marked", F.lower("text").contains("debt payable"))
     source = first_in(debt, ["fiscal_year"], [F.desc("marked"), "chunk_id"]).select("fiscal_year", "chunk_id", excerpt(F.col("text"), ["debt payable"]).alias("source_text"))

@@ -36,7 +36,7 @@ def classified(inventory: DataFrame, metrics: list[str]) -> DataFrame:
     """
     terms = F.array(*(F.struct(F.lit(m).alias("metric"), contains_any(F.lower("concept"), rules.SEARCH_TERMS[m]).alias("hit")) for m in metrics))
     asked = inventory.withColumn("m", F.explode(F.filter(terms, lambda t: t["hit"]))).withColumn("metric", F.col("m.metric")).drop("m")
-    joined = asked.join(safe_concepts(inventory.sparkSession), ["metric", "concept"], "left")
+    joined = asked.join(F.broadcast(safe_concepts(inventory.sparkSession)), ["metric", "concept"], "left")  # a fixed rule table
     wrong_unit = F.coalesce((F.col("unit") != "") & (F.col("unit") != "USD"), F.lit(False))
     safe = F.col("safe_confidence").isNotNull()
     no = rejection(F.col("concept"), F.col("metric"))
