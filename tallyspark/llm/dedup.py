@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: i
     paths = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[t]).alias("path")) for t in range(trees)))
     members = reps.select("id", "n_shingles", F.explode(paths).alias("p")).select("id", "n_shingles", "p.*")
     is_small = (F.count(F.lit(1)) <= leaf) & (F.sum("n_shingles") <= leaf_shingles)
-    nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), is_small.alias("is_small")).filter("n > 1").drop("n")
-    shared = stage(members.drop("n_shingles").join(nodes, "path"), "dedup")  # rows that meet another text in some tree
+    nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), is_small.alias("is_small"))
+    shared = stage(members.drop("n_shingles").join(nodes, "path"), "dedup").filter("n > 1").drop("n")  # rows that meet another text in some tree
     small = shared.groupBy("id").agg(F.bit_or(F.when(F.col("is_small"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).otherwise(F.lit(0).cast("long"))).alias("small"))
     marked = stage(reps.join(small, "id"), "dedup")
     facts = marked.select("id", "bits0", "bits1", F.slice("tokens", 1, trees).alias("trees"), "small")
