@@ -243,7 +243,7 @@ SQL: dict[str, str] = {
     "years_complete": f"WITH {TOTALS} SELECT entity, metric, count(DISTINCT fiscal_year) FILTER (WHERE fiscal_year IN (1996, 1998)) = 2 AS complete FROM totals WHERE NOT (metric = '2-HIGH' AND fiscal_year = 1998 AND len(entity) % 2 = 0) GROUP BY ALL",
     "chunk_summary": f"WITH {CHUNKS} SELECT section_type, section_name, fiscal_year, '10-K' AS filing_type, count(*) AS n_chunks, CAST(sum(len(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY ALL",
     "task_cross": "SELECT concat_ws('_', n_name, lower(r_name), 2023, 2025) AS task_id, 'How did ' || n_name || '''s ' || lower(r_name) || ' change from 2023 to 2025?' AS question FROM nation, region",
-    "memory_upsert": """SELECT CAST(conv_id % 40 AS VARCHAR) AS company, role AS risk_theme, array_to_string(list_sort(list_distinct(list(substring(text, 1, 12)))), '|') AS useful_sections, array_to_string(list_sort(list_distinct(list(upper(substring(text, 1, 5))))), '|') AS successful_queries, max(lpad(CAST(conv_id AS VARCHAR), 9, '0')) AS last_updated FROM conversations GROUP BY 1, 2""",
+    "memory_upsert": """SELECT CAST(conv_id % 40 AS VARCHAR) AS company, role AS risk_theme, array_to_string(list_sort(list_distinct(list(substring(text, 1, 12)))), '|') AS useful_sections, array_to_string(list_sort(list_distinct(list(substring(text, 1, 5)))), '|') AS successful_queries, max(lpad(CAST(conv_id AS VARCHAR), 9, '0')) AS last_updated FROM conversations GROUP BY 1, 2""",
     "trace_rollup": """SELECT user_id AS run, count(*) AS n_steps, count(*) FILTER (WHERE value > 90) AS n_failed, arg_min(event_type, (ts, event_id)) AS first_state, arg_max(event_type, (ts, event_id)) AS last_state, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS states FROM events GROUP BY 1""",
     "critic_anti_join": """WITH c AS (SELECT conv_id || '_' || turn AS claim_id, CASE turn % 3 WHEN 0 THEN [conv_id % 60, conv_id % 7] WHEN 1 THEN [] END AS cited FROM conversations)
       SELECT claim_id, 'no_citation' AS problem FROM c WHERE cited IS NULL OR len(cited) = 0 UNION ALL SELECT DISTINCT claim_id, 'unknown_citation' FROM (SELECT claim_id, unnest(cited) AS id FROM c) WHERE id NOT IN (SELECT item_id FROM benchmark)""",

@@ -334,7 +334,7 @@ def task_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 40).cast("string").alias("company"), F.col("role").alias("risk_theme"), F.array(F.substring("text", 1, 12)).alias("useful_sections"), F.array(F.upper(F.substring("text", 1, 5))).alias("successful_queries"), F.lpad(F.col("conv_id").cast("string"), 9, "0").alias("last_updated"), "turn")
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 40).cast("string").alias("company"), F.col("role").alias("risk_theme"), F.array(F.substring("text", 1, 12)).alias("useful_sections"), F.array(F.substring("text", 1, 5)).alias("successful_queries"), F.lpad(F.col("conv_id").cast("string"), 9, "0").alias("last_updated"), "turn")
     keys, lists = ["company", "risk_theme"], ["useful_sections", "successful_queries"]
     merged = entities.merged_memory(turns.filter("turn = 0").drop("turn"), turns.filter("turn > 0").drop("turn"), keys, lists)
     return merged.select(*keys, *(F.array_join(c, "|").alias(c) for c in lists), "last_updated")
