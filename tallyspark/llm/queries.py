@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, bytebpe, dedup, packing, privacy, quality, sharding, toxicity, urls
+from tallyspark.llm import ann, bytebpe, dedup, licenses, packing, privacy, quality, sharding, toxicity, urls
 from tallyspark.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
 
 
+def op1_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(table(spark, sf_dir, "documents"))
+
+
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = privacy.personal_data(table(spark, sf_dir, "documents"))
     counts = [privacy.count_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS)]
@@ -57,6 +61,7 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_rules": op1_sentence_rules,
     "op2_contextual_pii": op2_contextual_pii,
     "op3_line_rules": op3_line_rules,
     "op4_anisotropic": op4_anisotropic,
