@@ -83,21 +83,32 @@ def document_measures(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, min_docs: int, max_share: float, min_variety: float) -> DataFrame:
-    """(host, k) of the lines above the limits.
-
-    Documents are counted once per distinct text. A line of a family of near copies is no boilerplate, so
-    the carriers' signatures (the smallest key of each text's other lines) must vary too. Every grouping is
-    combined on the map side first, so a line that a third of all documents carry costs one row per task.
+    """(host, k) of the lines above the limits whose carriers are no family of near copies.
+
+    Documents are counted once per distinct text. The lines above the limits are found first; a carrier is
+    then told by what they leave of it. It looks like a copy only if at most a quarter of its characters are
+    its own and it is hardly longer than the most that any carrier of the line has of lines above the limits:
+    at 8/9, two texts that share all of these lines have similarity 0.8. Such carriers count by their
+    smallest other key, all others count each as itself, and the line needs min_variety such values a text.
+    Every grouping is combined on the map side first.
     """
+    lines = F.array_distinct("lines")
     keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["k"])))
-    every = measured.select("host", "th", keys.alias("keys")).select("host", "th", F.get("keys", F.lit(0)).alias("least"), F.get("keys", F.lit(1)).alias("second"), F.explode("keys").alias("k"))
-    carried = every.withColumn("sig", F.when(F.col("k") == F.col("least"), F.coalesce("second", "k")).otherwise(F.col("least")))
-    texts = carried.groupBy("host", "k", "sig", "th").agg(F.lit(1).alias("one"))
-    families = texts.groupBy("host", "k", "sig").agg(F.count(F.lit(1)).alias("n"))
-    lines = families.groupBy("host", "k").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sigs")).filter(F.col("n_docs") > min_docs)
+    every = measured.select("host", "th", F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
+    counts = every.groupBy("host", "k", "th").agg(F.lit(1).alias("one")).groupBy("host", "k").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
     hosts = measured.groupBy("host", "th").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    above = lines.join(hosts, "host").filter((F.col("n_docs") > F.col("host_docs") * max_share) & (F.col("n_sigs") >= F.col("n_docs") * min_variety))
-    return above.select("host", "k")
+    above = stage(counts.join(hosts, "host").filter(F.col("n_docs") > F.col("host_docs") * max_share).select("host", "k", "n_docs"), "quality")
+    total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    pieces = measured.select("host", "th", keys.alias("keys"), total.alias("total"), lines.alias("l")).select("host", "th", F.get("keys", F.lit(0)).alias("least"), F.get("keys", F.lit(1)).alias("second"), "total", F.inline("l"))
+    held = pieces.join(above.select("host", "k"), ["host", "k"]).groupBy("host", "th", "least", "second", "total", "k", "n").agg(F.lit(1).alias("one"))
+    texts = held.groupBy("host", "th", "least", "second", "total").agg(F.sum("n").alias("shared"), F.collect_set("k").alias("ks"))
+    carried = stage(texts.select("host", "th", "least", "second", "total", "shared", F.explode("ks").alias("k")), "quality")
+    most = stage(carried.groupBy("host", "k").agg(F.max("shared").alias("most")), "quality")
+    alike = (4 * (F.col("total") - F.col("shared")) <= F.col("total")) & (8 * F.col("total") <= 9 * F.col("most"))
+    other = F.when(F.col("k") == F.col("least"), F.coalesce("second", "k")).otherwise(F.col("least"))
+    signed = carried.join(most, ["host", "k"]).select("host", "k", alike.alias("alike"), F.when(alike, other).otherwise(F.col("th")).alias("sig"))
+    varied = signed.groupBy("host", "k", "alike", "sig").agg(F.lit(1).alias("one")).groupBy("host", "k").agg(F.count(F.lit(1)).alias("n_sigs"))
+    return stage(above.join(varied, ["host", "k"]).filter(F.col("n_sigs") >= F.col("n_docs") * min_variety).select("host", "k"), "quality")
 
 
 def line_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05, min_variety: float = 0.5, min_left: float = 0.3, max_repeat_share: int = 50, min_words: int = 50) -> DataFrame:

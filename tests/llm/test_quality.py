@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from comparing import DATA, rows, tables
-from conftest_llm import ODD, frame, prose
+from conftest_llm import ODD, WORDS, frame, prose
 
 from tallyspark.llm import oracles, quality, queries
 
@@ -43,6 +44,21 @@ def test_boilerplate_is_cut_and_depleted_documents_go(spark):
     assert set(kept) == {i for i, r in judged.items() if r.kept} and kept[3].text == prose(3, 200) and kept[3].n_chars == len(prose(3, 200)) and kept[210].text == prose(9, 200)
 
 
+def test_hosts_with_several_shared_and_few_own_lines(spark):
+    shapes = [(3, 1), (4, 1), (8, 3), (10, 2), (10, 4)]
+    docs = []
+    for shared, own in shapes:
+        shell = prose(40 + shared + own, 10 * shared)
+        docs += [(1000 * shared + 100 * own + i, f"{shell}\n{prose(5000 + 1000 * shared + 100 * own + i, 10 * own)}", f"{shared}+{own}") for i in range(60)]
+    draw = random.Random(3)  # near copies with one word changed in every sixth line or so
+    changed = [[" ".join([f"{draw.choice(WORDS)}{draw.choice(WORDS)}", *x.split()[1:]]) if draw.random() < 1 / 6 else x for x in prose(11, 300).split("\n")] for _ in range(60)]
+    docs += [(90_000 + i, "\n".join(x), "edited") for i, x in enumerate(changed)]
+    found = {r.doc_id: r for r in quality.line_rules(frame(spark, docs)).collect()}
+    for i, _, host in docs:
+        assert len(found[i].removed) == (0 if host == "edited" else int(host.split("+")[0])), (host, i)
+    assert all(found[90_000 + i].kept for i in range(60)) and not any(found[3100 + i].kept for i in range(60))
+
+
 def test_empty_table_and_columns(none, odd):
     assert quality.line_rules(none).count() == 0
     assert quality.cleaned(none).columns == none.columns
