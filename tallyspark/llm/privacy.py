@@ -108,12 +108,17 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, th long, base array<struct<s:int,k:int,e:int>>, found array<struct<form:string,start:int,end:int,instance:string,patterns:array<string>>>")
 
 
-def trusted_patterns(found: DataFrame, min_seeds: int, threshold: float, rounds: int) -> DataFrame:
+def trusted_patterns(found: DataFrame, min_seeds: int, threshold: float, rounds: int, min_share: float, epsilon: float) -> DataFrame:
     """(pattern, kind, score) of the high-confidence patterns, by iterative scoring of the pattern-instance graph.
 
     A pattern's score for a kind is the mean score of its distinct instances, with one failure added;
-    seeds of the kind score 1, of another kind 0, and a candidate the mean score of its patterns. Every
-    pattern's sums are combined on the map side, so a frequent word costs a row per task.
+    seeds of the kind score 1, of another kind 0, and a candidate the mean score of its patterns. The scores
+    are the fixed point of this: each round solves every pattern for its own share in its candidates, and
+    rounds go on until no score changes by epsilon; every so many rounds the scores are staged and compared.
+    As the fixed point lets candidates confirm one another, a pattern needs min_share of seeds among its
+    instances, besides what seeds of other kinds cost it; that share also bounds the number of rounds.
+    Candidates in the same patterns count together. Every pattern's sums are combined on the map side, so a
+    frequent word costs a row per task.
     """
     allowed = F.create_map(*(x for form, (_, kinds) in FORMS.items() for x in (F.lit(form), F.array(*map(F.lit, kinds)))))
     edges = found.select(F.explode("patterns").alias("pattern"), "instance", "form").groupBy("pattern", "instance", "form").agg(F.lit(1).alias("one"))
@@ -122,31 +127,42 @@ def trusted_patterns(found: DataFrame, min_seeds: int, threshold: float, rounds:
     by_kind = counts.withColumn("kind", F.explode(F.array(*map(F.lit, KINDS))))
     seeds = F.element_at(F.create_map(*(x for k in KINDS for x in (F.lit(k), F.col(k)))), F.col("kind"))
     open_to = sum((F.when(F.col("kind").isin(list(kinds)), F.col(f"form_{form}")).otherwise(0) for form, (_, kinds) in FORMS.items()), F.lit(0))
-    possible = by_kind.withColumns({"seeds": seeds, "open": open_to}).filter((F.col("seeds") >= min_seeds) & (F.col("open") > 0) & ((F.col("seeds") + F.col("open")) / (F.col("n") + 1) >= threshold))
+    possible = by_kind.withColumns({"seeds": seeds, "open": open_to}).filter((F.col("seeds") >= min_seeds) & (F.col("seeds") >= min_share * F.col("n")) & (F.col("open") > 0) & ((F.col("seeds") + F.col("open")) / (F.col("n") + 1) >= threshold))
     possible = stage(possible.select("pattern", "kind", "n", "seeds"), "privacy")
     scores = possible.withColumn("score", F.col("seeds") / (F.col("n") + 1))
     candidates = edges.filter(~is_seed).withColumn("kind", F.explode(F.element_at(allowed, F.col("form")))).select("pattern", "instance", "kind")
-    graph = stage(candidates.join(possible.select("pattern", "kind"), ["pattern", "kind"]), "privacy")
-    if graph.isEmpty():
+    sets = candidates.join(possible.select("pattern", "kind"), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.sort_array(F.collect_set("pattern")).alias("patterns"))
+    sets = stage(sets.groupBy("kind", "patterns").agg(F.count(F.lit(1)).alias("weight")), "privacy")
+    if sets.isEmpty():
         return scores.filter(F.lit(False)).select("pattern", "kind", "score")
-    for _ in range(rounds):
-        instances = graph.join(scores.select("pattern", "kind", "score"), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.avg("score").alias("s"))
-        gains = graph.join(instances, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("s").alias("gain"))
-        scores = stage(possible.join(gains, ["pattern", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + 1)), "privacy")
+    graph = stage(sets.select("kind", F.xxhash64("patterns").alias("set"), "weight", F.size("patterns").alias("d"), F.explode("patterns").alias("pattern")), "privacy")
+    own = graph.groupBy("pattern", "kind").agg(F.sum(F.col("weight") / F.col("d")).alias("own"))
+    fixed = stage(possible.join(own, ["pattern", "kind"], "left").withColumn("own", F.coalesce("own", F.lit(0.0))), "privacy")
+    last = scores = stage(fixed.withColumn("score", F.col("seeds") / (F.col("n") + 1 - F.col("own"))).select("pattern", "kind", "score"), "privacy")
+    while True:
+        for _ in range(rounds):
+            means = graph.join(scores, ["pattern", "kind"]).groupBy("set", "kind").agg(F.sum("score").alias("s"))
+            shares = graph.join(means, ["set", "kind"]).join(scores, ["pattern", "kind"])
+            gains = shares.groupBy("pattern", "kind").agg(F.sum(F.col("weight") * (F.col("s") - F.col("score")) / F.col("d")).alias("gain"))
+            last, scores = scores, fixed.join(gains, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + 1 - F.col("own"))).alias("score"))
+        scores = stage(scores.join(last.withColumnRenamed("score", "last"), ["pattern", "kind"]), "privacy")
+        if scores.agg(F.max(F.abs(F.col("score") - F.col("last")))).first()[0] < epsilon:
+            break
+        scores = scores.drop("last")
     return scores.filter(F.col("score") >= threshold).select("pattern", "kind", "score")
 
 
-def personal_data(docs: DataFrame, min_seeds: int = 5, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
+def personal_data(docs: DataFrame, min_seeds: int = 5, threshold: float = 0.8, rounds: int = 3, min_share: float = 0.1, epsilon: float = 1e-4) -> DataFrame:
     """doc_id, th, base and all_spans (arrays of start s, kind k as a place in KINDS, end e) for every row of docs.
 
     docs: doc_id, text; other columns are ignored. Base patterns always hold. Their matches are seeds;
-    patterns of the words around seeds that score threshold or more with min_seeds distinct seeds extract
-    further identifiers of allowed forms. Null texts count as empty; a null doc_id is carried through;
+    patterns of the words around seeds that score threshold or more with min_seeds distinct seeds, and one
+    seed in ten distinct instances (min_share), extract further identifiers of allowed forms. Null texts count as empty; a null doc_id is carried through;
     rows with one doc_id are each scanned.
     """
     scanned = stage(scan(docs), "privacy")
     found = scanned.select("doc_id", "th", F.explode("found").alias("f")).select("doc_id", "th", "f.*")
-    trusted = trusted_patterns(found, min_seeds, threshold, rounds)
+    trusted = trusted_patterns(found, min_seeds, threshold, rounds, min_share, epsilon)
     allowed = F.create_map(*(x for form, (_, kinds) in FORMS.items() for x in (F.lit(form), F.array(*map(F.lit, kinds)))))
     candidates = found.filter(~F.col("form").isin(KINDS)).withColumn("kind", F.explode(F.element_at(allowed, F.col("form")))).withColumn("pattern", F.explode("patterns"))
     hits = candidates.join(trusted, ["pattern", "kind"]).groupBy("doc_id", "th", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))

@@ -64,6 +64,16 @@ def test_context_finds_unseen_identifiers(spark):
     assert "hotline [PHONE] now" in hidden[2] and "hotline [PHONE] now" in hidden[32] and "906-555-8001" in hidden[101]
 
 
+def test_unseen_identifiers_may_outnumber_the_seeds(spark):
+    words = ["ring hotline", "call hotline", "dial hotline"]
+    docs = [(i, f"please {words[i % 3]} {f'+1 (906) 555-{1000 + i}' if i < 100 else f'906-555-{1000 + i}'} now", "a") for i in range(400)]
+    docs += [(1000 + i, f"by index {f'+1 (907) 555-{1000 + i}' if i < 10 else f'907-555-{1000 + i}'} sold", "a") for i in range(400)]  # too small a share of seeds
+    docs += [(2000 + i, f"at desk {f'+1 (908) 555-{1000 + i}' if i < 40 else f'10.1.2.{i}' if i < 80 else f'908-555-{1000 + i}'} open", "a") for i in range(200)]  # as many seeds of another kind
+    found = {r.doc_id: r for r in privacy.personal_data(frame(spark, docs)).collect()}
+    assert all([privacy.KINDS[x.k] for x in found[i].all_spans] == ["phone"] for i in range(400))
+    assert not any(found[i].all_spans for i in (*range(1010, 1400), *range(2080, 2200)))
+
+
 def test_odd_rows(odd, none):
     found = privacy.personal_data(odd).collect()
     assert len(found) == len(ODD)
