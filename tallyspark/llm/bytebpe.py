@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 CHUNK, OVERLAP = 32_768, 1_024
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     """The vocabulary file is read once in each worker."""
     with open(ranks_path, "rb") as lines:
@@ -27,19 +28,21 @@ def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def digests(ids: np.ndarray, decoder: tiktoken.Encoding) -> tuple[int, str, str]:
+def digests(parts: Iterable[np.ndarray], decoder: tiktoken.Encoding) -> tuple[int, str, str]:
     """Count, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes; by slices, so memory stays bounded."""
-    ids_sha, bytes_sha = hashlib.sha256(), hashlib.sha256()
-    for at in range(0, len(ids), 1 << 16):
-        part = ids[at : at + (1 << 16)].tolist()
-        ids_sha.update(((" " if at else "") + " ".join(map(str, part))).encode())
-        bytes_sha.update(decoder.decode_bytes(part))
-    return len(ids), ids_sha.hexdigest(), bytes_sha.hexdigest()
+    ids_sha, bytes_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+    for ids in parts:
+        for at in range(0, len(ids), 1 << 16):
+            part = ids[at : at + (1 << 16)].tolist()
+            ids_sha.update(((" " if n else "") + " ".join(map(str, part))).encode())
+            bytes_sha.update(decoder.decode_bytes(part))
+            n += len(part)
+    return n, ids_sha.hexdigest(), bytes_sha.hexdigest()
 
 
 def chunks(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -107,13 +110,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     is_long = F.length("text") > chunk + overlap
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(ranks_path, pattern)
         for batch in batches:
-            found = [digests(np.array(coder.encode_ordinary(t), np.uint32), coder) for t in batch["text"]]
-            out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
+            found = [digests([np.array(coder.encode_ordinary(t.as_py()), np.uint32)], coder) for t in batch.column("text")]
+            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def encode_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoding(ranks_path, pattern)
@@ -122,12 +124,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
 
     def finish(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("first").sort_values("first")
-        ids = np.frombuffer(b"".join(group["ids"]), "<u4")
-        n, ids_sha, bytes_sha = digests(ids, encoding(ranks_path, pattern))
+        n, ids_sha, bytes_sha = digests((np.frombuffer(ids, "<u4") for ids in group["ids"]), encoding(ranks_path, pattern))
         return pd.DataFrame({"row_id": [key[0]], "n_tokens": [n], "ids_sha256": [ids_sha], "decoded_sha256": [bytes_sha]})
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    short = rows.filter(~is_long).mapInPandas(whole, f"doc_id long, {schema}")
+    short = rows.filter(~is_long).mapInArrow(whole, f"doc_id long, {schema}")
     # Equal long texts are encoded once, whatever their ids.
     keyed = rows.filter(is_long).withColumn("row_id", F.sha2(F.col("text"), 256))
     long_docs = keyed.groupBy("row_id").agg(F.first("text").alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one machine's session gets a local one, and a cluster's an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -32,15 +35,44 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage as checkpoint() does, but keeps columns compressed and prunable. The files
-    survive the loss of an executor and go when the application ends.
+    survive the loss of an executor; they go by discard(), or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    system, target = _file(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that nothing will read again."""
+    for df in staged:
+        system, target = _file(df.sparkSession, df._staged)
+        system.delete(target, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -48,16 +80,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Inner join in which a key with many rows on one side is dealt over salts; the other side is copied once a salt."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], rows_per_salt: int = 50_000, name: str = "rank0") -> DataFrame:
     """Add a gapless rank from 0 within keys, without gathering a hot key in one task.
 
     Each key is dealt over salts; rows are numbered within (keys, salt) and shifted by the counts of the
     smaller salts. The order between salts is by hash, so the rank is deterministic but not sorted by order.
-    The number of salts follows the row count, so a salt holds about rows_per_salt rows at any size.
-    order must identify a row, except for rows equal in every column.
+    There are four salts for each shuffle partition, and more where a salt of a group of all rows would
+    hold over rows_per_salt. order must identify a row, except for rows equal in every column.
     """
-    n = df.count()
-    salts = max(1, -(-n // rows_per_salt))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(4 * partitions, -(-df.count() // rows_per_salt))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     within = Window.partitionBy(*keys, "_salt").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

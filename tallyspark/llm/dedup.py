@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+from pyspark.sql.window import Window
 
-from tallyspark.llm.common import stage
+from tallyspark.llm.common import column, discard, fresh, stage
 from tallyspark.llm.components import components
 from tallyspark.llm.shingles import COORDINATES, minwise, shingle_set
 
-#: Of 64 tokens, at similarity 0.8, the last two bits agree in 54 and all bits in 51; fewer than these are five and four and a half deviations off.
-MIN_ALIKE, MIN_TOKENS = 40, 37
+#: The chance that a pair at the limit of similarity fails one of the tests on tokens, at most.
+CHANCE = 1e-9
 BATCH_SHINGLES = 400_000
 
 
+def least_agreeing(share: float) -> int:
+    """So many of the tokens agree, each with the probability share, but for CHANCE."""
+    below = 0.0
+    for n in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, n) * share**n * (1 - share) ** (COORDINATES - n)
+        if below > CHANCE:
+            return n
+    return COORDINATES
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, two bits of each token, the tokens."""
+    """doc_id, th (hash of the text), n_shingles, two hashes of the whole set, two bits of each token, the tokens."""
 
-    def sign(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
+    def sign(ids: list, hashes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         n = len(sets)
         h1, h2, bits0, bits1 = (np.zeros(n, np.int64) for _ in range(4))
@@ -37,29 +51,31 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 plane[full] = (((t >> k) & 1).astype(np.uint64) << np.arange(COORDINATES, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
             for i, row in zip(full, t.view(np.int32), strict=True):
                 tokens[i] = row
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": [len(s) for s in sets], "h1": h1, "h2": h2, "bits0": bits0, "bits1": bits1, "tokens": tokens})
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "th": pa.array(hashes, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": h1, "h2": h2, "bits0": bits0, "bits1": bits1, "tokens": pa.array(tokens, pa.list_(pa.int32()))})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
+        hashes: list = []
         sets: list[np.ndarray] = []
         total = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
-                sets.append(shingle_set(text, width))
+            for doc_id, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True):
+                ids.append(doc_id)
+                hashes.append(th)
+                sets.append(shingle_set(text.as_py(), width))
                 total += len(sets[-1])
                 if total > BATCH_SHINGLES or len(ids) >= 5000:
-                    yield sign(ids, sets)
-                    ids, sets, total = [], [], 0
+                    yield sign(ids, hashes, sets)
+                    ids, hashes, sets, total = [], [], [], 0
         if ids:
-            yield sign(ids, sets)
+            yield sign(ids, hashes, sets)
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return columns.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, bits0 long, bits1 long, tokens array<int>")
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return columns.mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, bits0 long, bits1 long, tokens array<int>")
 
 
 def texts_as_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id and its full shingle set (sorted hashes); several rows with one doc_id give one set."""
+    """id and the full shingle set (sorted hashes) of its text. ids: id, th."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -67,8 +83,8 @@ def texts_as_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 some = batch.iloc[at : at + 500]
                 yield pd.DataFrame({"id": some["id"], "shingles": [shingle_set(t, width).view(np.int64) for t in some["text"]]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
-    return rows.groupBy("id").agg(F.max("text").alias("text")).mapInPandas(read, "id long, shingles array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text").join(ids.hint("merge"), ["id", "th"], "left_semi")
+    return rows.groupBy("id", "th").agg(F.min("text").alias("text")).mapInPandas(read, "id long, shingles array<long>")
 
 
 def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -108,8 +124,10 @@ def responsible(x: np.ndarray, y: np.ndarray, small_x: np.ndarray, tree: np.ndar
     return ~met
 
 
-def with_partner(cells: DataFrame) -> DataFrame:
+def with_partner(cells: DataFrame, percent: int, tasks: int) -> DataFrame:
     """The rows of cells that have a partner there: alike by the token bits and not met in an earlier tree."""
+    similar = percent / 100
+    least = least_agreeing(similar + (1 - similar) / 4)  # two bits agree by chance, too
 
     def flag(rows: pd.DataFrame) -> np.ndarray:
         b0, b1 = (rows[b].to_numpy().view(np.uint64) for b in ("bits0", "bits1"))
@@ -117,7 +135,7 @@ def with_partner(cells: DataFrame) -> DataFrame:
         trees = small = None
         for at in range(0, len(rows), 256):
             here = slice(at, at + 256)
-            alike = COORDINATES - np.bitwise_count((b0[here, None] ^ b0[None]) | (b1[here, None] ^ b1[None])).astype(np.int16) >= MIN_ALIKE
+            alike = COORDINATES - np.bitwise_count((b0[here, None] ^ b0[None]) | (b1[here, None] ^ b1[None])).astype(np.int16) >= least
             alike[np.arange(alike.shape[0]), np.arange(at, at + alike.shape[0])] = False
             i, j = np.nonzero(alike)
             if len(i):
@@ -133,12 +151,13 @@ def with_partner(cells: DataFrame) -> DataFrame:
             if found:
                 yield pd.concat(found)
 
-    placed = cells.repartition("cell").sortWithinPartitions("cell")
+    placed = cells.repartition(tasks, "cell").sortWithinPartitions("cell")
     return placed.mapInPandas(run, "cell long, tree int, id long")
 
 
-def links_in_cells(flagged: DataFrame, sets: DataFrame, signed: DataFrame, percent: int, trees: int) -> DataFrame:
+def links_in_cells(flagged: DataFrame, sets: DataFrame, signed: DataFrame, percent: int, trees: int, tasks: int) -> DataFrame:
     """Links (a, b) between rows of a cell, confirmed on full sets; enough to connect what is connected there."""
+    least = least_agreeing(percent / 100)
 
     def join(rows: pd.DataFrame) -> list[tuple[int, int]]:
         ids, shingles = rows["id"].to_numpy(), [np.asarray(x).view(np.uint64) for x in rows["shingles"]]  # sorted as unsigned
@@ -146,7 +165,7 @@ def links_in_cells(flagged: DataFrame, sets: DataFrame, signed: DataFrame, perce
         label, found = np.arange(len(ids)), []
         for i in range(len(ids)):
             other = np.flatnonzero((label != label[i]) & (np.arange(len(ids)) > i) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
-            other = other[(tokens[other] == tokens[i]).sum(axis=1) >= MIN_TOKENS]
+            other = other[(tokens[other] == tokens[i]).sum(axis=1) >= least]
             other = other[responsible(tokens[i : i + 1, :trees], tokens[other, :trees], small[i : i + 1], rows["tree"].iloc[0])]
             for at in range(0, len(other), 256):
                 some = other[at : at + 256]
@@ -165,7 +184,7 @@ def links_in_cells(flagged: DataFrame, sets: DataFrame, signed: DataFrame, perce
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     known = sets.join(signed.select("id", "tokens", "small"), "id")
-    full = flagged.join(known, "id").repartition("cell").sortWithinPartitions("cell", "id")
+    full = flagged.join(known, "id").repartition(tasks, "cell").sortWithinPartitions("cell", "id")
     return full.select("cell", "tree", "id", "tokens", "small", "shingles").mapInPandas(run, "a long, b long")
 
 
@@ -187,7 +206,7 @@ def branch(rows: DataFrame, chance: float) -> DataFrame:
     return down.withColumn("path", F.xxhash64("path", "c", F.get("tokens", F.col("c")))).drop("c")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: int = 12, leaf: int = 1024, leaf_shingles: int = 2_000_000, levels: int = 6, two_children: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: int | None = None, leaf: int = 1024, leaf_shingles: int = 2_000_000, levels: int = 6, two_children: float = 0.5, rows_per_task: int = 20_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
     1. Texts with equal shingle sets form a class; its smallest doc_id stands for it.
@@ -198,21 +217,29 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: i
     3. Larger nodes branch by further tokens, which parts unlike texts and keeps like ones together. What is
        still large after the last level is compared block by block, so nothing is cut off.
     4. The confirmed links are closed to components.
-    A pair of similarity 0.8 shares no node of any of twelve trees with a probability below 1e-8.
+    Unless given, there are so many trees that a pair at the limit shares no first node with a probability of
+    1e-8 at most (twelve for 80 percent); a pair whose first nodes are large in all of twelve trees is parted
+    by every branching with about 2e-4, where no other member of its component holds it together.
 
-    Null and empty texts have no shingles and stay alone; a null doc_id stays alone and is kept; rows with
-    one doc_id count as one document. Ties go to the smaller doc_id.
+    Null and empty texts have no shingles and stay alone; a null doc_id stays alone and is kept. Rows with
+    one doc_id count as one document, whose text is the worded one of smallest hash; long texts are compared
+    whole. Ties go to the smaller doc_id; an empty table gives no rows.
     """
+    if trees is None:
+        trees = math.ceil(math.log(1e-8) / math.log1p(-min(percent, 99) / 100))
+    if not 1 <= trees < COORDINATES:
+        raise ValueError(f"{trees} trees: give a percent of 26 or more, or fewer trees")
     signed = stage(signatures(docs, width), "dedup")
-    usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    one_text = F.min(F.struct("th", "h1", "h2", "n_shingles", "bits0", "bits1", "tokens")).alias("x")
+    usable = stage(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(one_text).select("doc_id", "x.*"), "dedup")
     classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    reps = usable.join(classes, ["h1", "h2"]).filter("doc_id = id").select("id", "n_shingles", "bits0", "bits1", "tokens").dropDuplicates(["id"])
-    reps = stage(reps, "dedup")
+    reps = stage(usable.join(classes, ["h1", "h2"]).filter("doc_id = id").select("id", "th", "n_shingles", "bits0", "bits1", "tokens"), "dedup")
     paths = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[t]).alias("path")) for t in range(trees)))
     members = reps.select("id", "n_shingles", F.explode(paths).alias("p")).select("id", "n_shingles", "p.*")
     is_small = (F.count(F.lit(1)) <= leaf) & (F.sum("n_shingles") <= leaf_shingles)
     nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), is_small.alias("is_small"))
-    shared = stage(members.drop("n_shingles").join(nodes, "path"), "dedup").filter("n > 1").drop("n")  # rows that meet another text in some tree
+    met_rows = stage(members.drop("n_shingles").join(nodes, "path"), "dedup")
+    shared = met_rows.filter("n > 1").drop("n")  # rows that meet another text in some tree
     small = shared.groupBy("id").agg(F.bit_or(F.when(F.col("is_small"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).otherwise(F.lit(0).cast("long"))).alias("small"))
     marked = stage(reps.join(small, "id"), "dedup")
     facts = marked.select("id", "bits0", "bits1", F.slice("tokens", 1, trees).alias("trees"), "small")
@@ -231,13 +258,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: i
     met = cells[0]
     for more in cells[1:]:
         met = met.union(more)
-    flagged = stage(with_partner(met.join(facts, "id")), "dedup")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stage(met, "dedup")
+    flagged = stage(with_partner(met.join(facts, "id"), percent, max(partitions, met.count() // rows_per_task)), "dedup")
+    discard(met, met_rows)
     ids = flagged.groupBy("id").agg(F.lit(1).alias("one")).drop("one")
-    sets = stage(texts_as_sets(docs, ids, width), "dedup")
-    labels = components(stage(links_in_cells(flagged, sets, marked, percent, trees), "dedup"))
+    sets = stage(texts_as_sets(docs, ids.join(reps.select("id", "th"), "id"), width), "dedup")
+    links = stage(links_in_cells(flagged, sets, marked, percent, trees, max(partitions, flagged.count() // (rows_per_task // 10))), "dedup")
+    discard(flagged, sets, marked)
+    labels = components(links)
 
     named = classes.join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_component"))
-    of_id = usable.join(named, ["h1", "h2"]).groupBy("doc_id").agg(F.min("class_component").alias("component"))
+    of_id = usable.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", F.col("class_component").alias("component"))
     s, o = signed.alias("s"), of_id.alias("o")
     out = s.join(o, F.col("s.doc_id") == F.col("o.doc_id"), "left")
     component = F.coalesce("o.component", "s.doc_id")
@@ -245,7 +277,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: i
 
 
 def one_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of docs that are kept; of several rows with one doc_id, one stays."""
+    """The rows of docs that are kept, in its columns.
+
+    Of several rows with one doc_id the one whose text has the smallest hash stays, a null text last; between
+    equal texts the other columns decide. Null ids stay; empty and null texts stay.
+    """
     found = near_duplicates(docs, **parameters).filter("kept").select("doc_id").distinct()
-    with_id = docs.filter("doc_id IS NOT NULL").join(found.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    id_, hash_, place = fresh(docs, "id", "hash", "place")
+    own = docs.withColumns({id_: F.col("doc_id").cast("long"), hash_: F.xxhash64("text")})
+    same = own.filter(F.col(id_).isNotNull()).join(found.select(F.col("doc_id").alias(id_)).hint("merge"), id_, "left_semi")
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and f.name != "text"]
+    order = Window.partitionBy(id_).orderBy(F.col("text").isNull(), hash_, "text", *map(column, plain))
+    first = same.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    columns = list(map(column, docs.columns))
+    return first.select(*columns).union(own.filter(F.col(id_).isNull()).select(*columns))

@@ -7,10 +7,10 @@ import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -19,9 +19,8 @@ from pyspark.sql.window import Window
 
 from tallyspark.llm.common import rank_in_groups, stage
 
-#: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHED_WORDS = 300_000
-
+#: Bytes of encoded parts that a worker keeps, about; beyond it the cache starts anew, and with the partition it ends.
+CACHE_BYTES = 32 << 20
 
 #: Parts in these characters bear no normalisation but lower-casing, so their pre-tokens can be encoded one by one.
 PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]*")
@@ -35,16 +34,23 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Parts(dict):
-    """Encoded parts; a missing one is made and kept."""
+    """Encoded parts; a missing one is made and, if short, kept."""
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.bytes = make, 0
 
     def __missing__(self, part: str) -> bytes:
-        made = self[part] = self.make(part)
+        made = self.make(part)
+        if len(part) <= 200:
+            self[part] = made
+            self.bytes += 200 + len(part) + len(made)
         return made
 
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0
+
 
 class WordEncoder:
     """Ids of whole texts from ids of their blank-separated parts.
@@ -52,22 +58,28 @@ class WordEncoder:
     The tokenizer drops white space, looks at no character beyond a part and changes none across a blank,
     so the parts' ids, joined, are the text's ids; parts repeat, so most are found in the cache. New parts
     of plain characters are encoded by their pre-tokens' bytes with a rank table built from the tokenizer's own
-    vocabulary and merges (byte 0xFF, which no text holds, ends a word); all others by the tokenizer.
+    vocabulary and merges (byte 0xFF, which no text holds, ends a word); all others, and those that hold
+    the string of a special token, by the tokenizer as its file loads.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         self.known = Parts(self.part)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.fast = self.rank_table(spec)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.fast = None if any(" " in t or "\n" in t for t in self.special) else self.rank_table(spec)
         if self.fast is not None:
             self.pretoken = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when a part first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def rank_table(spec: dict) -> tiktoken.Encoding | None:
         """Ranks that are the ids, if ids follow the order of merges; else none, and the tokenizer does it all."""
@@ -90,7 +102,7 @@ class WordEncoder:
         return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
 
     def part(self, p: str) -> bytes:
-        if self.fast is not None and PLAIN.fullmatch(p):
+        if self.fast is not None and PLAIN.fullmatch(p) and not any(t in p for t in self.special):
             piece = self.fast._encode_single_piece
             ids = [i for t in self.pretoken.findall(p.lower()) for i in piece(t.encode() + b"\xff")]
         else:
@@ -99,36 +111,45 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if len(self.known) > CACHED_WORDS:
+        if self.fast is None:  # nothing is known of how its parts join
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.known.bytes > CACHE_BYTES:
             self.known.clear()
         known = self.known
         return b"".join([known[p] for p in text.replace("\n", " ").split(" ")])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One for each worker."""
     return WordEncoder(path)
 
 
+PIECE = "doc_id long, row_hash long, start long, length long, ids_crc32 long, doc_tokens long"
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, row_hash, start, length, ids_crc32, doc_tokens: full sequences of each document, then its rest."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            out = []
-            for doc_id, text, row in zip(batch["doc_id"].tolist(), batch["text"], batch["row_hash"], strict=True):
-                ids = memoryview(encoder.encode(text) + end)
-                n = len(ids) // 4
-                out += [(doc_id, row, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * min(n, s + capacity)]), n) for s in range(0, n, capacity)]
-            made = pd.DataFrame(out, columns=["doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
+        try:
+            for batch in batches:
+                row, made = [], []
+                for i, text in enumerate(batch.column("text")):
+                    ids = memoryview(encoder.encode(text.as_py()) + end)
+                    n = len(ids) // 4
+                    row += [i] * -(-n // capacity)
+                    made += [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * min(n, s + capacity)]), n) for s in range(0, n, capacity)]
+                numbers = np.array(made, np.int64).reshape(-1, 4)
+                carried = [batch.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "row_hash")]
+                yield pa.RecordBatch.from_arrays([*carried, *map(pa.array, numbers.T.copy())], names=["doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            encoder.known.clear()
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
-    return rows.mapInPandas(cut, "doc_id long, row_hash long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(cut, PIECE)
 
 
 def best_pattern(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -241,24 +262,18 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     firsts = {w: np.array([p[0] for p in v], np.int64) for w, v in places.items()}
     counts = {w: np.array([p[1] for p in v], np.int64) for w, v in places.items()}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence_id = np.zeros(len(batch), np.int64)
-            for w, rows in batch.groupby("width").indices.items():
-                rank = batch["item"].to_numpy()[rows]
-                k = np.searchsorted(starts[w], rank, "right") - 1
-                sequence_id[rows] = firsts[w][k] + (rank - starts[w][k]) // counts[w][k]
-            yield batch.drop(columns=["item"]).assign(sequence_id=sequence_id)
+            width, item = batch.column("width").to_numpy(zero_copy_only=False), batch.column("item").to_numpy(zero_copy_only=False)
+            sequence_id = np.zeros(len(width), np.int64)
+            for w in np.unique(width).tolist():
+                rows = np.flatnonzero(width == w)
+                k = np.searchsorted(starts[w], item[rows], "right") - 1
+                sequence_id[rows] = firsts[w][k] + (item[rows] - starts[w][k]) // counts[w][k]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(sequence_id)], names=[*carried, "sequence_id"])
 
     ranked = rank_in_groups(cut, ["width"], ["doc_id", "start", "row_hash"], name="item")
-    wanted = ["doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens", "width"]
-    fields = "doc_id long, row_hash long, start long, length long, ids_crc32 long, doc_tokens long, width int, sequence_id long"
-
-    def kept_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in place(batches):
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
-            yield batch
-
-    placed = ranked.select(*wanted, "item").mapInPandas(kept_ids, fields)
+    carried = ["doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens"]
+    placed = ranked.select(*carried, "width", "item").mapInArrow(place, f"{PIECE}, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "row_hash").rowsBetween(Window.unboundedPreceding, -1)  # a sequence holds at most capacity pieces
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))

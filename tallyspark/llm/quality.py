@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACE_CLASS, let, stage
+from tallyspark.llm.common import SPACE_CLASS, fresh, let, stage
 
 
 def words(text: Column) -> Column:
@@ -136,12 +136,17 @@ def line_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05, min
 
 
 def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
-    """The kept documents without their boilerplate lines, in the columns of docs; n_chars follows the text."""
-    judged = line_rules(docs, **limits).filter("kept").groupBy("doc_id", "th", "host").agg(F.first("removed").alias("_removed"))
-    d = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64(F.coalesce("text", F.lit(""))), "_host": F.coalesce("source", F.lit("\u0000"))}).alias("d")
-    j = judged.alias("j")
-    joined = d.join(j, F.col("d._id").eqNullSafe(F.col("j.doc_id")) & (F.col("d._th") == F.col("j.th")) & (F.col("d._host") == F.col("j.host")))
-    kept_lines = F.array_join(F.filter(F.split("d.text", "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("j._removed", line_key(x))), "\n")
-    text = F.when(F.size("j._removed") > 0, kept_lines).otherwise(F.col("d.text"))
-    out = joined.withColumn("_text", text)
-    return out.select(*(F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"d.`{c}`").alias(c) for c in docs.columns))
+    """The kept documents without their boilerplate lines, in the columns of docs; n_chars, if there, follows the text.
+
+    Null, empty and short texts go; a null source is a host of its own; rows with a null doc_id, several rows with one
+    doc_id and equal rows are each kept or dropped by their own text. Lines without a word stay; very long
+    texts are judged whole; an empty table gives no rows. Columns of any name are carried.
+    """
+    judged = line_rules(docs, **limits).filter("kept").groupBy("doc_id", "th", "host").agg(F.first("removed").alias("removed"))
+    id_, hash_, host, gone, text = fresh(docs, "id", "hash", "host", "gone", "left_text")
+    own = docs.withColumns({id_: F.col("doc_id").cast("long"), hash_: F.xxhash64(F.coalesce("text", F.lit(""))), host: F.coalesce("source", F.lit("\u0000"))})
+    known = judged.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.col("host").alias("k_host"), F.col("removed").alias(gone)).alias("k")
+    joined = own.join(known, F.col(id_).eqNullSafe(F.col("k.k_id")) & (F.col(hash_) == F.col("k.k_th")) & (F.col(host) == F.col("k.k_host")))
+    kept_lines = F.array_join(F.filter(F.split(own["text"], "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(gone, line_key(x))), "\n")
+    out = joined.withColumn(text, F.when(F.size(gone) > 0, kept_lines).otherwise(own["text"]))
+    return out.select(*(F.col(text).alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else own["`" + c + "`"].alias(c) for c in docs.columns))

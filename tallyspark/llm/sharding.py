@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.llm.common import rank_in_groups, stage
+from tallyspark.llm.common import discard, rank_in_groups, stage
 
 #: Order key of a null doc_id.
 NO_ID = -(2**63)
@@ -25,8 +25,8 @@ def by_node(of: dict[int, object], make) -> Column:
     return found if found is not None else F.lit(None)
 
 
-def split_level(t: DataFrame, leaves: dict[int, int], dims: list[str], tolerance: float, leaf_bytes: float) -> tuple[DataFrame, dict[int, int]]:
-    """Split every node that stands for two leaves or more at its weighted median; one level of the tree."""
+def split_level(t: DataFrame, leaves: dict[int, int], dims: list[str], tolerance: float, leaf_bytes: float) -> tuple[DataFrame, dict[int, int], DataFrame]:
+    """Split every node that stands for two leaves or more at its weighted median; one level of the tree, and what it staged."""
     stats = t.groupBy("node").agg(F.sum("size").alias("total"), *(F.max(d).alias(f"hi_{d}") for d in dims), *(F.min(d).alias(f"lo_{d}") for d in dims)).collect()  # a row per node
     open_nodes = {r["node"]: r for r in stats if leaves[r["node"]] > 1}
     widest = {n: max(dims, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"]) for n, r in open_nodes.items()}
@@ -53,12 +53,12 @@ def split_level(t: DataFrame, leaves: dict[int, int], dims: list[str], tolerance
         same_key, same_text = F.col("key") == c["key"], F.col("th") == c["th"]
         return (F.col("key") > c["key"]) | (same_key & (F.col("th") > c["th"])) | (same_key & same_text & here)
 
-    new_leaves = dict(leaves)
+    new_leaves = {n: k if n in open_nodes else 1 for n, k in leaves.items()}  # a node without rows needs no split
     for n in open_nodes:
         new_leaves[n], new_leaves[n + left_leaves[n]] = left_leaves[n], leaves[n] - left_leaves[n]
     right = F.coalesce(by_node({n: n for n in crossing}, goes_right), F.lit(False))
     shift = F.coalesce(by_node(left_leaves, F.lit), F.lit(0))
-    return ranged.withColumn("node", F.when(right, F.col("node") + shift).otherwise(F.col("node")).cast("int")).drop("key", "part"), new_leaves
+    return ranged.withColumn("node", F.when(right, F.col("node") + shift).otherwise(F.col("node")).cast("int")).drop("key", "part"), new_leaves, ranged
 
 
 def kd_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.0025) -> DataFrame:
@@ -80,14 +80,19 @@ def kd_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.0025) -> D
         unit_hash(F.col("source")).alias("d_source"),
         unit_hash(F.col("lang")).alias("d_lang"),
     )
-    t = stage(base.withColumns({"id_key": F.coalesce("doc_id", F.lit(NO_ID)), "d_size": F.log1p("size") / F.lit(24.0), "node": F.lit(0)}), "kd")
+    t = staged = stage(base.withColumns({"id_key": F.coalesce("doc_id", F.lit(NO_ID)), "d_size": F.log1p("size") / F.lit(24.0), "node": F.lit(0)}), "kd")
     total = t.agg(F.sum("size")).first()[0] or 0
     leaves = {0: shards}
     while max(leaves.values()) > 1 and total:
-        t, leaves = split_level(t, leaves, ["d_source", "d_lang", "d_size"], tolerance, total / shards)
+        before = staged
+        t, leaves, staged = split_level(t, leaves, ["d_source", "d_lang", "d_size"], tolerance, total / shards)
+        discard(before)
     return t.select("doc_id", "size", "text_crc32", "th", F.col("node").alias("shard"))
 
 
 def with_slots(sharded: DataFrame) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps."""
+    """Number the rows of each shard from 0 without gaps.
+
+    Null and repeated doc_ids, equal texts and rows equal in every column each get a slot; no rows, no slots.
+    """
     return rank_in_groups(stage(sharded, "kd"), ["shard"], ["doc_id", "th", "size"], name="slot").drop("th")

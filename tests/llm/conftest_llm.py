@@ -23,7 +23,7 @@ ODD = [
     (8, "é😀 ß #*$%&|<>\n\n" + prose(8, 70), None), (9, "same line here\n" * 40, "a"), (10, "A B\x0bC\x1cD E", "a"),
 ]
 #: Names that operators use inside.
-CLASHING = ["th", "host", "id", "path", "label", "bits0", "size", "shard", "n_words", "cell", "width", "item", "row_hash", "row_id", "found", "base", "kept", "rest", "node", "key", "slot", "_salt", "removed", "d"]
+CLASHING = ["th", "host", "id", "path", "label", "bits0", "size", "shard", "n_words", "cell", "width", "item", "row_hash", "row_id", "found", "base", "kept", "rest", "node", "key", "slot", "_salt", "removed", "d", "_id", "_th", "_host", "_text", "_spans", "_removed", "hash", "gone", "left_text", "spans", "covered", "k", "k_id", "place", "fold", "y"]
 
 
 def frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:

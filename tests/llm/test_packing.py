@@ -17,9 +17,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)  # as it loads: strings of special tokens are special tokens
 
 
 def check(rows, texts: dict, tokenizer, capacity: int = 4096) -> float:
@@ -69,7 +67,7 @@ def test_small_capacity_cuts_documents(spark, tokenizer):
 def test_word_parts_give_the_texts_ids(tokenizer):
     encoder = packing.WordEncoder(PATH)
     assert encoder.fast is not None
-    for text in ["İstanbul ΣΑΣ don't it's WE'LL x'S 12³ ½ ǅ ﬁ Å nbsp x \x1c y\x1fz \x85 q", "<|endoftext|> </w> a</w> ÿþ", "naïve co\u00adop ¿qué? ´` ¨ ª º ʰ", "日本語😀👍🏽", "\ufeffbom a\tb\rc\x0bd", "", " \n ", "a" * 3000, prose(3, 500)]:
+    for text in ["İstanbul ΣΑΣ don't it's WE'LL x'S 12³ ½ ǅ ﬁ Å nbsp x \x1c y\x1fz \x85 q", "<|endoftext|> </w> a</w> ÿþ", "a <|endoftext|> b", "x<|startoftext|>y<|END|><|endoftext|>", "naïve co\u00adop ¿qué? ´` ¨ ª º ʰ", "日本語😀👍🏽", "\ufeffbom a\tb\rc\x0bd", "", " \n ", "a" * 3000, prose(3, 500)]:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
