@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import stage
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM_LENGTHS = (4, 5, 6)
-#: The chain's order. The last is the labelled category; the others refine it, see category_labels.
-CATEGORIES = ["direct", "coded", "severe", "toxic"]
+#: The chain's order: category and what labels say of it. The last decides. What the tables label besides toxicity is
+#: quality, so the earlier links are those of poor text and of text that is both.
+CATEGORIES = {"low_quality": "quality = 0", "toxic_low_quality": "toxic = 1 AND quality = 0", "toxic": "toxic = 1"}
 FOLDS = 5
 PROBES = 8
 
@@ -44,7 +46,7 @@ class Chain:
             made = np.column_stack([made, expit(np.column_stack([x, logit(made), np.ones(len(x))]) @ w)])
         return made
 
-    def of_texts(self, texts: pd.Series) -> np.ndarray:
+    def of_texts(self, texts: Sequence) -> np.ndarray:
         """A row of probabilities for each text."""
         x = np.zeros((len(texts), len(self.columns)))
         known: dict[str, tuple[int, ...]] = {}
@@ -69,7 +71,7 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 25) -> np.ndarray:
+def linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 25) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last column is the bias and bears no penalty."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
@@ -104,123 +106,154 @@ def families(probes: np.ndarray) -> np.ndarray:
     return first
 
 
-def category_labels(x: np.ndarray, toxic: np.ndarray, is_stem: np.ndarray) -> np.ndarray:
-    """Training labels of the chain for labelled rows.
+def link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of one link of the chain from the rows it is labelled for (y is 0 or 1, -1 without a label)."""
+    known = y >= 0
+    share = float(y[known].mean()) if known.any() else 0.0
+    if share in (0.0, 1.0):  # nothing to tell apart
+        return np.concatenate([np.zeros(x.shape[1] - 1), [logit(np.array(share))]])
+    return linear(x[known], y[known].astype(float))
 
-    The tables label one category, so the others are drawn from it: direct (toxic with a telling whole
-    word), coded (toxic with a telling stem but no such word), severe (toxic with more telling features than
-    the median toxic row).
-    """
-    words, stems = x[:, ~is_stem].any(axis=1), x[:, is_stem].any(axis=1)
-    count = x.sum(axis=1)
-    usual = np.median(count[toxic == 1]) if (toxic == 1).any() else 0
-    t = toxic == 1
-    return np.column_stack([t & words, t & stems & ~words, t & (count > usual), t]).astype(float)
 
+def training_rows(docs: DataFrame, labels: DataFrame, rows_each: int, categories: dict[str, str]) -> DataFrame:
+    """doc_id, fold, y (1, 0, or -1 without a label, for each category) and text of the sample.
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows_each: int) -> DataFrame:
-    """doc_id, toxic, text of at most rows_each labelled documents of either label, those of smallest hashed doc_id."""
-    one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    present = one.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    These are at most rows_each documents that have the last category and as many that have it not, those of smallest
+    hashed doc_id. Of several labels of a document the greatest counts, of several texts that of smallest hash.
+    """
+    present = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    said = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(F.expr(says).cast("int")).alias(f"y{i}") for i, says in enumerate(categories.values())))
+    last = f"y{len(categories) - 1}"
+    one = said.filter(F.col(last).isNotNull()).join(present, "doc_id", "left_semi")
     order = [F.xxhash64("doc_id", F.lit("toxicity")), "doc_id"]
-    chosen = [r for v in (1, 0) for r in present.filter(F.col("toxic") == v).orderBy(*order).limit(rows_each).collect()]
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # at most 2 * rows_each ids
-    return stage(rows.select("doc_id", "toxic", "text"), "toxicity")
+    chosen = [r for v in (1, 0) for r in one.filter(F.col(last) == v).orderBy(*order).limit(rows_each).collect()]
+    rows = [(r["doc_id"], [-1 if r[f"y{i}"] is None else r[f"y{i}"] for i in range(len(categories))]) for r in chosen]
+    ids = docs.sparkSession.createDataFrame(rows, "doc_id long, y array<int>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # at most 2 * rows_each ids
+    return stage(texts.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "y", F.col("t.text").alias("text")), "toxicity")
 
 
-def fit(sample: DataFrame, min_odds: float = 2.5, most: int = 400) -> Chain:
-    """Fit the chain on a bounded sample (doc_id, toxic, text).
+def feature_counts(rows: DataFrame, n_categories: int) -> DataFrame:
+    """For each feature and fold f: n{c}_{f} rows that are labelled for category c and hold it, hit{c}_{f} of them with the category."""
 
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                some = batch.iloc[at : at + 500]
+                for fold, part in some.groupby("fold"):
+                    found = [features_of(t) for t in part["text"]]
+                    names, inverse = np.unique(np.concatenate(found), return_inverse=True)
+                    y = np.repeat(np.stack(part["y"].to_numpy()), [len(f) for f in found], axis=0)
+                    sums = {f"{name}{c}": np.bincount(inverse, weight, len(names)).astype(np.int64) for c in range(n_categories) for name, weight in (("n", y[:, c] >= 0), ("hit", y[:, c] == 1))}
+                    yield pd.DataFrame({"feature": names.view(np.int64), "fold": fold, **sums})
+
+    names = [f"{name}{c}" for c in range(n_categories) for name in ("n", "hit")]
+    counted = rows.mapInPandas(counts, "feature long, fold int, " + ", ".join(f"{n} long" for n in names))
+    return counted.groupBy("feature").agg(*(F.sum(F.when(F.col("fold") == f, F.col(n)).otherwise(0)).alias(f"{n}_{f}") for n in names for f in range(FOLDS)))
+
+
+def telling_without(fold: int | None, y: np.ndarray, folds: np.ndarray, min_odds: float) -> Column:
+    """Whether a feature tells of some category by the rows outside a fold (None: by all rows)."""
+    outside = [f for f in range(FOLDS) if f != fold]
+    rows = y[np.isin(folds, outside)]
+    tells = F.lit(False)
+    for c in range(y.shape[1]):
+        n_with, n_without = int((rows[:, c] == 1).sum()), int((rows[:, c] == 0).sum())
+        if n_with and n_without:
+            n, hit = (sum((F.col(f"{name}{c}_{f}") for f in outside), F.lit(0)) for name in ("n", "hit"))
+            odds = F.log((hit + 0.5) / (n_with + 1)) - F.log((n - hit + 0.5) / (n_without + 1))
+            tells = tells | ((hit >= int(np.clip(n_with // 100, 3, 8))) & (odds >= min_odds))
+    return tells
+
+
+def fit(sample: DataFrame, n_categories: int, min_odds: float = 2.5) -> Chain:
+    """Fit the chain on a bounded sample (doc_id, fold, y, text).
+
+    A feature tells of a category if enough rows of the category hold it (a hundredth of them, from 3 to 8) and its log odds
+    ratio is min_odds or more. Out-of-fold probabilities come from models whose features, too, are chosen without the fold.
     Texts and their features stay on the executors. To the driver go each row's minwise features, the
     telling features and each row's places among them.
     """
 
     def minwise_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [probes_of(features_of(t)).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "probes": found})
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                rows = [features_of(t) for t in some["text"]]
-                names, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-                toxic = np.repeat(some["toxic"].to_numpy().astype(float), [len(r) for r in rows])
-                hit = np.bincount(inverse, toxic, len(names)).astype(np.int64)
-                yield pd.DataFrame({"feature": names.view(np.int64), "hit": hit, "n": np.bincount(inverse, minlength=len(names)).astype(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "probes": [probes_of(features_of(t)).view(np.int64) for t in batch["text"]]})
 
-    probed = sample.mapInPandas(minwise_rows, "doc_id long, toxic int, probes array<long>").toPandas().sort_values("doc_id", kind="stable")
+    constant = Chain({}, [np.concatenate([np.zeros(i), [logit(np.array(0.0))]]) for i in range(n_categories)], 0.5)
+    probed = sample.mapInPandas(minwise_rows, "doc_id long, probes array<long>").toPandas().sort_values("doc_id", kind="stable")
+    if not len(probed):
+        return constant
     first = families(np.array(probed["probes"].tolist(), np.int64).reshape(-1, PROBES).view(np.uint64))
-    kept = probed[first]
-    toxic = kept["toxic"].to_numpy().astype(float)
-    if not len(toxic) or toxic.min() == toxic.max():  # nothing to tell apart: all probabilities are the label's share
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        return Chain({}, [np.concatenate([np.zeros(i), [logit(np.array(share))]]) for i in range(len(CATEGORIES))], 0.5)
-    n_toxic, n_clean = int(toxic.sum()), int(len(toxic) - toxic.sum())
     spark = sample.sparkSession
-    distinct = sample.dropDuplicates(["doc_id"]).join(F.broadcast(spark.createDataFrame([(int(i),) for i in kept["doc_id"].unique()], "doc_id long")), "doc_id")
-    sums = distinct.mapInPandas(counts, "feature long, hit long, n long").groupBy("feature").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
-    odds = F.log((F.col("hit") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("hit") + 0.5) / (n_clean + 1))
-    telling = sums.withColumn("odds", odds).filter((F.col("hit") >= int(np.clip(n_toxic // 100, 3, 8))) & (F.col("odds") >= min_odds))
-    chosen = [r["feature"] for r in telling.orderBy(F.desc(F.round(F.col("odds") * F.sqrt("hit"), 9)), "feature").limit(most).collect()]
-    columns = {int(np.int64(f).view(np.uint64)): i for i, f in enumerate(chosen)}
+    distinct = sample.join(F.broadcast(spark.createDataFrame([(int(i),) for i in probed["doc_id"][first]], "doc_id long")), "doc_id")  # ids of the sample
+    known = distinct.select("doc_id", "fold", "y").toPandas().sort_values("doc_id", kind="stable")
+    y, folds = np.stack(known["y"].to_numpy()), known["fold"].to_numpy()
+    variants = [None, *range(FOLDS)]
+    tells = F.array(*(telling_without(v, y, folds, min_odds) for v in variants)).alias("tells")
+    telling = feature_counts(distinct, n_categories).select("feature", tells).filter(F.exists("tells", lambda t: t)).toPandas().sort_values("feature", kind="stable")
+    features = {int(np.int64(f).view(np.uint64)): i for i, f in enumerate(telling["feature"])}
+    chosen = np.array(telling["tells"].tolist(), bool).reshape(-1, len(variants))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [[columns[h] for h in features_of(t).tolist() if h in columns] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "places": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "places": [[features[h] for h in features_of(t).tolist() if h in features] for t in batch["text"]]})
 
-    placed = distinct.mapInPandas(places, "doc_id long, toxic int, places array<int>").toPandas().sort_values("doc_id", kind="stable")
-    toxic = placed["toxic"].to_numpy().astype(float)
-    x = np.zeros((len(placed), len(chosen)))
+    placed = distinct.mapInPandas(places, "doc_id long, places array<int>").toPandas().sort_values("doc_id", kind="stable")
+    x = np.zeros((len(placed), len(features)))
     for i, at in enumerate(placed["places"]):
         x[i, np.asarray(at, int)] = 1
-    y = category_labels(x, toxic, np.array([h & 1 for h in columns], bool))
-    fold = np.arange(len(x)) % FOLDS
     out_of_fold = np.empty((len(x), 0))
     weights = []
-    for c in range(len(CATEGORIES)):
-        z = np.column_stack([x, logit(out_of_fold), np.ones(len(x))])
-        weights.append(linear(z, y[:, c]))
+    for c in range(n_categories):
+        earlier = np.column_stack([logit(out_of_fold), np.ones(len(x))])
+        weights.append(link(np.column_stack([x[:, chosen[:, 0]], earlier]), y[:, c]))
         held = np.empty(len(x))
         for f in range(FOLDS):
-            held[fold == f] = expit(z[fold == f] @ linear(z[fold != f], y[fold != f, c]))
+            z, out = np.column_stack([x[:, chosen[:, f + 1]], earlier]), folds == f
+            held[out] = expit(z[out] @ link(z[~out], y[~out, c]))
         out_of_fold = np.column_stack([out_of_fold, held])
-    p = out_of_fold[:, -1]
-    grid = np.arange(0.2, 0.91, 0.05)
-    scores = [2 * ((p >= g) & (toxic == 1)).sum() / max(1, (p >= g).sum() + toxic.sum()) for g in grid]
-    best = np.flatnonzero(np.array(scores) >= max(scores) - 1e-9)
-    return Chain(columns, weights, float(grid[best[len(best) // 2]]))
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, rows_each: int = 2000) -> DataFrame:
-    """doc_id, th (hash of the text), a probability for each category, toxic for every row of docs.
-
-    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored. The chain is fitted on at most 2 * rows_each
-    labelled documents; near copies count once there. Whole texts are scored by the presence
-    of telling words and stems. Null or empty texts have no features; without labels of both kinds
-    nothing is told apart and every row gets the share of toxic labels (0 without any). Of several labels of a document the greatest counts; a
-    null doc_id is carried through; rows with one doc_id are each scored.
+    p, has = out_of_fold[:, -1], y[:, -1] == 1
+    if has.all() or not has.any():
+        limit = 0.5
+    else:
+        grid = np.arange(0.2, 0.91, 0.05)
+        scores = [2 * ((p >= g) & has).sum() / max(1, (p >= g).sum() + has.sum()) for g in grid]
+        best = np.flatnonzero(np.array(scores) >= max(scores) - 1e-9)
+        limit = float(grid[best[len(best) // 2]])
+    order = [h for h, i in features.items() if chosen[i, 0]]
+    return Chain({h: i for i, h in enumerate(order)}, weights, limit)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, rows_each: int = 2000, categories: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, th (hash of the text), a probability p_<name> for each category, toxic for every row of docs.
+
+    docs: doc_id, text; labels: doc_id and the columns that categories read; other columns are ignored. The chain is fitted on
+    at most 2 * rows_each labelled documents, see training_rows; near copies count once there. Whole texts, however long, are
+    scored by the presence of telling words and stems. Null or empty texts have no features; a category that all or
+    none of the sample has gets the share of its labels, so without labels nothing is toxic. A null doc_id is
+    carried through; rows with one doc_id are each scored; an empty table gives no rows.
     """
-    chain = fit(training_rows(docs, labels, rows_each))
+    categories = CATEGORIES if categories is None else categories
+    chain = fit(training_rows(docs, labels, rows_each, categories), len(categories))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = chain.of_texts(batch["text"])
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"]})
-            for c, name in enumerate(CATEGORIES):
-                out[f"p_{name}"] = p[:, c]
-            out["toxic"] = p[:, -1] >= chain.limit
-            yield out
+            p = chain.of_texts(batch.column("text").to_pylist())
+            made = [*(pa.array(p[:, c]) for c in range(p.shape[1])), pa.array(p[:, -1] >= chain.limit)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *made], names=["doc_id", "th", *(f"p_{c}" for c in categories), "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return rows.mapInPandas(score, "doc_id long, th long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
+    return rows.mapInArrow(score, "doc_id long, th long, " + ", ".join(f"p_{c} double" for c in categories) + ", toxic boolean")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, rows_each: int = 2000) -> DataFrame:
-    """The rows of docs that are not judged toxic, in the columns of docs; judged where they are read."""
-    chain = fit(training_rows(docs, labels, rows_each))
+def without_toxic(docs: DataFrame, labels: DataFrame, rows_each: int = 2000, categories: dict[str, str] | None = None) -> DataFrame:
+    """The rows of docs that are not judged toxic, in the columns of docs; judged where they are read.
+
+    The verdict is that of toxicity(): null and empty texts, null doc_ids and several rows of one doc_id are
+    each judged by their own text; columns of any name are carried.
+    """
+    categories = CATEGORIES if categories is None else categories
+    chain = fit(training_rows(docs, labels, rows_each, categories), len(categories))
     toxic = F.pandas_udf(lambda texts: pd.Series(chain.of_texts(texts)[:, -1] >= chain.limit), "boolean")
     return docs.filter(~toxic("text"))
