@@ -114,14 +114,15 @@ def scan(codes: np.ndarray, ids: np.ndarray, luts: np.ndarray, query_ids: np.nda
     return np.repeat(query_ids, best_id.shape[1]), best_id.ravel(), best_score.ravel()
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 200, width: int = 2, threshold: float = 0.2, sample: int = 8192, query_block: int = 256, row_block: int = 262_144) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 200, width: int = 2, threshold: float = 0.2, sample: int = 8192, query_block: int = 8192, row_block: int = 65_536, least_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k vectors of greatest inner product that were found.
 
     vectors: vec_id, embedding; other columns are ignored. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do those of another length than most of the sample. The
     codebooks are fitted on the sample rows of smallest hashed id (at most sample rows reach the driver);
     every distinct vector is coded; equal vectors form a class whose k + 1 smallest ids stand for it, which
-    loses no answer, as ties go to the smaller vec_id. Blocks of queries meet blocks of codes (query_block and row_block rows), each
+    loses no answer, as ties go to the smaller vec_id. Blocks of queries meet blocks of codes (query_block and row_block rows;
+    blocks of queries are smaller, down to least_block, where there would be fewer pairs than shuffle partitions), each
     pair in one task that returns keep rows for each query; the keep best of all blocks are reranked with the
     original vectors in double precision. Rows with one vec_id count once, by their greatest score.
     """
@@ -147,7 +148,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 200, w
     codes = stage(distinct.mapInPandas(code, "vec_id long, code binary"), "ann")
     queries = good.filter(is_query)
     n_rows, n_queries = codes.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row_blocks = max(1, -(-n_rows // row_block))
+    query_blocks = max(1, -(-n_queries // query_block), min(-(-tasks // row_blocks), -(-n_queries // least_block)))  # enough tasks for few rows
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     rows = codes.withColumn("rb", part(row_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = queries.withColumn("qb", part(query_blocks)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
