@@ -50,3 +50,43 @@ def test_odd_rows_and_uneven_counts(spark, odd, none):
 def test_no_python_in_the_plan(spark):
     plan = queries.op7_kd_tree(spark, str(DATA / "sf0.001"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def brute_shards(rows: list, shards: int, tolerance: float) -> dict:
+    """doc_id to shard by splitting lists at weighted medians. rows: (doc_id, size, text hash, values of the dimensions)."""
+    leaf_bytes, found = sum(r[1] for r in rows) / shards, {}
+
+    def split(part: list, node: int, leaves: int) -> None:
+        if leaves == 1 or not part:
+            found.update({r[0]: node for r in part})
+            return
+        spread = [max(r[3 + d] for r in part) - min(r[3 + d] for r in part) for d in range(3)]
+        d = 3 + spread.index(max(spread))
+        left = (leaves + 1) // 2
+        want, at, cut = sum(r[1] for r in part) * left / leaves, 0, 0
+        part.sort(key=lambda r: (r[d], r[2], r[0]))
+        while at + part[cut][1] / 2 < want:
+            at, cut = at + part[cut][1], cut + 1
+            if cut == len(part):
+                break
+        near = max(0, cut - 1) if cut == len(part) or (cut and at >= want) else cut  # the row in which the cut falls
+        group = [i for i, r in enumerate(part) if (r[d], r[2]) == (part[near][d], part[near][2])]
+        begin, end = sum(r[1] for r in part[: group[0]]), sum(r[1] for r in part[: group[-1] + 1])
+        if min(want - begin, end - want) <= tolerance * leaf_bytes:
+            cut = group[0] if want - begin < end - want else group[-1] + 1
+        split(part[:cut], node, left)
+        split(part[cut:], node + left, leaves - left)
+
+    split(rows, 0, shards)
+    return found
+
+
+def test_cuts_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, str(DATA / "sf0.01"), "documents")
+    sizes = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    rows = docs.select("doc_id", sizes.cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))), sharding.unit_hash(F.col("source")), sharding.unit_hash(F.col("lang")), F.log1p(sizes.cast("long")) / F.lit(24.0)).collect()
+    expected = brute_shards([tuple(r) for r in rows], 16, 0.0025)
+    found = {r.doc_id: r.shard for r in sharding.kd_shards(docs, 16).collect()}
+    assert found == expected
