@@ -15,7 +15,7 @@ def resolve(queries: DataFrame, directory: DataFrame) -> DataFrame:
 
     directory: ticker, title, pos. Steps: exact ticker (the first), then the normalised name, after aliases, as the
     only exact title, the only prefix, the only part of a title. Several matches of a prefix or part are
-    ambiguous. Equality steps are equi-joins; only queries still open meet the titles by prefix and part.
+    ambiguous. Every step is an equi-join: queries still open meet the titles that hold their first three letters.
     """
     aliases = F.create_map(*(F.lit(x) for kv in rules.COMPANY_ALIASES.items() for x in kv))
     plain = normalized_company(F.col("query"))
@@ -25,7 +25,9 @@ def resolve(queries: DataFrame, directory: DataFrame) -> DataFrame:
     by_title = titles.groupBy(F.col("title").alias("name")).agg(F.count(F.lit(1)).alias("n2"), F.min("ticker").alias("t2"))
     step2 = asked.join(by_ticker, "as_ticker", "left").join(by_title, "name", "left")
     open_ = step2.filter("t1 IS NULL AND coalesce(n2, 0) <> 1 AND name <> ''").select("query_id", "name")
-    parts = open_.join(titles, F.col("title").contains(F.col("name"))).groupBy("query_id").agg(
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("title"), i, n)))))
+    held = titles.filter("title <> ''").withColumn("gram", F.explode(grams))
+    parts = open_.withColumn("gram", F.substring("name", 1, 3)).join(held, "gram").filter(F.col("title").contains(F.col("name"))).groupBy("query_id").agg(
         F.sum(F.col("title").startswith(F.col("name")).cast("int")).alias("n3"),
         F.min(F.when(F.col("title").startswith(F.col("name")), F.col("ticker"))).alias("t3"),
         F.count(F.lit(1)).alias("n4"),
@@ -39,8 +41,8 @@ def resolve(queries: DataFrame, directory: DataFrame) -> DataFrame:
 
 
 def tasks(companies: DataFrame, themes: DataFrame) -> DataFrame:
-    """Every company with every theme, and its question. Both are small dimensions."""
-    crossed = companies.crossJoin(F.broadcast(themes))
+    """Every company with every theme, and its question: the product of both is the result."""
+    crossed = companies.crossJoin(themes)
     asks = F.format_string("How did %s's %s change from %d to %d?", "company", "theme", "old_year", "new_year")
     return crossed.withColumns({"task_id": F.concat_ws("_", "company", "theme", "old_year", "new_year"), "question": asks})
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,11 +58,12 @@ def visible_text(html: str | None) -> str:
 def html_to_text(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key and text of each page; HTML needs a parser, so this runs in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "text": [visible_text(h) for h in batch["html"]]})
+            texts = pa.array([visible_text(h.as_py()) for h in batch.column("html")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(key), texts], names=[key, "text"])
 
-    return pages.select(key, F.col(html).alias("html")).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
+    return pages.select(key, F.col(html).alias("html")).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
 
 
 def lines_of(docs: DataFrame, key: str) -> DataFrame:
@@ -141,8 +142,17 @@ def chunked(texts: DataFrame, keys: list[str], size: int = rules.CHUNK_TOKENS, o
 
 
 def with_chunk_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """chunk_id ticker_year_form_slug_nnn, counted over each (ticker, fiscal_year, filing_type, section_type) in order."""
+    """chunk_id ticker_year_form_slug_nnn, counted over each (ticker, fiscal_year, filing_type, section_type) in order.
+
+    order: columns of a document, then the chunk's place in it. Chunks are numbered within their document and shifted by
+    the counts of the documents before it, so only a row for each document of a group meets in one task.
+    """
     slug = F.trim(F.regexp_replace(F.lower("section_type"), "[^a-z0-9]+", "_"))
     form = F.regexp_replace("filing_type", "[^A-Za-z0-9]", "")
-    numbered = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("ticker", "fiscal_year", "filing_type", "section_type").orderBy(*order)))
+    group, document = ["ticker", "fiscal_year", "filing_type", "section_type"], order[:-1]
+    counts = chunks.groupBy(*group, *document).agg(F.count(F.lit(1)).alias("_chunks"))
+    earlier = F.coalesce(F.sum("_chunks").over(Window.partitionBy(*group).orderBy(*document).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c, o = chunks.withColumn("_place", F.row_number().over(Window.partitionBy(*group, *document).orderBy(order[-1]))).alias("c"), counts.withColumn("_before", earlier).alias("o")
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*group, *document)]
+    numbered = c.join(o, same).select("c.*", (F.col("_place") + F.col("_before")).alias("_n")).drop("_place")
     return numbered.withColumn("chunk_id", F.format_string("%s_%d_%s_%s_%03d", "ticker", F.col("fiscal_year").cast("int"), form, slug, "_n")).drop("_n")

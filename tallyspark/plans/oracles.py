@@ -124,7 +124,7 @@ def resolver() -> str:
     return f"""inv AS (
   SELECT *, lower(concept) AS low FROM (
   SELECT cik, concept, min(unit) AS unit, max(value) AS value FROM (
-    SELECT CAST(p_partkey % 97 AS VARCHAR) AS cik, ({names})[p_partkey * 7 % {n} + 1] AS concept, CASE WHEN p_partkey % 13 = 0 THEN 'EUR' ELSE 'USD' END AS unit, p_retailprice AS value FROM part WHERE p_partkey % 10 < 8) GROUP BY ALL)),
+    SELECT CAST(p_partkey % 97 AS VARCHAR) AS cik, ({names})[p_partkey * 7 % {n} + 1] AS concept, CASE WHEN p_partkey % 13 = 0 THEN 'EUR' ELSE 'USD' END AS unit, p_retailprice AS value FROM part) GROUP BY ALL)),
 safe AS (SELECT * FROM {values(safe, "metric, concept, s")}),
 cand AS (
   SELECT cik, metric, concept, value, CASE WHEN unit <> 'USD' THEN 'not_relevant' WHEN s IS NOT NULL THEN 'same_metric' ELSE coalesce({rejection_case(4)}, 'not_auto_resolved') END AS class,
@@ -266,4 +266,34 @@ SQL: dict[str, str] = {
     "parsed_tasks": """WITH m AS (SELECT doc_id AS query_id, list_filter([CASE WHEN NOT contains(lower(text), 'license') THEN 'license' END, CASE WHEN NOT contains(lower(text), 'the') THEN 'the' END, CASE WHEN NOT contains(lower(text), 'und') THEN 'und' END], lambda x: x IS NOT NULL) AS missing FROM documents)
       SELECT query_id, array_to_string(missing, ',') AS missing, len(missing) = 0 AS accepted FROM m""",
     "tool_calls": "SELECT user_id AS run, count(*) AS n_calls, string_agg(event_type, ',' ORDER BY event_id) AS names, bool_or(contains(event_type, 'retrieve')) AS used_retrieval FROM events WHERE event_type <> 'click' GROUP BY 1",
+    "metric_analysis": """WITH r AS (
+        SELECT l_suppkey AS entity, year(l_shipdate) AS fiscal_year, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 2) AS s_ocf, round(-sum(l_extendedprice * l_discount) FILTER (WHERE l_linestatus = 'F'), 2) AS s_capex,
+          round(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 2) AS s_cur, round(sum(l_quantity) FILTER (WHERE l_linenumber = 1), 2) AS s_long, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N') + any_value(l_suppkey) % 3, 2) AS f_ocf,
+          round(sum(l_quantity) FILTER (WHERE l_linenumber = 2), 2) AS f_cur, round(sum(l_quantity) FILTER (WHERE l_linenumber = 3), 2) AS f_int, round(-sum(l_extendedprice * l_discount), 2) AS f_capex FROM lineitem GROUP BY ALL),
+      p AS (SELECT entity, fiscal_year, unnest([{'metric': 'operating_cash_flow', 's': s_ocf, 'f': f_ocf}, {'metric': 'capital_expenditures', 's': s_capex, 'f': f_capex}, {'metric': 'current_debt', 's': s_cur, 'f': f_cur}, {'metric': 'long_term_debt', 's': s_long, 'f': NULL}, {'metric': 'interest_expense', 's': NULL, 'f': f_int}], recursive := true) FROM r),
+      direct AS (SELECT entity, fiscal_year, metric, CAST(coalesce(s, f) AS DOUBLE) AS value, CASE WHEN s IS NOT NULL THEN 'statement:' || metric ELSE 'f_' || metric END AS concept, CASE WHEN s IS NOT NULL THEN 'statement' ELSE 'companyfacts' END AS source,
+          CASE WHEN s IS NULL THEN 'resolved' WHEN f IS NULL THEN 'verified_statement' WHEN abs(s - f) <= 1.0 THEN 'verified_cross_checked' ELSE 'cross_check_mismatch' END AS status,
+          CASE WHEN s IS NULL THEN NULL WHEN f IS NULL THEN 'not_found' WHEN abs(s - f) <= 1.0 THEN 'matched' ELSE 'mismatch' END AS cross_check, CAST(s - f AS DOUBLE) AS difference, coalesce(abs(s - f) > 1.0, false) AS requires_review FROM p WHERE coalesce(s, f) IS NOT NULL),
+      v AS (SELECT entity, fiscal_year, max(value) FILTER (WHERE metric = 'operating_cash_flow') - abs(max(value) FILTER (WHERE metric = 'capital_expenditures')) AS free_cash_flow, max(value) FILTER (WHERE metric = 'current_debt') + max(value) FILTER (WHERE metric = 'long_term_debt') AS total_debt FROM direct GROUP BY ALL),
+      made AS (SELECT entity, fiscal_year, unnest([{'metric': 'free_cash_flow', 'value': free_cash_flow}, {'metric': 'total_debt', 'value': total_debt}], recursive := true) FROM v)
+      SELECT entity, fiscal_year, metric, round(value, 2) AS value, concept, source, status, cross_check, round(difference, 2) AS difference, requires_review FROM direct
+      UNION ALL SELECT entity, fiscal_year, metric, round(value, 2), NULL, CASE WHEN value IS NOT NULL THEN 'deterministic_calculation' END, CASE WHEN value IS NULL THEN 'calculated_metric' ELSE 'calculated_from_verified_inputs' END, NULL, NULL, false FROM made""",
+    "coverage_diagnostics": f"""WITH {FACTS}, m AS (SELECT unnest(['urgent_total', 'high_specified', 'medium_total', 'nothing_here']) AS metric),
+      asked AS (SELECT cik, m.metric FROM (SELECT DISTINCT entity AS cik FROM facts), m),
+      got AS (SELECT entity AS cik, CASE metric WHEN '1-URGENT' THEN 'urgent_total' ELSE 'high_specified' END AS metric, list_sort(list(DISTINCT fiscal_year)) AS y FROM facts WHERE metric IN ('1-URGENT', '2-HIGH') AND fiscal_year IN (1996, 1997, 2001) GROUP BY 1, 2),
+      concepts AS (SELECT cik, concept, count(*) AS n FROM (SELECT DISTINCT entity AS cik, metric AS concept, fiscal_year FROM facts WHERE fiscal_year IN (1996, 1997, 2001) AND form IN ('10-K', '10-K/A')) GROUP BY 1, 2),
+      near AS (SELECT cik, CASE concept WHEN '3-MEDIUM' THEN 'medium_total' ELSE 'high_specified' END AS metric, concept FROM concepts WHERE concept IN ('3-MEDIUM', '4-NOT SPECIFIED')),
+      j AS (SELECT asked.cik, asked.metric, coalesce(y, []) AS y, coalesce(near.concept, '') AS related FROM asked LEFT JOIN got ON got.cik = asked.cik AND got.metric = asked.metric LEFT JOIN near ON near.cik = asked.cik AND near.metric = asked.metric)
+      SELECT cik, metric, array_to_string(y, ',') AS covered, array_to_string(list_filter([1996, 1997, 2001], lambda x: NOT list_contains(y, x)), ',') AS missing, related, CAST(0 AS BIGINT) AS n_zero,
+        CASE WHEN related <> '' AND len(y) > 0 THEN 'partial_with_related_concepts' WHEN related <> '' THEN 'uncovered_with_related_concepts' WHEN len(y) > 0 THEN 'partial' ELSE 'uncovered' END AS diagnosis FROM j WHERE len(y) < 3""",
+    "verified_by_metric": f"WITH {FACTS} SELECT entity, metric, max_by(value, pos) AS value FROM facts WHERE confidence = 'high' GROUP BY ALL",
+    "unverified_mentions": """SELECT doc_id AS answer_id, metric FROM documents, (SELECT unnest(['mit_license', 'of_the', 'que_la', 'und_die']) AS metric)
+      WHERE (doc_id + length(metric)) % 2 <> 0 AND contains(lower(text), replace(metric, '_', ' '))""",
+    "over_fetch": FUSED + """SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS place, fused_rank AS rank, chunk_id FROM fused JOIN chunks USING (chunk_id) WHERE fused_rank <= 12 AND fiscal_year = 2025) WHERE place <= 4""",
+    "supported_ticker": "SELECT n_nationkey, lower(n_name[1:1]) AS ticker, n_name[1:1] = 'I' AS accepted FROM nation",
+    "last_namespace": f"WITH {FACTS}, i AS (SELECT entity AS cik, metric AS concept, confidence AS namespace, round(sum(value), 2) AS value FROM facts GROUP BY ALL) SELECT cik, concept, max(namespace) AS namespace, max_by(value, namespace) AS value FROM i GROUP BY ALL",
+    "unambiguous_facts": f"WITH {FACTS} SELECT entity, metric, CAST(CAST(filed AS DATE) AS VARCHAR) AS filed, min_by(value, pos) AS value, max(value) - min(value) < 1e-9 AS agrees FROM facts GROUP BY ALL",
+    "statement_rejects": f"""SELECT p_partkey, metric, CASE metric WHEN 'capital_expenditures' THEN CASE WHEN contains(l, 'property plant and equipment net') OR contains(l, 'property and equipment net') THEN 'balance_not_flow' WHEN contains(l, 'not yet paid') OR contains(l, 'incurred') THEN 'not_yet_paid' WHEN contains(l, 'lease') THEN 'lease' WHEN contains(l, 'additional paid in capital') THEN 'equity' END
+        ELSE CASE WHEN contains(l, 'lease interest') THEN 'lease_only' WHEN contains(l, 'interest paid') OR contains(l, 'cash paid') THEN 'cash_paid' END END AS reason
+      FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'capital_expenditures' ELSE 'interest_expense' END AS metric, ({[*fixtures.REJECT_LABELS]!r})[p_partkey % {len(fixtures.REJECT_LABELS)} + 1] AS l FROM part)""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
-from tallyspark.operators import entities, evidence, extraction, facts, guardrail, ingestion, projections, reports, research, resolution, retrieval, statements, verification
+from tallyspark.operators import analysis, entities, evidence, extraction, facts, guardrail, ingestion, projections, reports, research, resolution, retrieval, statements, verification
 from tallyspark.plans import fixtures, views
 from tallyspark.sources import readers
 from tallyspark.sources.readers import load
@@ -128,8 +128,8 @@ def priority_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [("urgent_first", "1-URGENT", 1), ("urgent_first", "2-HIGH", 2), ("low_first", "5-LOW", 1), ("low_first", "3-MEDIUM", 2)]
     rules = spark.createDataFrame(order, "metric string, concept string, priority int")
     totals = views.annual_totals(spark, sf_dir).select("entity", "fiscal_year", F.col("metric").alias("concept"), "value", F.lit(0).alias("pos"))
-    sparse = totals.filter(F.length("entity") % 2 == F.col("fiscal_year") % 2)
-    some = sparse.filter(~((F.col("concept") == "1-URGENT") & (F.col("fiscal_year") % 3 == 0)))
+    gap = (F.length("entity") % 2 != F.col("fiscal_year") % 2) | ((F.col("concept") == "1-URGENT") & (F.col("fiscal_year") % 3 == 0))
+    some = totals.withColumn("value", F.when(~gap, F.col("value")))
     return facts.by_priority(some, rules, ["entity", "fiscal_year"]).select("entity", "fiscal_year", "metric", "concept", "value")
 
 
@@ -182,12 +182,13 @@ def calculated_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
     sums = li.groupBy(F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("fiscal_year")).agg(F.round(F.sum("l_extendedprice"), 2).alias("operating_cash_flow"), F.round(-F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("capital_expenditures"), F.round(F.sum("l_quantity"), 2).alias("current_debt"), F.round(F.sum("l_tax"), 2).alias("long_term_debt"))
     long = sums.unpivot(["entity", "fiscal_year"], ["operating_cash_flow", "capital_expenditures", "current_debt", "long_term_debt"], "metric", "value")
-    some = long.filter("NOT (metric = 'long_term_debt' AND entity % 3 = 0)")
-    return resolution.with_calculated(some, ["entity", "fiscal_year"]).select("entity", "fiscal_year", "metric", F.round("value", 2).alias("value"), "source")
+    some = long.withColumn("value", F.expr("CASE WHEN NOT (metric = 'long_term_debt' AND entity % 3 = 0) THEN value END"))
+    return resolution.with_calculated(some, ["entity", "fiscal_year"]).filter("value IS NOT NULL").select("entity", "fiscal_year", "metric", F.round("value", 2).alias("value"), "source")
 
 
 def coverage_partial_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = views.annual_totals(spark, sf_dir).filter("NOT (metric = '2-HIGH' AND fiscal_year >= 1998) AND metric <> '5-LOW'")
+    gap = F.expr("metric = '5-LOW' OR (metric = '2-HIGH' AND fiscal_year >= 1998)")
+    totals = views.annual_totals(spark, sf_dir).withColumn("value", F.when(~gap, F.col("value")))
     out = resolution.coverage_gaps(totals, ["entity"], ["1-URGENT", "2-HIGH", "5-LOW"], [1996, 1997, 1998, 1999])
     return out.select("entity", "metric", F.array_join(F.transform("covered_years", lambda y: y.cast("string")), ",").alias("covered"), F.array_join(F.transform("missing_years", lambda y: y.cast("string")), ",").alias("missing"), "diagnosis")
 
@@ -207,7 +208,7 @@ def resolver_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts of the rule tables and unsafe variants, dealt over parts as issuers."""
     names = F.array(*map(F.lit, fixtures.CONCEPTS))
     n = len(fixtures.CONCEPTS)
-    p = load(spark, sf_dir, "part").filter("p_partkey % 10 < 8")
+    p = load(spark, sf_dir, "part")
     return p.select((F.col("p_partkey") % 97).cast("string").alias("cik"), F.lit(2024).alias("fiscal_year"), F.element_at(names, (F.col("p_partkey") * 7 % n + 1).cast("int")).alias("concept"), F.when(F.col("p_partkey") % 13 == 0, "EUR").otherwise("USD").alias("unit"), F.col("p_retailprice").alias("value")).groupBy("cik", "fiscal_year", "concept").agg(F.min("unit").alias("unit"), F.max("value").alias("value"))
 
 
@@ -391,6 +392,80 @@ def research_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", F.col("pass").cast("long").alias("pass"), "reranker_score")
 
 
+def analysis_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Statement and filed values of suppliers and ship years: sums over their lines, null where no line counts."""
+    li = load(spark, sf_dir, "lineitem").withColumns({"entity": F.col("l_suppkey"), "fiscal_year": F.year("l_shipdate")})
+    price, used = F.col("l_extendedprice"), F.col("l_extendedprice") * F.col("l_discount")
+    rows = li.groupBy("entity", "fiscal_year").agg(
+        F.round(F.sum(F.when(F.col("l_returnflag") == "N", price)), 2).alias("operating_cash_flow"),
+        F.round(-F.sum(F.when(F.col("l_linestatus") == "F", used)), 2).alias("capital_expenditures"),
+        F.round(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), 2).alias("current_debt"),
+        F.round(F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))), 2).alias("long_term_debt"),
+        F.round(F.sum(F.when(F.col("l_returnflag") == "N", price)) + F.col("entity") % 3, 2).alias("f_operating_cash_flow"),
+        F.round(F.sum(F.when(F.col("l_linenumber") == 2, F.col("l_quantity"))), 2).alias("f_current_debt"),
+        F.round(F.sum(F.when(F.col("l_linenumber") == 3, F.col("l_quantity"))), 2).alias("f_interest_expense"),
+        F.round(-F.sum(used), 2).alias("f_capital_expenditures"),
+    )
+    keys = ["entity", "fiscal_year"]
+    stated = rows.unpivot(keys, ["operating_cash_flow", "capital_expenditures", "current_debt", "long_term_debt"], "metric", "value").withColumn("concept", F.concat(F.lit("statement:"), "metric"))
+    filed = rows.unpivot(keys, ["f_operating_cash_flow", "f_current_debt", "f_interest_expense", "f_capital_expenditures"], "concept", "value").withColumn("metric", F.expr("substr(concept, 3)"))
+    return stated, filed
+
+
+def metric_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["entity", "fiscal_year"]
+    direct = analysis.composed(*analysis_inputs(spark, sf_dir), keys)
+    out = analysis.register(direct, keys, ["free_cash_flow", "total_debt"])
+    return out.select(*keys, "metric", F.round("value", 2).alias("value"), "concept", "source", "status", "cross_check", F.round("difference", 2).alias("difference"), "requires_review")
+
+
+def coverage_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configured = {"urgent_total": ["1-URGENT"], "high_specified": ["2-HIGH"], "medium_total": ["9-NONE"], "nothing_here": []}
+    named = F.when(F.col("metric") == "1-URGENT", "urgent_total").when(F.col("metric") == "2-HIGH", "high_specified")
+    values = views.annual_totals(spark, sf_dir).select(F.col("entity").alias("cik"), "fiscal_year", named.alias("metric"), "value")
+    f = views.facts(spark, sf_dir).select(F.col("entity").alias("cik"), F.col("metric").alias("concept"), F.col("fiscal_year").alias("fy"), "fp", "form", "filed", "end", F.col("value").alias("val"), "pos")
+    out = analysis.diagnosed(values, f, configured, [1996, 1997, 2001])
+    years = lambda c: F.array_join(F.transform(c, lambda y: y.cast("string")), ",")
+    return out.select("cik", "metric", years("covered_years").alias("covered"), years("missing_years").alias("missing"), F.array_join("related", ",").alias("related"), F.size("zero_values").cast("long").alias("n_zero"), "diagnosis")
+
+
+def verified_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = views.facts(spark, sf_dir).select("entity", "metric", F.when(F.col("confidence") == "high", "verified").otherwise("unsupported").alias("status"), "value", "pos")
+    return analysis.verified_by_metric(results, ["entity"], "pos")
+
+
+def unverified_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), "text")
+    named = F.explode(F.array(*map(F.lit, ["mit_license", "of_the", "que_la", "und_die"]))).alias("metric")
+    results = d.select("answer_id", named).withColumn("status", F.when((F.col("answer_id") + F.length("metric")) % 2 == 0, "verified").when(F.col("answer_id") % 3 == 0, "unsupported"))
+    return analysis.unverified_mentions(d, results)
+
+
+def over_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = fused(spark, sf_dir).join(views.chunks(spark, sf_dir).drop("text"), "chunk_id").withColumnRenamed("fused_rank", "rank")
+    return analysis.over_fetched(ranked, 4, [2025]).select("query_id", F.col("place").cast("long"), F.col("rank").cast("long"), "chunk_id")
+
+
+def supported_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = load(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 1)).alias("ticker"))
+    return analysis.supported(n, "ticker", ["I"])
+
+
+def last_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.facts(spark, sf_dir).groupBy(F.col("entity").alias("cik"), F.col("metric").alias("concept"), F.col("confidence").alias("namespace")).agg(F.round(F.sum("value"), 2).alias("value"))
+    return facts.last_namespace(rows).select("cik", "concept", "namespace", "value")
+
+
+def unambiguous_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.unambiguous(views.facts(spark, sf_dir), ["entity", "metric", "filed"]).select("entity", "metric", F.col("filed").cast("date").cast("string").alias("filed"), "value", "agrees")
+
+
+def statement_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(*map(F.lit, fixtures.REJECT_LABELS))
+    rows = load(spark, sf_dir, "part").select("p_partkey", F.element_at(labels, (F.col("p_partkey") % len(fixtures.REJECT_LABELS) + 1).cast("int")).alias("normalized_label"), F.when(F.col("p_size") % 2 == 0, "capital_expenditures").otherwise("interest_expense").alias("metric"))
+    return rows.select("p_partkey", "metric", resolution.statement_reject_reason(F.col("metric")).alias("reason"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -402,6 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         statement_rule_match, companyfacts_inventory, inline_xbrl_facts, xml_instance, submissions_unnest,
         evidence_coverage, query_rewrite, guardrail_scan, guardrail_report, guardrail_strip, stage_guard,
         evaluation_summary, source_mix, years_complete, chunk_summary, entity_resolve, task_cross, memory_upsert, trace_rollup, critic_anti_join, critic_repair,
+        metric_analysis, coverage_diagnostics, verified_by_metric, unverified_mentions, over_fetch, supported_ticker, last_namespace, unambiguous_facts, statement_rejects,
         analyst_notes, narrative_facts, compact_evidence, parsed_tasks, tool_calls, research_loop,
     )
 }

@@ -14,7 +14,7 @@ from tallyspark.sources import readers
 
 
 def test_bm25_prefers_the_chunk_with_the_terms_and_counts_repeats(spark):
-    chunks = spark.createDataFrame([("a", "", "", "cash liquidity credit facilities"), ("b", "", "", "vehicle production warranty")], "chunk_id string, section_name string, section_type string, text string")
+    chunks = spark.createDataFrame([("a", "", "", "undrawn liquidity and credit lines"), ("b", "", "", "harbour crane repairs")], "chunk_id string, section_name string, section_type string, text string")
     once, twice = (retrieval.bm25(chunks, spark.createDataFrame([(1, q)], "query_id long, query string"), 5).collect() for q in ("liquidity credit", "liquidity liquidity credit credit"))
     assert [(r.chunk_id, r.rank) for r in once] == [("a", 1)] and once[0].score > 0
     assert twice[0].score == pytest.approx(2 * once[0].score)
@@ -60,11 +60,11 @@ def test_whole_documents_without_sections(spark):
 
 
 def test_claim_statuses(spark):
-    known = spark.createDataFrame([("o", 19.944, "high", False, "USD"), ("n", 21.919, "high", False, "USD"), ("low", 2.0, "low", False, "USD"), ("eur", 3.0, "high", False, "EUR")], "fact_id string, value double, confidence string, review_required boolean, unit string")
-    claims = spark.createDataFrame([("ok", "change", "o", "n", 1.975), ("none", "change", "o", "x", None), ("weak", "change", "o", "low", None), ("unit", "change", "o", "eur", None), ("kind", "level", "o", "n", None), ("wrong", "change", "o", "n", 5.0)], "claim_id string, claim_type string, old_fact_id string, new_fact_id string, stated_change double")
+    known = spark.createDataFrame([("o", 12.25, "high", False, "USD"), ("n", 14.0, "high", False, "USD"), ("low", 2.0, "low", False, "USD"), ("eur", 3.0, "high", False, "EUR")], "fact_id string, value double, confidence string, review_required boolean, unit string")
+    claims = spark.createDataFrame([("ok", "change", "o", "n", 1.75), ("none", "change", "o", "x", None), ("weak", "change", "o", "low", None), ("unit", "change", "o", "eur", None), ("kind", "level", "o", "n", None), ("wrong", "change", "o", "n", 5.0)], "claim_id string, claim_type string, old_fact_id string, new_fact_id string, stated_change double")
     found = {r.claim_id: r for r in verification.verify_claims(claims, known).collect()}
     assert {k: r.status for k, r in found.items()} == {"ok": "verified", "none": "not_enough_data", "weak": "low_confidence", "unit": "inconsistent", "kind": "unsupported", "wrong": "unsupported"}
-    assert found["ok"].absolute_change == pytest.approx(1.975) and found["ok"].percentage_change == pytest.approx(9.902728)
+    assert found["ok"].absolute_change == pytest.approx(1.75) and found["ok"].percentage_change == pytest.approx(14.285714)
 
 
 def test_percent_of_zero_is_null(spark):
@@ -88,17 +88,17 @@ def test_resolver_prefers_configured_concepts(spark):
 
 
 def test_guardrail_binds_numbers_to_tags_of_their_line(spark):
-    briefs = spark.createDataFrame([(1, "Debt rose to $19.944B and +9.90%. [verified: c1]\nLiquidity was $99.000B.\nIn 2025 all was well.")], "doc_id long, text string")
+    briefs = spark.createDataFrame([(1, "Borrowings came to $12.250B, +4.50%. [verified: c1]\nReserves stood at $80.125B.\nIn 2025 nothing else moved.")], "doc_id long, text string")
     ok = spark.createDataFrame([("c1", "verified")], "claim_id string, status string")
     scanned = guardrail.scan(briefs, ok)
-    assert [(r.number, r.bound) for r in scanned.orderBy("line_no", "ordinal").collect()] == [("$19.944B", True), ("+9.90%", True), ("$99.000B", False)]
+    assert [(r.number, r.bound) for r in scanned.orderBy("line_no", "ordinal").collect()] == [("$12.250B", True), ("+4.50%", True), ("$80.125B", False)]
     text = guardrail.stripped(briefs, scanned).first().text
-    assert "99.000" not in text and "In 2025" in text and text.endswith("finalization.")
+    assert "80.125" not in text and "In 2025" in text and text.endswith("finalization.")
     assert guardrail.report(scanned).first().severity == "block"
 
 
 def test_stage_guard_drops_lines_with_other_numbers(spark):
-    texts = spark.createDataFrame([(1, "Up to 50.0 in 2025\nor 999.0")], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, "Up to 50.0 in 2025\nor 731.5")], "doc_id long, text string")
     allowed = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), guardrail.renderings(F.lit(50.0)).alias("numbers"))
     r = guardrail.stage_guard(texts, allowed).first()
     assert (r.status, r.text, r.blocked_lines) == ("repaired", "Up to 50.0 in 2025", 1)
@@ -113,7 +113,7 @@ def test_coverage_names_what_is_missing(spark):
 
 def test_entities(spark):
     directory = spark.createDataFrame([("JPM", "JPMorgan Chase & Co", 0), ("A1", "Alpha One Inc", 1), ("A2", "Alpha Two Inc", 2)], "ticker string, title string, pos int")
-    asked = spark.createDataFrame([(1, "JP Morgan"), (2, "alpha"), (3, "Private Offshore Ltd"), (4, "a1")], "query_id long, query string")
+    asked = spark.createDataFrame([(1, "JP Morgan"), (2, "alpha"), (3, "Nameless Harbour Works"), (4, "a1")], "query_id long, query string")
     assert {r.query_id: (r.status, r.ticker) for r in entities.resolve(asked, directory).collect()} == {1: ("resolved", "JPM"), 2: ("ambiguous", None), 3: ("not_found", None), 4: ("resolved", "A1")}
 
 
