@@ -92,11 +92,11 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], rows_per_sa
 
     Each key is dealt over salts; rows are numbered within (keys, salt) and shifted by the counts of the
     smaller salts. The order between salts is by hash, so the rank is deterministic but not sorted by order.
-    There are four salts for each shuffle partition, and more where a salt of a group of all rows would
+    There is a salt for each shuffle partition, and more where a salt of a group of all rows would
     hold over rows_per_salt. order must identify a row, except for rows equal in every column.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(4 * partitions, -(-df.count() // rows_per_salt))
+    salts = max(partitions, -(-df.count() // rows_per_salt))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     within = Window.partitionBy(*keys, "_salt").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: i
     signed = stage(signatures(docs, width), "dedup")
     one_text = F.min(F.struct("th", "h1", "h2", "n_shingles", "bits0", "bits1", "tokens")).alias("x")
     usable = stage(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(one_text).select("doc_id", "x.*"), "dedup")
-    classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    reps = stage(usable.join(classes, ["h1", "h2"]).filter("doc_id = id").select("id", "th", "n_shingles", "bits0", "bits1", "tokens"), "dedup")
+    least = F.min(F.struct(F.col("doc_id").alias("id"), "th", "n_shingles", "bits0", "bits1", "tokens")).alias("x")  # combined on the map side, so many copies cost a row per task
+    reps = stage(usable.groupBy("h1", "h2").agg(least).select("h1", "h2", "x.*"), "dedup")
+    classes = reps.select("h1", "h2", "id")
     paths = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[t]).alias("path")) for t in range(trees)))
     members = reps.select("id", "n_shingles", F.explode(paths).alias("p")).select("id", "n_shingles", "p.*")
     is_small = (F.count(F.lit(1)) <= leaf) & (F.sum("n_shingles") <= leaf_shingles)
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, trees: i
     met_rows = stage(members.drop("n_shingles").join(nodes, "path"), "dedup")
     shared = met_rows.filter("n > 1").drop("n")  # rows that meet another text in some tree
     small = shared.groupBy("id").agg(F.bit_or(F.when(F.col("is_small"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).otherwise(F.lit(0).cast("long"))).alias("small"))
-    marked = stage(reps.join(small, "id"), "dedup")
+    marked = stage(reps.drop("h1", "h2").join(small, "id"), "dedup")
     facts = marked.select("id", "bits0", "bits1", F.slice("tokens", 1, trees).alias("trees"), "small")
     cells = [shared.filter("is_small").select(F.col("path").alias("cell"), "tree", "id")]
     rows = shared.filter(~F.col("is_small")).select("path", "id").join(marked.select("id", "n_shingles", "tokens"), "id")

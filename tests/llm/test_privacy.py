@@ -79,3 +79,39 @@ def test_odd_rows(odd, none):
     assert len(found) == len(ODD)
     assert privacy.redacted(odd).columns == odd.columns and privacy.redacted(odd).count() == len(ODD)
     assert privacy.personal_data(none).count() == 0 and privacy.redacted(none).count() == 0
+
+
+def test_long_octets_and_lists_of_numbers():
+    import time
+
+    assert privacy.base_spans("0" * 6000 + ".1.1.1 x") == [(0, 1, 6006)] and privacy.base_spans("1" * 6000 + ".1.1.1") == []
+    began = time.time()
+    assert len(privacy.occurrences("call +1 (906) 555-7738 or 906-555-7738, " * 20_000, [])) > 20_000
+    privacy.occurrences(" at a" * 200_000, [])
+    assert time.time() - began < 30
+
+
+def test_contexts_hold_whole_words():
+    long = "w" * 300
+    text = f"{long} x\ny {long} 906-555-7738 {long}z\n"
+    at = text.index("906")
+    assert privacy.Contexts(text).of(at, at + 12) == [f"y {long} _", f"{long} _", f"_ {long}z"]
+
+
+def test_obfuscated_addresses_and_secrets(spark):
+    docs = [(i, f"{prose(i, 20)}\nplease write mailto {f'a{i}@example.com' if i < 20 else f'jane{i} [AT] example [DOT] com' if i < 25 else f'jane{i}(at)example.com'} soon", "a") for i in range(30)]
+    docs += [(100 + i, f"{prose(i, 20)}\napikey = {chr(34) + f'{i:02d}' + 'ab3' * 12 + chr(34) if i < 12 else f'zz{i}' + 'Q7x' * 9} end", "a") for i in range(16)]
+    found = {r.doc_id: [privacy.ALL_KINDS[x.k] for x in r.all_spans] for r in privacy.personal_data(frame(spark, docs)).collect()}
+    assert all(found[i] == ["email"] for i in range(30)) and all(found[100 + i] == ["secret"] for i in range(16))
+
+
+def test_extra_spans_of_the_tables(spark):
+    """What context adds on the tables are the quoted tokens, told apart by a plain expression over every text."""
+    sf = str(DATA / "sf0.01")
+    found = {r.doc_id: r.spans for r in queries.op2_contextual_pii(spark, sf).collect()}
+    said = 0
+    for r in table(spark, sf, "documents").collect():
+        expected = [f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)\btoken = "([0-9a-f]{40})"', r.text or "")]
+        assert [x for x in found[r.doc_id].split(",") if x.startswith("secret")] == expected
+        said += len(expected)
+    assert said > 5
