@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from tallyspark.llm.common import rank_in_groups, stage
 
-#: Bytes of encoded parts that a worker keeps, about; beyond it the cache starts anew, and with the partition it ends.
-CACHE_BYTES = 32 << 20
+#: Bytes of encoded parts, about, that make a generation; a worker keeps two, and none beyond its partition.
+CACHE_BYTES = 64 << 20
 
 #: Parts in these characters bear no normalisation but lower-casing, so their pre-tokens can be encoded one by one.
 PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]*")
@@ -34,22 +34,28 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Parts(dict):
-    """Encoded parts; a missing one is made and, if short, kept."""
+    """Encoded parts in two generations; a missing one is taken over from the older generation, or made."""
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.make, self.bytes = make, 0
+        self.make, self.bytes, self.older = make, 0, {}
 
     def __missing__(self, part: str) -> bytes:
-        made = self.make(part)
-        if len(part) <= 200:
-            self[part] = made
-            self.bytes += 200 + len(part) + len(made)
-        return made
+        found = self.older.get(part)
+        if found is None:
+            found = self.make(part)
+        self[part] = found
+        self.bytes += 200 + len(part) + len(found)
+        return found
+
+    def age(self) -> None:
+        """Begin a new generation; what nobody asked for in the last one goes."""
+        self.older, self.bytes = dict(self), 0
+        super().clear()
 
     def clear(self) -> None:
         super().clear()
-        self.bytes = 0
+        self.bytes, self.older = 0, {}
 
 
 class WordEncoder:
@@ -68,10 +74,12 @@ class WordEncoder:
         self.known = Parts(self.part)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.fast = None if any(" " in t or "\n" in t for t in self.special) else self.rank_table(spec)
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
+        self.fast = None if any(" " in t or "\n" in t or t.isalpha() for t in special) else self.rank_table(spec)
         if self.fast is not None:
-            self.pretoken = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            self.pretoken, self.letters_are_one = regex.compile(pattern), "|[\\p{L}]+|" in pattern
 
     @cached_property
     def tokenizer(self):
@@ -102,7 +110,10 @@ class WordEncoder:
         return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
 
     def part(self, p: str) -> bytes:
-        if self.fast is not None and PLAIN.fullmatch(p) and not any(t in p for t in self.special):
+        plain = self.fast is not None and ((p.isascii() and p.isprintable()) or PLAIN.fullmatch(p))
+        if plain and self.letters_are_one and p.isalpha():
+            ids = self.fast._encode_single_piece(p.lower().encode() + b"\xff")
+        elif plain and not self.special.search(p):
             piece = self.fast._encode_single_piece
             ids = [i for t in self.pretoken.findall(p.lower()) for i in piece(t.encode() + b"\xff")]
         else:
@@ -114,7 +125,7 @@ class WordEncoder:
         if self.fast is None:  # nothing is known of how its parts join
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.known.bytes > CACHE_BYTES:
-            self.known.clear()
+            self.known.age()
         known = self.known
         return b"".join([known[p] for p in text.replace("\n", " ").split(" ")])
 
