@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, bytebpe, dedup, licenses, packing, privacy, quality, sharding, toxicity, urls
+from tallyspark.llm import ann, bytebpe, dedup, licenses, middle, packing, privacy, quality, sharding, toxicity, urls
 from tallyspark.llm.common import table
 
 
@@ -60,6 +60,12 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_marker_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_rules": op1_sentence_rules,
     "op2_contextual_pii": op2_contextual_pii,
@@ -71,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_path_templates": op8_path_templates,
     "op9_chunked_bpe": op9_chunked_bpe,
     "op10_chosen_path": op10_chosen_path,
+    "op11_marker_injection": op11_marker_injection,
 }
