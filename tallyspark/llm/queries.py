@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, bytebpe, dedup, licenses, middle, packing, privacy, quality, sharding, toxicity, urls
+from tallyspark.llm import ann, bytebpe, dedup, licenses, middle, packing, periodic, privacy, quality, sharding, toxicity, urls
 from tallyspark.llm.common import table
 
 
@@ -66,6 +66,17 @@ def op11_marker_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def runs_digest(found: DataFrame) -> DataFrame:
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = [F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_lpf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_rules": op1_sentence_rules,
     "op2_contextual_pii": op2_contextual_pii,
@@ -78,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chunked_bpe": op9_chunked_bpe,
     "op10_chosen_path": op10_chosen_path,
     "op11_marker_injection": op11_marker_injection,
+    "op12_lpf_runs": op12_lpf_runs,
 }
