@@ -105,9 +105,25 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM parts
 """
 
+#: What the archives must hold; 20 bits of the digest at a time make four letters.
+OP13 = r"""
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest FROM p
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM d GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d JOIN f USING (payload_digest)
+"""
+
 SQL: dict[str, str] = {
     "op3_line_rules": OP3,
     "op4_anisotropic": OP4,
     "op10_chosen_path": OP10,
     "op11_marker_injection": OP11,
+    "op13_sharded_writer": OP13,
 }

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, bytebpe, dedup, licenses, middle, packing, periodic, privacy, quality, sharding, toxicity, urls
-from tallyspark.llm.common import table
+from tallyspark.llm import ann, archives, bytebpe, dedup, licenses, middle, packing, periodic, privacy, quality, sharding, toxicity, urls
+from tallyspark.llm.common import shared_dir, table
 
 
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,12 @@ def op12_lpf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True))
 
 
+def op13_sharded_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    archives.write(table(spark, sf_dir, "pages"), folder)
+    return archives.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_rules": op1_sentence_rules,
     "op2_contextual_pii": op2_contextual_pii,
@@ -90,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chosen_path": op10_chosen_path,
     "op11_marker_injection": op11_marker_injection,
     "op12_lpf_runs": op12_lpf_runs,
+    "op13_sharded_writer": op13_sharded_writer,
 }
