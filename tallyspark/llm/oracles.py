@@ -20,16 +20,26 @@ WITH d AS (
   SELECT doc_id, host, text, len(x) AS n,
          md5(trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS k
   FROM (SELECT doc_id, host, text, unnest(l) AS x FROM w)
-), carried AS (
-  SELECT DISTINCT host, k, text, CASE WHEN k = ks[1] THEN coalesce(ks[2], k) ELSE ks[1] END AS sig
-  FROM (SELECT host, k, text, list_sort(list_distinct(list(k) OVER (PARTITION BY doc_id))) AS ks FROM lines)
-), counts AS (
-  SELECT host, k, count(DISTINCT text) AS n_docs, count(DISTINCT sig) AS n_sigs FROM carried GROUP BY 1, 2
 ), hosts AS (
   SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY 1
+), above AS (
+  SELECT host, k, n_docs FROM (SELECT host, k, count(DISTINCT text) AS n_docs FROM lines GROUP BY 1, 2) JOIN hosts USING (host)
+  WHERE n_docs > 20 AND n_docs > host_docs * 0.05
+), pieces AS (
+  SELECT DISTINCT host, text, k, n FROM lines
+), texts AS (
+  SELECT host, text, sum(n) AS total, list_sort(list_distinct(list(k))) AS ks FROM pieces GROUP BY 1, 2
+), shared AS (
+  SELECT host, text, sum(n) AS shared FROM pieces JOIN above USING (host, k) GROUP BY 1, 2
+), carried AS (
+  SELECT host, k, text, total, shared, CASE WHEN k = ks[1] THEN coalesce(ks[2], k) ELSE ks[1] END AS other
+  FROM (SELECT DISTINCT host, text, k FROM pieces JOIN above USING (host, k)) JOIN texts USING (host, text) JOIN shared USING (host, text)
+), signed AS (
+  SELECT host, k, text, other, 4 * (total - shared) <= total AND 8 * total <= 9 * max(shared) OVER (PARTITION BY host, k) AS alike FROM carried
+), varied AS (
+  SELECT host, k, count(DISTINCT CASE WHEN alike THEN other END) + count(DISTINCT CASE WHEN NOT alike THEN text END) AS n_sigs FROM signed GROUP BY 1, 2
 ), frequent AS (
-  SELECT host, k FROM counts JOIN hosts USING (host)
-  WHERE n_docs > 20 AND n_docs > host_docs * 0.05 AND n_sigs >= n_docs * 0.5
+  SELECT host, k FROM above JOIN varied USING (host, k) WHERE n_sigs >= n_docs * 0.5
 ), remains AS (
   SELECT doc_id, sum(n) AS total, coalesce(sum(n) FILTER (WHERE f.k IS NULL), 0) AS rest,
          count(DISTINCT lines.k) FILTER (WHERE f.k IS NOT NULL) AS n_removed

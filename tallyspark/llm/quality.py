@@ -82,6 +82,11 @@ def document_measures(docs: DataFrame) -> DataFrame:
     )
 
 
+def distinct_lines(lines: Column) -> Column:
+    """The different (key, characters) of an array, by sorting: comparing each with all others would be quadratic."""
+    return let(F.sort_array(lines), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["k"] != s[F.greatest(i - 1, F.lit(0))]["k"]) | (x["n"] != s[F.greatest(i - 1, F.lit(0))]["n"])))
+
+
 def frequent_lines(measured: DataFrame, min_docs: int, max_share: float, min_variety: float) -> DataFrame:
     """(host, k) of the lines above the limits whose carriers are no family of near copies.
 
@@ -92,7 +97,7 @@ def frequent_lines(measured: DataFrame, min_docs: int, max_share: float, min_var
     smallest other key, all others count each as itself, and the line needs min_variety such values a text.
     Every grouping is combined on the map side first.
     """
-    lines = F.array_distinct("lines")
+    lines = distinct_lines(F.col("lines"))
     keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["k"])))
     every = measured.select("host", "th", F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
     counts = every.groupBy("host", "k", "th").agg(F.lit(1).alias("one")).groupBy("host", "k").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
@@ -118,21 +123,23 @@ def line_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05, min
     more than min_docs distinct texts and more than max_share of the host's texts carry it, see
     frequent_lines. A document is depleted if less than min_left of the characters of its lines remain.
     Returns one row per input row: doc_id, th, the measures, base_failed, removed (keys of its boilerplate
-    lines), left_share, kept. Null or empty texts have no words and fail; a null source is a host of its
+    lines), removed_at (their places among the lines that hold a word), left_share, kept. Null or empty texts have no words and fail; a null source is a host of its
     own; a null doc_id is carried through; rows with the same doc_id are judged each by its own text.
     """
     measured = stage(document_measures(docs), "quality")
     frequent = frequent_lines(measured, min_docs, max_share, min_variety)
-    carried = measured.select("doc_id", "th", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
-    removed = carried.join(frequent, ["host", "k"]).groupBy("doc_id", "th", "host").agg(F.collect_set("k").alias("removed"))
+    carried = measured.select("doc_id", "th", "host", F.posexplode(F.transform("lines", lambda x: x["k"])).alias("at", "k"))
+    found = carried.join(frequent, ["host", "k"]).groupBy("doc_id", "th", "host", "k", "at").agg(F.lit(1).alias("one"))
+    removed = found.groupBy("doc_id", "th", "host").agg(F.collect_set("k").alias("removed"), F.sort_array(F.collect_list("at")).alias("removed_at"))
     m, r = measured.alias("m"), removed.alias("r")
     same = F.col("m.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("m.th") == F.col("r.th")) & (F.col("m.host") == F.col("r.host"))
-    joined = m.join(r, same, "left").select("m.*", F.coalesce("r.removed", F.array().cast("array<bigint>")).alias("removed"))
+    joined = m.join(r, same, "left").select("m.*", F.coalesce("r.removed", F.array().cast("array<bigint>")).alias("removed"), F.coalesce("r.removed_at", F.array().cast("array<int>")).alias("removed_at"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    left = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains("removed", x["k"]), F.lit(0)).otherwise(x["n"]))
+    gone = F.aggregate("removed_at", F.lit(0).cast("long"), lambda a, i: a + F.col("lines")[i]["n"])
+    left = total - gone
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     shares = joined.withColumn("left_share", F.when(total > 0, left / total).otherwise(F.lit(0.0))).withColumn("base_failed", failed)
-    return shares.select("doc_id", "th", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed", "left_share", (~F.col("base_failed") & (F.col("left_share") >= min_left)).alias("kept"))
+    return shares.select("doc_id", "th", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed", "removed_at", "left_share", (~F.col("base_failed") & (F.col("left_share") >= min_left)).alias("kept"))
 
 
 def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
@@ -142,11 +149,14 @@ def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
     doc_id and equal rows are each kept or dropped by their own text. Lines without a word stay; very long
     texts are judged whole; an empty table gives no rows. Columns of any name are carried.
     """
-    judged = line_rules(docs, **limits).filter("kept").groupBy("doc_id", "th", "host").agg(F.first("removed").alias("removed"))
+    judged = line_rules(docs, **limits).filter("kept").groupBy("doc_id", "th", "host").agg(F.first("removed_at").alias("removed_at"))
     id_, hash_, host, gone, text = fresh(docs, "id", "hash", "host", "gone", "left_text")
     own = docs.withColumns({id_: F.col("doc_id").cast("long"), hash_: F.xxhash64(F.coalesce("text", F.lit(""))), host: F.coalesce("source", F.lit("\u0000"))})
-    known = judged.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.col("host").alias("k_host"), F.col("removed").alias(gone)).alias("k")
+    known = judged.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.col("host").alias("k_host"), F.col("removed_at").alias(gone)).alias("k")
     joined = own.join(known, F.col(id_).eqNullSafe(F.col("k.k_id")) & (F.col(hash_) == F.col("k.k_th")) & (F.col(host) == F.col("k.k_host")))
-    kept_lines = F.array_join(F.filter(F.split(own["text"], "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(gone, line_key(x))), "\n")
+    split = F.split(own["text"], "\n")
+    worded = F.filter(F.transform(split, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    places = let(worded, lambda w: F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.transform(gone, lambda j: w[j])))
+    kept_lines = F.array_join(let(split, lambda l: F.transform(places, lambda i: l[i])), "\n")
     out = joined.withColumn(text, F.when(F.size(gone) > 0, kept_lines).otherwise(own["text"]))
     return out.select(*(F.col(text).alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else own["`" + c + "`"].alias(c) for c in docs.columns))

@@ -73,3 +73,43 @@ def test_query_equals_sql(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.op3_line_rules(spark, str(DATA / "sf0.001"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def families() -> list[tuple]:
+    """Boilerplate over own lines, shells with few own lines, families of near copies, copies, and keys that differ in digits alone."""
+    header = prose(77, 70).replace("\n", " ")
+    docs = [(i, f"{header} {i}\n{prose(i, 200)}", "a") for i in range(60)]
+    docs += [(100 + i, f"{header} {i}\n\n{prose(500 + i, 15)}\npage {i}\npage {i + 1}", "a") for i in range(5)]
+    docs += [(200 + i, prose(9, 200), "b") for i in range(40)]
+    docs += [(300 + i, "\n".join(x for j, x in enumerate(prose(10, 300).split("\n")) if j != i % 30) + f"\nown {i} {prose(700 + i, 8)}", "b") for i in range(60)]
+    for shared, own in ((3, 1), (10, 1), (10, 2), (20, 1)):
+        shell = prose(40 + shared + own, 10 * shared)
+        docs += [(1000 * shared + 100 * own + i, f"{shell}\n{prose(5000 + 1000 * shared + 100 * own + i, 10 * own)}", f"{shared}+{own}") for i in range(60)]
+    return docs
+
+
+def test_sql_states_the_rule_where_it_decides(spark):
+    docs = frame(spark, families())
+    duck = tables("sf0.001")
+    duck.execute("DROP VIEW documents")
+    duck.register("documents", docs.select("doc_id", "text", "source").toPandas())
+    found = quality.line_rules(docs)
+    judged = {r.doc_id: r for r in found.collect()}
+    named = {r[0]: r for r in duck.execute(f"SELECT doc_id, kept, left_share, n_removed_lines FROM ({oracles.SQL['op3_line_rules']})").fetchall()}
+    assert set(judged) == set(named)
+    assert all((r.kept, round(r.left_share, 6), len(r.removed)) == named[i][1:] for i, r in judged.items())
+    removed = {s: sum(len(judged[i].removed) for i, _, h in families() if h == s) for s in ("a", "b", "3+1", "10+1", "10+2", "20+1")}
+    assert removed["a"] and removed["3+1"] and removed["10+2"] and not removed["b"] and not removed["10+1"] and not removed["20+1"]
+
+
+def test_long_document_with_shared_lines(spark):
+    import time
+
+    shared = [f"shared {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} line of all" for i in range(400)]
+    spell = str.maketrans("0123456789", "abcdefghij")
+    docs = [(i, "\n".join([shared[i % 400], *(shared[:60]), prose(i, 400)]), "a") for i in range(60)]
+    docs.append((999, "\n".join(f"{shared[i % 60]}\nown {str(i).translate(spell)} words of it" for i in range(100_000)), "a"))
+    began = time.perf_counter()
+    kept = {r.doc_id: r.text for r in quality.cleaned(frame(spark, docs), max_repeat_share=101).collect()}
+    assert time.perf_counter() - began < 90
+    assert kept[999] == "\n".join(f"own {str(i).translate(spell)} words of it" for i in range(100_000))
