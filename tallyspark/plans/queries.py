@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
-from tallyspark.operators import analysis, entities, evidence, extraction, facts, guardrail, ingestion, projections, reports, research, resolution, retrieval, statements, verification
+from tallyspark.operators import analysis, entities, evidence, extraction, facts, guardrail, index, ingestion, projections, reports, research, resolution, retrieval, statements, verification
 from tallyspark.plans import fixtures, views
 from tallyspark.sources import readers
 from tallyspark.sources.readers import load
@@ -20,7 +20,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(views.chunks(spark, sf_dir), views.search_queries(spark), 10).select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("score", 6).alias("score"))
+    return index.search(views.kept_index(spark, sf_dir), views.search_queries(spark), 10).select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("score", 6).alias("score"))
 
 
 def bm25_filtered_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def bm25_filtered_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.bm25(views.chunks(spark, sf_dir), queries, 3).select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("score", 6).alias("score"))
+    return index.search(views.kept_index(spark, sf_dir), queries, 3).select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("score", 6).alias("score"))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = retrieval.bm25(views.chunks(spark, sf_dir), views.search_queries(spark), 30)
+    sparse = index.search(views.kept_index(spark, sf_dir), views.search_queries(spark), 30)
     dense = retrieval.vector_search(views.vectors(spark, sf_dir), views.query_vectors(spark, sf_dir), 30)
     return retrieval.reciprocal_rank_fusion([sparse, dense])
 

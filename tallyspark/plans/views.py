@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.operators import index
 from tallyspark.sources.readers import load
+from tallyspark.sources.staging import fresh_path
 
 QUERY_TEXTS = {1: "the of the and to", 2: "licensed under the license", 3: "der die und das", 4: "que los las del token"}
 QUERY_VECTORS = [0, 7, 13]
@@ -17,6 +19,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section_type"), F.col("source").alias("section_name"), F.when(F.col("doc_id") % 2 == 0, 2023).otherwise(2025).alias("fiscal_year"), F.lit("10-K").alias("filing_type"), "text")
 
 
+#: Indexes of this application by the folder of their tables, which do not change.
+KEPT: dict[tuple[str, str], index.Index] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of all chunks, built by the first query that searches and reused by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in KEPT:
+        KEPT[key] = index.build(chunks(spark, sf_dir), fresh_path(spark, "bm25"))
+    return KEPT[key]
+
+
 def search_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUERY_TEXTS.items()), "query_id long, query string")
 
