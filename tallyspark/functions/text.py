@@ -103,3 +103,13 @@ def display_number(text: Column, zero_for_dash: Column) -> Column:
     amount = number.try_cast("double")
     signed = F.when(value.contains("(") & value.contains(")"), -F.abs(amount)).otherwise(amount)
     return F.when(value.isin("", "$", "(", ")"), F.lit(None)).when(value.isin("-", "—", "$ -", "$ —"), F.when(zero_for_dash, F.lit(0.0))).when(value.rlike("[0-9]"), signed)
+
+
+def last_entries(entries: Column) -> Column:
+    """A map of (key, value) entries; of equal keys the last one counts."""
+
+    def kept(e: Column) -> Column:
+        later = F.reverse(F.transform(e, lambda x: x["key"]))
+        return F.filter(e, lambda x, i: F.array_position(later, x["key"]) == F.size(e) - i)
+
+    return F.map_from_entries(F.transform(F.array(entries), kept)[0])

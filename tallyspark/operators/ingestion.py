@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -72,12 +72,12 @@ def lines_of(docs: DataFrame, key: str) -> DataFrame:
     return split.select(key, "pos", normalized_line(F.col("raw")).alias("line")).filter("line <> ''")
 
 
-def heading(line: Column) -> Column:
-    """(name, type) of a heading line, or null. The first rule that fits decides.
+def heading(line: Column, c: Column | None = None) -> Column:
+    """(name, type) of a heading line, or null. The first rule that fits decides. c is the line's canonical form, where it is at hand.
 
     Fixed values: the patterns, names and types of the headings.
     """
-    c = canonical(line)
+    c = canonical(line) if c is None else c
     bare = F.regexp_replace(line, r"\.+$", "")
     ladder = [
         (c.rlike(r"^note [0-9]+ debt and commitments"), F.lit("Debt and Commitments"), "debt"),
@@ -98,31 +98,45 @@ def heading(line: Column) -> Column:
     return pick
 
 
-def sections(lines: DataFrame, key: str, mark: Column | None = None, min_chars: int = 500, short_min_chars: int = 180) -> DataFrame:
-    """key, section_no, name, type, start_pos, text: the lines from one heading up to the next.
+def segmented(docs: DataFrame, key: str, mark: Callable[[Column, Column], Column] = heading, min_chars: int = 500, short_min_chars: int = 180, whole: bool = False) -> DataFrame:
+    """key, section_no, name, type, start_pos, text: the normalised lines of a document from one heading up to the next.
 
-    lines: key, pos, line. mark is a struct of name and type, null off headings (default: heading). Headings before the
-    document's body (its second "item 1" line, else its first) do not count. Boundaries only end
-    sections; short sections are dropped. Each document is one window.
+    docs: key, text. mark gives a struct of name and type from a line and its canonical form, null off headings. Headings before the
+    document's body (its second "item 1" line, else its first, else the start) do not count. Boundaries only end
+    sections; sections below min_chars (debt and credit facilities: short_min_chars) are dropped. With whole, a document without
+    a section gives one of its whole text, number 1 of type full_filing; a null text has no lines.
+    All work is on the array of a document's lines, in its row: nothing is shuffled, and its cost is linear in the lines.
     """
-    c = canonical(F.col("line"))
-    marked = lines.withColumns({"mark": heading(F.col("line")) if mark is None else mark, "is_body": c.isin("item 1", "item 1 business")})
-    order = Window.partitionBy(key).orderBy("pos")
-    everything = Window.partitionBy(key)
-    bodies = marked.withColumn("bodies", F.sum(F.col("is_body").cast("int")).over(order)).withColumn("all_bodies", F.max("bodies").over(everything))
-    begun = bodies.withColumn("started", F.col("bodies") >= F.least(F.lit(2), F.col("all_bodies")))
-    numbered = begun.withColumn("section_no", F.sum((F.col("started") & F.col("mark").isNotNull()).cast("int")).over(order)).filter("section_no > 0")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    made = numbered.groupBy(key, "section_no").agg(F.min_by("mark", "pos").alias("mark"), F.min("pos").alias("start_pos"), joined.alias("text"))
-    least = F.when(F.col("mark.type").isin("debt", "credit_facilities"), F.lit(short_min_chars)).otherwise(F.lit(min_chars))
-    return made.filter((F.col("mark.type") != "boundary") & (F.length("text") >= least)).select(key, "section_no", "mark.name", "mark.type", "start_pos", "text")
-
-
-def with_whole_documents(made: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """Add one full_filing section for each document without any."""
-    rest = docs.join(made.select(key).distinct(), key, "left_anti")
-    whole = rest.select(key, F.lit(1).alias("section_no"), F.lit("Full Filing").alias("name"), F.lit("full_filing").alias("type"), F.lit(0).alias("start_pos"), "text")
-    return made.unionByName(whole)
+
+    def let(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def cut(items: Column) -> Column:
+        n = F.size(items)
+        at = F.transform(items, lambda e, j: F.struct(j.alias("j"), F.when(e["line"] != "", mark(e["line"], e["c"])).alias("mark"), e["c"].isin("item 1", "item 1 business").alias("body")))
+
+        def from_body(found: Column) -> Column:
+            bodies = F.transform(F.filter(found, lambda e: e["body"]), lambda e: e["j"])
+            start = F.coalesce(F.get(bodies, F.least(F.size(bodies), F.lit(2)) - 1), F.lit(0))
+            return let(start, lambda first: F.filter(found, lambda e: (e["j"] >= first) & e["mark"].isNotNull()))
+
+        def made(marks: Column) -> Column:
+            def one(m: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(marks, k + 1)["j"], n)
+                text = F.array_join(F.transform(F.slice(items, m["j"] + 1, end - m["j"]), lambda e: e["line"]), "\n")
+                return F.struct((k + 1).alias("section_no"), m["mark"]["name"].alias("name"), m["mark"]["type"].alias("type"), items[m["j"]]["pos"].alias("start_pos"), text.alias("text"))
+
+            return F.transform(marks, one)
+
+        return let(at, lambda found: let(from_body(found), made))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("pos"), normalized_line(x).alias("line")))
+    items = F.transform(F.filter(lines, lambda e: e["line"] != ""), lambda e: F.struct(e["pos"], e["line"], canonical(e["line"]).alias("c")))
+    least = lambda e: F.when(e["type"].isin("debt", "credit_facilities"), F.lit(short_min_chars)).otherwise(F.lit(min_chars))
+    kept = F.filter(let(items, cut), lambda e: (e["type"] != "boundary") & (F.length(e["text"]) >= least(e)))
+    out = docs.select(key, "text", kept.alias("sections"))
+    full = F.array(F.struct(F.lit(1).alias("section_no"), F.lit("Full Filing").alias("name"), F.lit("full_filing").alias("type"), F.lit(0).alias("start_pos"), F.col("text").alias("text")))
+    return out.select(key, F.inline(F.when(F.size("sections") == 0, full).otherwise(F.col("sections")) if whole else F.col("sections")))
 
 
 def chunked(texts: DataFrame, keys: list[str], size: int = rules.CHUNK_TOKENS, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:

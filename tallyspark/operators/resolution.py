@@ -106,6 +106,46 @@ def statement_reject_reason(metric: Column) -> Column:
     return F.when(metric == "capital_expenditures", capex).when(metric == "interest_expense", interest)
 
 
+#: What the register says of a rejected row.
+REASONS = {
+    "balance_not_flow": "PPE balance is not cash capital expenditure.",
+    "not_yet_paid": "Capex incurred but not yet paid is not cash capex outflow.",
+    "lease": "Lease obligations are not cash capex outflow.",
+    "equity": "Additional paid-in capital is equity, not capex.",
+    "lease_only": "Lease-only interest is not total interest expense.",
+    "cash_paid": "Cash interest paid is not accrual interest expense.",
+}
+
+
+def rejected_rows(items: DataFrame, looked_at: int = 30, listed: int = 12) -> DataFrame:
+    """accession, fiscal_year, metric, place, row_label, value, reason: rows that look like a metric and are not, by place.
+
+    items: as for resolve_statements, with row_label. Of each filing's year the first looked_at rows are judged, and of those
+    rejected for a metric the first listed are kept: what the register shows. Both are window limits, so no task holds more of a group.
+    """
+    year = ["accession", "fiscal_year"]
+    first = Window.partitionBy(*year).orderBy("pos")
+    near = items.filter("value IS NOT NULL").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= looked_at)
+    judged = F.array(*(F.struct(F.lit(m).alias("metric"), statement_reject_reason(F.lit(m)).alias("code")) for m in ("capital_expenditures", "interest_expense")))
+    found = near.select(*year, "pos", "row_label", "value", F.inline(judged)).filter("code IS NOT NULL")
+    order = Window.partitionBy(*year, "metric").orderBy("pos")
+    says = F.coalesce(*(F.when(F.col("code") == c, F.lit(t)) for c, t in REASONS.items()))
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= listed).select(*year, "metric", "place", "row_label", "value", says.alias("reason"))
+
+
+def statement_register(items: DataFrame, metrics: list[str]) -> DataFrame:
+    """accession, fiscal_year, metric, status, value, concept, confidence, n_rows, n_rejected: a row for each metric of each filing's year.
+
+    A metric without a row that means it is a statement_row_not_found; rejected_rows lists what looked like it.
+    """
+    keys = ["accession", "fiscal_year", "metric"]
+    asked = items.filter("value IS NOT NULL").select("accession", "fiscal_year").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
+    rejects = rejected_rows(items).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rejected"))
+    joined = asked.join(resolve_statements(items), keys, "left").join(rejects, keys, "left")
+    status = F.when(F.col("n_rows").isNotNull(), "verified_statement").otherwise("statement_row_not_found")
+    return joined.select(*keys, status.alias("status"), "value", "concept", "confidence", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), F.coalesce("n_rejected", F.lit(0).cast("long")).alias("n_rejected"))
+
+
 def resolve_statements(items: DataFrame) -> DataFrame:
     """(accession, fiscal_year, metric) -> value, concept, confidence, n_rows from statement rows.
 

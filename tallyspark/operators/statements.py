@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
-from tallyspark.functions.text import display_number, normalized_label
+from tallyspark.functions.text import display_number, last_entries, normalized_label
 from tallyspark.operators.facts import first_in
 
 
@@ -116,47 +116,90 @@ def statement_items(cells: DataFrame) -> DataFrame:
     return found.select(*keys, (F.col("table_no") * 100_000 + F.col("row_no")).alias("pos"), F.col("z.years").alias("fiscal_year"), "statement_type", "row_label", "normalized_label", F.col("z.v.value").alias("value"), concept.alias("xbrl_concept"), F.when(concept.isNotNull(), "high").otherwise("medium").alias("confidence"))
 
 
-def attribute(attributes: Column, name: str) -> Column:
-    found = F.regexp_extract(attributes, rf"(?is)(?:^|\s){name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    return F.nullif(found, F.lit(""))
+def attributes(text: Column) -> Column:
+    """The attributes of a tag by name; of equal names the last one counts."""
+    pattern = r"([A-Za-z_:][-A-Za-z0-9_:]*)=\"([^\"]*)\""
+    names, values = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
+    return last_entries(F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
 
 
-def inline_contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, context_id, year, dimensions (array of axis and member) of inline XBRL contexts."""
-    blocks = docs.select("doc_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<xbrli:context\b.*?</xbrli:context>"), 0)).alias("block"))
-    when = F.coalesce(F.nullif(F.regexp_extract("block", r"(?is)<xbrli:instant>\s*([0-9]{4})", 1), F.lit("")), F.nullif(F.regexp_extract("block", r"(?is)<xbrli:endDate>\s*([0-9]{4})", 1), F.lit("")))
-    member = r"(?is)<xbrldi:explicitMember\b[^>]*dimension\s*=\s*[\"']([^\"']*)[\"'][^>]*>\s*([^<]*?)\s*<"
-    axes, members = F.regexp_extract_all("block", F.lit(member), 1), F.regexp_extract_all("block", F.lit(member), 2)
-    dimensions = F.sort_array(F.zip_with(axes, members, lambda a, m: F.struct(a.alias("axis"), m.alias("member"))))
-    return blocks.select("doc_id", attribute(F.regexp_extract("block", r"(?is)<xbrli:context\b([^>]*)>", 1), "id").alias("context_id"), when.cast("int").alias("year"), dimensions.alias("dimensions"))
+def unescaped(text: Column) -> Column:
+    """The text without the entities that stand in numbers, dates and names."""
+    for entity, character in (("&(nbsp|#160|#xa0);", "\u00a0"), ("&(mdash|#8212);", "\u2014"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.regexp_replace(text, f"(?i){entity}", character)
+    return text
+
+
+def qname_part(name: Column) -> Column:
+    return F.element_at(F.split(unescaped(F.trim(name)), ":"), -1)
+
+
+def contexts(html: Column) -> Column:
+    """context id -> year (of the instant, else the end date) and dimensions (axis and member, in their order)."""
+    member = r"(?is)<xbrldi:explicitMember\b[^>]*dimension=\"([^\"]+)\"[^>]*>(.*?)</xbrldi:explicitMember>"
+
+    def described(block: Column) -> Column:
+        dates = [F.nullif(F.trim(F.regexp_extract(block, rf"(?is)<xbrli:{tag}>(.*?)</xbrli:{tag}>", 1)), F.lit("")) for tag in ("instant", "endDate")]
+        axes, members = F.regexp_extract_all(block, F.lit(member), 1), F.regexp_extract_all(block, F.lit(member), 2)
+        dimensions = F.zip_with(axes, members, lambda a, m: F.struct(qname_part(a).alias("axis"), qname_part(m).alias("member")))
+        own = F.regexp_extract(block, r"(?is)<xbrli:context\b([^>]*)>", 1)
+        id_ = F.regexp_extract(own, r"(?:^|[^-A-Za-z0-9_:])id=\"([^\"]*)\"", 1)
+        return F.struct(id_.alias("key"), F.struct(F.substring(F.coalesce(*dates), 1, 4).try_cast("int").alias("year"), dimensions.alias("dimensions")).alias("value"))
+
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<xbrli:context\b[^>]*>.*?</xbrli:context>"), 0)
+    return last_entries(F.filter(F.transform(blocks, described), lambda e: e["key"] != ""))
+
+
+def fact_value(inner: Column, attrs: Column) -> Column:
+    """A tagged number: without tags and entities; a dash or nothing is zero only in a fixed-zero format; parentheses or sign="-" negate; scale shifts."""
+    text = F.trim(F.replace(unescaped(F.regexp_replace(inner, r"(?s)<[^>]+>", "")), F.lit("\u00a0"), F.lit("")))
+    attribute = lambda name: F.try_element_at(attrs, F.lit(name))
+    zero = F.coalesce(F.endswith(attribute("format"), F.lit("fixed-zero")), F.lit(False))
+    number = F.regexp_replace(F.regexp_replace(text, r"^[()]+|[()]+$", ""), "[$,%]", "").try_cast("double")
+    scaled = number * F.pow(F.lit(10.0), F.coalesce(attribute("scale").try_cast("int"), F.lit(0)))
+    negative = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.coalesce(attribute("sign") == "-", F.lit(False))
+    return F.when(text.isin("", "-", "\u2014"), F.when(zero, F.lit(0.0))).otherwise(F.when(negative, -scaled).otherwise(scaled))
 
 
 def inline_facts(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, concept, year, dimensions, unit, value of every tagged number. docs: doc_id, html.
+    """doc_id, pos, concept, year, dimensions, unit, value of every tagged number that names a concept and a context.
 
-    Entities and tags inside are dropped; a dash is zero only for fixed-zero formats; parentheses or sign="-" negate; scale shifts.
+    docs: doc_id, html. A document's contexts are a map in its row, in which its tags look themselves up, so the HTML is read once
+    and nothing is shuffled. A tag of an unknown context has no year and no dimensions; a null html has no tags.
     """
     tag = r"(?is)<ix:nonFraction\b([^>]*)>(.*?)</ix:nonFraction>"
-    both = F.zip_with(F.regexp_extract_all("html", F.lit(tag), 1), F.regexp_extract_all("html", F.lit(tag), 2), lambda a, b: F.struct(a.alias("attrs"), b.alias("inner")))
-    tags = docs.select("doc_id", F.posexplode(both).alias("pos", "t")).select("doc_id", "pos", "t.attrs", F.trim(F.regexp_replace(F.regexp_replace("t.inner", r"<[^>]*>", ""), r"&(nbsp|#160);", " ")).alias("inner"))
-    a = F.col("attrs")
-    dash = F.col("inner").isin("-", "—", "–", "&#8212;", "&mdash;")
-    fixed_zero = F.coalesce(F.lower(attribute(a, "format")).rlike("fixed-?zero|zerodash"), F.lit(False))
-    number = F.regexp_extract(F.regexp_replace("inner", r"[$,\s]", ""), r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")
-    negative = (F.col("inner").contains("(") & F.col("inner").contains(")")) | F.coalesce(attribute(a, "sign") == "-", F.lit(False))
-    scaled = F.when(negative, -number).otherwise(number) * F.pow(F.lit(10.0), F.coalesce(attribute(a, "scale").try_cast("int"), F.lit(0)))
-    facts = tags.select("doc_id", "pos", F.element_at(F.split(attribute(a, "name"), ":"), -1).alias("concept"), attribute(a, "contextRef").alias("context_id"), attribute(a, "unitRef").alias("unit"), F.when(dash, F.when(fixed_zero, F.lit(0.0))).otherwise(scaled).alias("value"))
-    return facts.join(inline_contexts(docs), ["doc_id", "context_id"], "left").select("doc_id", "pos", "concept", "year", "dimensions", "unit", "value")
+    both = F.zip_with(F.regexp_extract_all("html", F.lit(tag), 1), F.regexp_extract_all("html", F.lit(tag), 2), lambda a, b: F.struct(attributes(a).alias("a"), b.alias("inner")))
+    none = F.array().cast("array<struct<axis:string,member:string>>")
 
+    def facts(known: Column) -> Column:
+        def fact(t: Column, i: Column) -> Column:
+            attribute = lambda name: F.try_element_at(t["a"], F.lit(name))
+            context = F.try_element_at(known, attribute("contextRef"))
+            named = (F.coalesce(attribute("name"), F.lit("")) != "") & (F.coalesce(attribute("contextRef"), F.lit("")) != "")
+            return F.struct(i.alias("pos"), named.alias("named"), qname_part(attribute("name")).alias("concept"), context["year"].alias("year"), F.coalesce(context["dimensions"], none).alias("dimensions"), attribute("unitRef").alias("unit"), fact_value(t["inner"], t["a"]).alias("value"))
 
-def dimension_keys(facts: DataFrame) -> DataFrame:
-    """doc_id, key, year, value: the concept, or the concept with its members' suffixes, the first value of each."""
+        return F.transform(both, fact)
+
+    rows = docs.select("doc_id", F.inline(F.transform(F.array(contexts(F.col("html"))), facts)[0]))
+    return rows.filter("named").drop("named")
+
+
+def member_suffix(dimension: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(dimension["member"], "Member$", ""), "[^A-Za-z0-9]", "")
 
-    def suffix(d: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.element_at(F.split(d["member"], ":"), -1), "Member$", ""), "[^A-Za-z0-9]", "")
 
-    suffixes = F.transform("dimensions", suffix)
+def dimension_keys(facts: DataFrame) -> DataFrame:
+    """doc_id, key, year, value, n_values, n_conflicts: the concept, or the concept with its members' suffixes; the first value of each counts.
+
+    A fact with several members also has the key of all suffixes, in the context's order. n_conflicts counts values that differ
+    from the first by more than 1e-9, which are ignored. The values of a key are those of one document.
+    """
+    suffixes = F.filter(F.transform("dimensions", member_suffix), lambda s: s != "")
     single = F.transform(suffixes, lambda s: F.concat("concept", s))
-    keys = F.when(F.size("dimensions") > 1, F.concat(single, F.array(F.concat("concept", F.array_join(suffixes, ""))))).when(F.size("dimensions") == 1, single).otherwise(F.array("concept"))
-    keyed = facts.filter("value IS NOT NULL AND year IS NOT NULL").select("doc_id", "pos", "year", "value", F.explode(keys).alias("key"))
-    return first_in(keyed, ["doc_id", "key", "year"], ["pos"]).select("doc_id", "key", "year", "value")
+    all_members = F.filter(F.array(F.concat("concept", F.array_join(suffixes, ""))), lambda k: F.size(suffixes) > 0)
+    keys = F.when(F.size("dimensions") > 1, F.concat(single, all_members)).when(F.size("dimensions") == 1, single).otherwise(F.array("concept"))
+    keyed = facts.filter("value IS NOT NULL AND year IS NOT NULL").select("doc_id", "pos", "year", "value", F.posexplode(keys).alias("k", "key"))
+    held = keyed.groupBy("doc_id", "key", "year").agg(F.sort_array(F.collect_list(F.struct("pos", "k", "value"))).alias("v"))
+    first = F.col("v")[0]["value"]
+    differing = F.filter("v", lambda x: F.abs(x["value"] - F.col("v")[0]["value"]) > 1e-9)
+    return held.select("doc_id", "key", "year", first.alias("value"), F.size("v").cast("long").alias("n_values"), F.size(differing).cast("long").alias("n_conflicts"))

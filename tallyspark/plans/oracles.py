@@ -167,8 +167,6 @@ SQL: dict[str, str] = {
     "post_filter": FUSED + "SELECT query_id, fused_rank, chunk_id, section_name FROM fused JOIN chunks USING (chunk_id) WHERE fused_rank <= 25 AND fiscal_year = 2025 AND contains(lower(section_name), 'src1')",
     "rerank_boosts": RERANKED + f"""SELECT query_id, rerank, chunk_id, raw_score, reranker_score, array_to_string(list_sort(list_filter([section_type, CASE WHEN {any_of(LOW, rules.NUMERIC_MARKS)} THEN 'numeric_facts' END, CASE WHEN {any_of(LOW, rules.EXPLANATION_MARKS)} THEN 'management_explanation' END], lambda x: x IS NOT NULL)), ',') AS categories FROM reranked""",
     "evidence_dedupe": RERANKED + "SELECT chunk_id, reranker_score, query_id AS pass FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY reranker_score DESC, query_id) AS k FROM reranked) WHERE k = 1",
-    "heading_classify": f"""WITH {LINES}, shown AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN ([{", ".join("'" + h.replace("'", "''") + "'" for h in fixtures.HEADINGS)}])[doc_id % {len(fixtures.HEADINGS)} + 1] ELSE line END AS line FROM lines WHERE len(line) <= 60),
-      canon AS (SELECT *, {CANONICAL.format("line")} AS canonical FROM shown) SELECT doc_id, CAST(pos AS BIGINT) AS pos, canonical, {heading_case("name")}, {heading_case("type")} FROM canon""",
     "section_segments": f"""WITH {LINES}, marks AS (SELECT *, {CANONICAL.format("line")} IN ('item 1', 'item 1 business') AS body, len(line) <= 60 AS marked FROM lines),
       b AS (SELECT *, sum(CAST(body AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS nb, sum(CAST(body AS INT)) OVER (PARTITION BY doc_id) AS ab FROM marks),
       n AS (SELECT *, sum(CAST(nb >= least(2, ab) AND marked AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS section_no FROM b),
@@ -218,11 +216,6 @@ SQL: dict[str, str] = {
       g AS (SELECT cik, metric, count(*) FILTER (WHERE accepted) AS n_accepted, count(*) FILTER (WHERE NOT accepted) AS n_rejected, count(*) FILTER (WHERE best) AS n_best, min(concept) FILTER (WHERE best) AS c, arg_min(value, concept) FILTER (WHERE best) AS v FROM b GROUP BY ALL),
       s AS (SELECT *, CASE WHEN n_accepted = 0 THEN 'unresolved' WHEN n_accepted = 1 OR n_best = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM g)
       SELECT cik, metric, status, CASE WHEN n_accepted = 0 THEN 'no_safe_candidate' WHEN n_accepted = 1 THEN 'safe_alternate' WHEN n_best = 1 THEN 'highest_confidence_alternate' ELSE 'multiple_safe_candidates' END AS basis, CASE WHEN status = 'resolved' THEN c END AS concept, CASE WHEN status = 'resolved' THEN v END AS value, n_accepted, n_rejected FROM s""",
-    "statement_rule_match": "SELECT accession, CAST(fiscal_year AS INT) AS fiscal_year, metric, value, concept, confidence, n_rows FROM " + values(fixtures.STATEMENT_ROWS, "accession, fiscal_year, metric, value, concept, confidence, n_rows"),
-    "companyfacts_inventory": "SELECT * FROM " + values(fixtures.INVENTORY_ROWS, "cik, namespace, concept, unit, value, is_zero"),
-    "inline_xbrl_facts": "SELECT doc_id, key, CAST(year AS INT) AS year, value FROM " + values(fixtures.INLINE_ROWS, "doc_id, key, year, value"),
-    "xml_instance": "SELECT doc_id, concept, CAST(year AS INT) AS year, value FROM " + values(fixtures.XML_ROWS, "doc_id, concept, year, value"),
-    "submissions_unnest": "SELECT cik, pos, form, accession, filing_date, CAST(fy AS INT) AS fy, document FROM " + values(fixtures.SUBMISSION_ROWS, "cik, pos, form, accession, filing_date, fy, document"),
     "evidence_coverage": f"WITH {CHUNKS}, {EVIDENCE} SELECT query_id, array_to_string(missing, '; ') AS missing, CASE WHEN len(missing) = 0 THEN 'sufficient' ELSE 'rewrite_query' END AS decision, n_debt, n_numeric FROM cover",
     "query_rewrite": f"""WITH {CHUNKS}, {EVIDENCE}, m AS (SELECT query_id, array_to_string(missing, '; ') AS said FROM cover WHERE len(missing) > 0)
       SELECT query_id, concat_ws(' ', 'Issuer', '2023 2025', CASE WHEN contains(said, 'debt') THEN 'debt maturities long-term debt payable within one year' END, CASE WHEN contains(said, 'liquidity') THEN 'liquidity capital resources cash marketable securities committed credit' END, CASE WHEN contains(said, 'management') THEN 'management discussion primarily due to we expect' END, CASE WHEN contains(said, 'numeric') THEN 'total amount billion million' END) AS query, 'Missing: ' || said AS reason FROM m""",

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
-from tallyspark.operators import analysis, entities, evidence, extraction, facts, guardrail, index, ingestion, projections, reports, research, resolution, retrieval, statements, verification
+from tallyspark.operators import analysis, entities, evidence, extraction, facts, guardrail, index, ingestion, projections, reports, research, resolution, retrieval, verification
 from tallyspark.plans import fixtures, views
-from tallyspark.sources import readers
 from tallyspark.sources.readers import load
 
 
@@ -70,19 +69,13 @@ def evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.deduplicated(passes).select("chunk_id", "reranker_score", F.col("pass").alias("pass"))
 
 
-def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with a heading rule; document lines hold few, so fixed headings are laid over line numbers."""
-    names = F.array(*map(F.lit, fixtures.HEADINGS))
-    lines = ingestion.lines_of(load(spark, sf_dir, "documents"), "doc_id").filter(F.length("line") <= 60)
-    shown = lines.withColumn("line", F.when(F.col("pos") % 3 == 0, F.element_at(names, (F.col("doc_id") % len(fixtures.HEADINGS) + 1).cast("int"))).otherwise(F.col("line")))
-    h = ingestion.heading(F.col("line"))
-    return shown.select("doc_id", F.col("pos").cast("long").alias("pos"), T.canonical(F.col("line")).alias("canonical"), h["name"].alias("name"), h["type"].alias("type"))
+def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents hold few headings, so short lines stand for them; see filing_sections for the heading rules themselves."""
 
+    def mark(line: Column, c: Column) -> Column:
+        return F.when(F.length(line) <= 60, F.struct(line.alias("name"), F.when(F.length(line) <= 20, "boundary").when(F.length(line) <= 40, "debt").otherwise("mda").alias("type")))
 
-def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ingestion.lines_of(load(spark, sf_dir, "documents"), "doc_id")
-    mark = F.when(F.length("line") <= 60, F.struct(F.col("line").alias("name"), F.when(F.length("line") <= 20, "boundary").when(F.length("line") <= 40, "debt").otherwise("mda").alias("type")))
-    out = ingestion.sections(lines, "doc_id", mark)
+    out = ingestion.segmented(load(spark, sf_dir, "documents"), "doc_id", mark)
     return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "name", "type", F.col("start_pos").cast("long").alias("start_pos"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -221,32 +214,6 @@ def resolver_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cik", "metric", "status", "basis", "concept", "value", "n_accepted", "n_rejected")
 
 
-def statement_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filings = spark.createDataFrame([("a1", fixtures.STATEMENT_HTML)], "accession string, html string")
-    return resolution.resolve_statements(statements.statement_items(statements.table_cells(filings))).select("accession", "fiscal_year", "metric", "value", "concept", "confidence", "n_rows")
-
-
-def companyfacts_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(fixtures.COMPANY_FACTS,)], "json string")
-    return facts.inventory(readers.company_facts(raw), 2024).select("cik", "namespace", "concept", "unit", "value", "is_zero")
-
-
-def inline_xbrl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, fixtures.INLINE_HTML)], "doc_id long, html string")
-    return statements.dimension_keys(statements.inline_facts(docs)).select("doc_id", "key", "year", "value")
-
-
-def xml_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, fixtures.XML_INSTANCE)], "doc_id long, doc string")
-    return readers.xml_metrics(docs).select("doc_id", "concept", "year", "value")
-
-
-def submissions_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(fixtures.SUBMISSIONS,)], "json string")
-    rows = readers.recent_filings(readers.submissions(raw))
-    return rows.select("cik", F.col("pos").cast("long"), "form", "accession", F.col("filing_date").cast("string").alias("filing_date"), "fy", "document")
-
-
 def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.when(F.col("section_type") == "en", "liquidity").when(F.col("section_type") == "de", "debt").when(F.col("section_type") == "fr", "mda").otherwise("other")
     c = views.chunks(spark, sf_dir)
@@ -470,11 +437,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_counts, bm25_topk, bm25_filtered_rebuild, bm25_benchmark, vector_topk, hybrid_rrf, post_filter, rerank_boosts, evidence_dedupe,
-        heading_classify, section_segments, chunk_windows, chunk_ids, html_text,
+        section_segments, chunk_windows, chunk_ids, html_text,
         best_annual_fact, filing_select_tier, fact_store, fact_store_by_id, priority_coalesce, metric_pair_change, verify_claims,
         change_register, credit_signal_mix, brief_report, cross_check_band, calculated_metric, coverage_partial_missing,
         concept_search, concept_discovery, resolver_classify, resolver_decision,
-        statement_rule_match, companyfacts_inventory, inline_xbrl_facts, xml_instance, submissions_unnest,
         evidence_coverage, query_rewrite, guardrail_scan, guardrail_report, guardrail_strip, stage_guard,
         evaluation_summary, source_mix, years_complete, chunk_summary, entity_resolve, task_cross, memory_upsert, trace_rollup, critic_anti_join, critic_repair,
         metric_analysis, coverage_diagnostics, verified_by_metric, unverified_mentions, over_fetch, supported_ticker, last_namespace, unambiguous_facts, statement_rejects,

@@ -53,10 +53,21 @@ def test_html_keeps_visible_text_only():
     assert ingestion.visible_text(None) == ""
 
 
-def test_whole_documents_without_sections(spark):
-    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
-    lines = ingestion.lines_of(docs, "doc_id")
-    assert [r.type for r in ingestion.with_whole_documents(ingestion.sections(lines, "doc_id"), docs, "doc_id").collect()] == ["full_filing"]
+def test_sections_in_the_row(spark):
+    long, short = "prose of many words " * 30, "a few words " * 20
+    texts = [
+        "Item 1\nRisk Factors\n" + long + "\nItem 1. Business\n\n  Liquidity and\u00a0Capital   Resources \n" + long + "\nDebt.\n" + short + "\nOutlook\n" + long + "\nRisk Factors\n" + short,
+        "Risk Factors\n" + long, "no heading at all\n\nbut lines", "", None, "ITEM 1\n" + "Debt\n" + short,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = ingestion.segmented(docs, "doc_id", whole=True)
+    rows = [(r.doc_id, r.section_no, r.name, r.type, r.start_pos) for r in found.orderBy("doc_id", "section_no").collect()]
+    assert rows == [
+        (0, 1, "Liquidity and Capital Resources", "liquidity", 5), (0, 2, "Debt", "debt", 7), (1, 1, "Risk Factors", "risk_factors", 0), (2, 1, "Full Filing", "full_filing", 0),
+        (3, 1, "Full Filing", "full_filing", 0), (4, 1, "Full Filing", "full_filing", 0), (5, 2, "Debt", "debt", 1),
+    ]
+    assert "Exchange" not in ingestion.segmented(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert ingestion.segmented(docs.limit(0), "doc_id", whole=True).count() == 0 and ingestion.segmented(docs, "doc_id").count() == 4
 
 
 def test_claim_statuses(spark):

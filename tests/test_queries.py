@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from comparing import DATA, rows, tables
 
-from tallyspark.plans.oracles import SQL
-from tallyspark.plans.queries import QUERIES
+from tallyspark.plans import filing_oracles, filings, oracles, queries
+
+QUERIES, SQL = queries.QUERIES | filings.QUERIES, oracles.SQL | filing_oracles.SQL
 
 
 @pytest.fixture(scope="module")
