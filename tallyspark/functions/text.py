@@ -113,3 +113,34 @@ def last_entries(entries: Column) -> Column:
         return F.filter(e, lambda x, i: F.array_position(later, x["key"]) == F.size(e) - i)
 
     return F.map_from_entries(F.transform(F.array(entries), kept)[0])
+
+
+def prefix_sums(counts: Column, block: int = 64) -> Column:
+    """For each place of an array of numbers the sum of those before it; by blocks, so that no array is copied for each element."""
+
+    def total(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def placed(blocks: Column) -> Column:
+        before = F.transform(blocks, lambda _, b: total(F.slice(blocks, 1, b)))
+        return F.transform(F.array(before), lambda held: F.transform(counts, lambda _, i: held[F.floor(i / block).cast("int")] + total(F.slice(counts, F.floor(i / block).cast("int") * block + 1, i % block))))[0]
+
+    starts = F.sequence(F.lit(0), F.ceil(F.size(counts) / block).cast("int"))
+    sums = F.transform(starts, lambda b: total(F.slice(counts, b * block + 1, block)))
+    return F.transform(F.array(sums), placed)[0]
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """(found, start, end) of the pattern's successive matches, in code points, end exclusive. The pattern must not fit a control character.
+
+    Spark's extraction gives no places, so each match is set between marks and the pieces' lengths are added up.
+    """
+    mark = "\u0001"
+    pieces = F.split(F.regexp_replace(F.translate(text, mark, "\u0002"), pattern, f"{mark}$0{mark}"), mark)
+
+    def found(p: Column) -> Column:
+        at = prefix_sums(F.transform(p, lambda x: F.length(x)))
+        every = F.transform(F.array(at), lambda a: F.transform(p, lambda x, i: F.struct(x.alias("found"), a[i].alias("start"), (a[i] + F.length(x)).alias("end"), (i % 2 == 1).alias("inside"))))[0]
+        return F.transform(F.filter(every, lambda m: m["inside"]), lambda m: F.struct(m["found"], m["start"], m["end"]))
+
+    return F.transform(F.array(pieces), found)[0]

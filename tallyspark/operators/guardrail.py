@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
+from tallyspark.functions.text import matches
 
 
 def financial_numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rules.FINANCIAL_NUMBER), 0)
+    """(found, start, end) of the financial quantities of a text, in code points."""
+    return matches(text, rules.FINANCIAL_NUMBER)
 
 
 def tags(line: Column) -> Column:
@@ -17,7 +19,7 @@ def tags(line: Column) -> Column:
 
 
 def scan(briefs: DataFrame, verified: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line_no, ordinal, number, line, tags, bound: each financial number of each line.
+    """key, line_no, ordinal, number, start, end, line, tags, bound: each financial number of each line, with its place in the line as it stands.
 
     A number is bound if its line has a tag of a verified claim. verified: claim_id, status. Lines never meet other
     documents' lines; tags meet the verified claims in one join.
@@ -26,7 +28,8 @@ def scan(briefs: DataFrame, verified: DataFrame, key: str = "doc_id") -> DataFra
     ok = verified.filter("status = 'verified' AND claim_id IS NOT NULL").select(F.col("claim_id").alias("tag")).distinct()
     bound = lines.select(key, "line_no", F.explode("tags").alias("tag")).join(ok, "tag", "left_semi").select(key, "line_no", F.lit(True).alias("bound")).distinct()
     joined = lines.join(bound, [key, "line_no"], "left")
-    return joined.select(key, "line_no", F.posexplode("numbers").alias("ordinal", "number"), "line", "tags", F.coalesce("bound", F.lit(False)).alias("bound"))
+    rows = joined.select(key, "line_no", F.posexplode("numbers").alias("ordinal", "m"), "line", "tags", F.coalesce("bound", F.lit(False)).alias("bound"))
+    return rows.select(key, "line_no", "ordinal", F.col("m.found").alias("number"), "m.start", "m.end", "line", "tags", "bound")
 
 
 def report(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

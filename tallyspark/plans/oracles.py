@@ -152,10 +152,10 @@ RENDERED = """rendered AS (
     SELECT o_orderkey, 'Order total was $' || format('{:,}', CAST(floor(cents / 100000) AS BIGINT)) || '.' || lpad(CAST(CAST(floor(cents / 1000) AS BIGINT) % 100 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey % 4 = 0 THEN ' million, up 12.5%' ELSE ' thousand' END
       || CASE WHEN o_orderkey % 3 = 0 THEN ' [verified: claim_' || o_orderkey || ']' ELSE '' END || '.' AS line FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)) GROUP BY 1)"""
 SCAN = RENDERED + f""", ln AS (SELECT doc_id, i - 1 AS line_no, trim(l[i]) AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM rendered))),
-nums AS (SELECT *, regexp_extract_all(line, '{rules.FINANCIAL_NUMBER}') AS numbers, list_sort(list_distinct(regexp_extract_all(line, '{rules.VERIFIED_TAG}', 1))) AS tags FROM ln),
+nums AS (SELECT *, regexp_extract_all(line, '{rules.FINANCIAL_NUMBER}') AS numbers, string_split_regex(line, '{rules.FINANCIAL_NUMBER}') AS pieces, list_sort(list_distinct(regexp_extract_all(line, '{rules.VERIFIED_TAG}', 1))) AS tags FROM ln),
 ok AS (SELECT list('claim_' || o_orderkey) AS ids FROM orders WHERE o_orderstatus = 'F'),
-scan AS (SELECT doc_id, line_no, k - 1 AS ordinal, numbers[k] AS number, line, array_to_string(tags, ',') AS tags, bound FROM (
-  SELECT doc_id, line_no, line, numbers, tags, unnest(range(1, len(numbers) + 1)) AS k, coalesce(v.tag IS NOT NULL, false) AS bound FROM nums LEFT JOIN (SELECT DISTINCT 'claim_' || o_orderkey AS tag FROM orders WHERE o_orderstatus = 'F') v ON v.tag = nums.tags[1]))"""
+scan AS (SELECT doc_id, line_no, k - 1 AS ordinal, numbers[k] AS number, list_sum(list_transform(pieces[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(numbers[1 : k - 1], lambda x: len(x))), 0) AS begins, line, array_to_string(tags, ',') AS tags, bound FROM (
+  SELECT doc_id, line_no, line, numbers, pieces, tags, unnest(range(1, len(numbers) + 1)) AS k, coalesce(v.tag IS NOT NULL, false) AS bound FROM nums LEFT JOIN (SELECT DISTINCT 'claim_' || o_orderkey AS tag FROM orders WHERE o_orderstatus = 'F') v ON v.tag = nums.tags[1]))"""
 
 SQL: dict[str, str] = {
     "tokenize_counts": f"WITH {CHUNKS}, {TERMS} SELECT chunk_id, CAST(len(terms) AS BIGINT) AS n_tokens, CAST(len(list_distinct(terms)) AS BIGINT) AS n_terms FROM terms",
@@ -219,7 +219,7 @@ SQL: dict[str, str] = {
     "evidence_coverage": f"WITH {CHUNKS}, {EVIDENCE} SELECT query_id, array_to_string(missing, '; ') AS missing, CASE WHEN len(missing) = 0 THEN 'sufficient' ELSE 'rewrite_query' END AS decision, n_debt, n_numeric FROM cover",
     "query_rewrite": f"""WITH {CHUNKS}, {EVIDENCE}, m AS (SELECT query_id, array_to_string(missing, '; ') AS said FROM cover WHERE len(missing) > 0)
       SELECT query_id, concat_ws(' ', 'Issuer', '2023 2025', CASE WHEN contains(said, 'debt') THEN 'debt maturities long-term debt payable within one year' END, CASE WHEN contains(said, 'liquidity') THEN 'liquidity capital resources cash marketable securities committed credit' END, CASE WHEN contains(said, 'management') THEN 'management discussion primarily due to we expect' END, CASE WHEN contains(said, 'numeric') THEN 'total amount billion million' END) AS query, 'Missing: ' || said AS reason FROM m""",
-    "guardrail_scan": f"WITH {SCAN} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(ordinal AS BIGINT) AS ordinal, number, tags, bound FROM scan",
+    "guardrail_scan": f"WITH {SCAN} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(ordinal AS BIGINT) AS ordinal, number, CAST(begins AS BIGINT) AS start, CAST(begins + len(number) AS BIGINT) AS \"end\", tags, bound FROM scan",
     "guardrail_report": f"WITH {SCAN}, g AS (SELECT doc_id, count(*) AS checked, count(*) FILTER (WHERE NOT bound) AS blocked FROM scan GROUP BY 1) SELECT *, CASE WHEN blocked > 0 THEN 'block' ELSE 'pass' END AS severity FROM g",
     "guardrail_strip": f"""WITH {SCAN}, b AS (SELECT DISTINCT doc_id, line FROM scan WHERE NOT bound), k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS kept, count(*) AS n FROM ln WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = ln.doc_id AND b.line = ln.line) GROUP BY 1),
       o AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM b) THEN coalesce(kept, '') || chr(10) || chr(10) || 'Numeric guardrail note: unverified financial-number lines were removed before finalization.' ELSE text END AS text FROM rendered LEFT JOIN k USING (doc_id))
@@ -238,6 +238,9 @@ SQL: dict[str, str] = {
     "task_cross": "SELECT concat_ws('_', n_name, lower(r_name), 2023, 2025) AS task_id, 'How did ' || n_name || '''s ' || lower(r_name) || ' change from 2023 to 2025?' AS question FROM nation, region",
     "memory_upsert": """SELECT CAST(conv_id % 40 AS VARCHAR) AS company, role AS risk_theme, array_to_string(list_sort(list_distinct(list(substring(text, 1, 12)))), '|') AS useful_sections, array_to_string(list_sort(list_distinct(list(substring(text, 1, 5)))), '|') AS successful_queries, max(lpad(CAST(conv_id AS VARCHAR), 9, '0')) AS last_updated FROM conversations GROUP BY 1, 2""",
     "trace_rollup": """SELECT user_id AS run, count(*) AS n_steps, count(*) FILTER (WHERE value > 90) AS n_failed, arg_min(event_type, (ts, event_id)) AS first_state, arg_max(event_type, (ts, event_id)) AS last_state, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS states FROM events GROUP BY 1""",
+    "trace_runs": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS pos, event_type, ts, value > 95 AS failed FROM events)
+      SELECT run, count(*) AS n_steps, count(*) FILTER (WHERE failed) AS n_failed, CASE WHEN bool_or(failed) THEN 'failed' WHEN CAST(run AS BIGINT) % 3 <> 0 THEN 'completed' ELSE 'open' END AS status,
+        CASE WHEN CAST(run AS BIGINT) % 3 <> 0 THEN CAST(count(*) FILTER (WHERE event_type = 'click') AS INT) END AS loop_iterations, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM s GROUP BY run""",
     "critic_anti_join": """WITH c AS (SELECT conv_id || '_' || turn AS claim_id, CASE turn % 3 WHEN 0 THEN [conv_id % 60, conv_id % 7] WHEN 1 THEN [] END AS cited FROM conversations)
       SELECT claim_id, 'no_citation' AS problem FROM c WHERE cited IS NULL OR len(cited) = 0 UNION ALL SELECT DISTINCT claim_id, 'unknown_citation' FROM (SELECT claim_id, unnest(cited) AS id FROM c) WHERE id NOT IN (SELECT item_id FROM benchmark)""",
     "critic_repair": """WITH c AS (SELECT conv_id || '_' || turn AS claim_id, CASE turn % 3 WHEN 0 THEN [conv_id % 60, conv_id % 7] WHEN 1 THEN [] END AS cited FROM conversations), ids AS (SELECT list(item_id) AS ids FROM benchmark)

@@ -11,6 +11,8 @@ from tallyspark.functions import text as T
 from tallyspark.operators import analysis, entities, evidence, extraction, facts, guardrail, index, ingestion, projections, reports, research, resolution, retrieval, verification
 from tallyspark.plans import fixtures, views
 from tallyspark.sources.readers import load
+from tallyspark.sources.staging import fresh_path
+from tallyspark.streaming import state
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +255,7 @@ def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def guardrail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(spark, sf_dir)[1].select("doc_id", F.col("line_no").cast("long"), F.col("ordinal").cast("long"), "number", F.array_join("tags", ",").alias("tags"), "bound")
+    return scanned(spark, sf_dir)[1].select("doc_id", F.col("line_no").cast("long"), F.col("ordinal").cast("long"), "number", "start", "end", F.array_join("tags", ",").alias("tags"), "bound")
 
 
 def guardrail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,12 +304,28 @@ def task_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 40).cast("string").alias("company"), F.col("role").alias("risk_theme"), F.array(F.substring("text", 1, 12)).alias("useful_sections"), F.array(F.substring("text", 1, 5)).alias("successful_queries"), F.lpad(F.col("conv_id").cast("string"), 9, "0").alias("last_updated"), "turn")
+    """The conversations' turns in four micro-batches; one comes again, and one comes late."""
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 40).cast("string").alias("company"), F.col("role").alias("risk_theme"), F.array(F.substring("text", 1, 12)).alias("useful_sections"), F.array(F.substring("text", 1, 5)).alias("successful_queries"), F.lpad(F.col("conv_id").cast("string"), 9, "0").alias("last_updated"), "conv_id")
     keys, lists = ["company", "risk_theme"], ["useful_sections", "successful_queries"]
-    merged = entities.merged_memory(turns.filter("turn = 0").drop("turn"), turns.filter("turn > 0").drop("turn"), keys, lists)
+    memory = state.KeyedState(spark, fresh_path(spark, "memory"), keys, lists, buckets=8)
+    for batch in (0, 3, 0, 1, 2):
+        memory.merge(turns.filter(F.col("conv_id") % 4 == batch))
+    merged = memory.read(turns.select(*keys, *lists, "last_updated").schema)
     return merged.select(*keys, *(F.array_join(c, "|").alias(c) for c in lists), "last_updated")
 
 
+def trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as steps of their users' runs, logged in batches of which one comes again; every third run gets no terminal row."""
+    e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").cast("long").alias("pos"), F.when(F.col("event_type") == "click", "rewrite").otherwise(F.col("event_type")).alias("state"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 95).alias("failed"), F.col("value"))
+    path = fresh_path(spark, "trace")
+    append = state.trace_sink(path)
+    for batch in (0, 1, 0):
+        append(e.filter((F.col("pos") % 2 == batch) & ~F.col("failed")), batch)
+    append(state.failure_step(e.filter("failed"), F.concat(F.lit("value "), F.col("value"))), 2)
+    append(state.final_steps(state.trace_log(spark, path).filter("run % 3 <> 0")), 3)
+    return state.run_rows(state.trace_log(spark, path))
+
+
 def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), F.col("event_type").alias("state"), "ts", (F.col("value") > 90).alias("failed"))
     return entities.trace_rollup(e)
@@ -442,7 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         change_register, credit_signal_mix, brief_report, cross_check_band, calculated_metric, coverage_partial_missing,
         concept_search, concept_discovery, resolver_classify, resolver_decision,
         evidence_coverage, query_rewrite, guardrail_scan, guardrail_report, guardrail_strip, stage_guard,
-        evaluation_summary, source_mix, years_complete, chunk_summary, entity_resolve, task_cross, memory_upsert, trace_rollup, critic_anti_join, critic_repair,
+        evaluation_summary, source_mix, years_complete, chunk_summary, entity_resolve, task_cross, memory_upsert, trace_rollup, trace_runs, critic_anti_join, critic_repair,
         metric_analysis, coverage_diagnostics, verified_by_metric, unverified_mentions, over_fetch, supported_ticker, last_namespace, unambiguous_facts, statement_rejects,
         analyst_notes, narrative_facts, compact_evidence, parsed_tasks, tool_calls, research_loop,
     )

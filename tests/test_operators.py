@@ -138,7 +138,7 @@ def test_memory_merge_counts_additions(spark):
 
 
 def test_streaming_memory_and_windows(spark, tmp_path):
-    from tallyspark.streaming.state import memory_sink, trace_windows
+    from tallyspark.streaming.state import KeyedState, memory_sink, trace_windows
 
     schema = "company string, risk_theme string, useful_sections array<string>, successful_queries array<string>, last_updated string"
     for i, rows in enumerate([[("F", "debt", ["a"], ["q"], "1")], [("F", "debt", ["b"], ["q"], "2")]]):
@@ -146,8 +146,7 @@ def test_streaming_memory_and_windows(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
     sink = memory_sink(str(tmp_path / "state"), ["company", "risk_theme"], ["useful_sections", "successful_queries"])
     source.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    last = sorted((tmp_path / "state").iterdir(), key=lambda p: int(p.name[1:]))[-1]
-    assert spark.read.parquet(str(last)).first().useful_sections == ["a", "b"]
+    assert KeyedState(spark, str(tmp_path / "state"), ["company", "risk_theme"], ["useful_sections", "successful_queries"]).read(source.schema).first().useful_sections == ["a", "b"]
     steps = spark.createDataFrame([("2024-01-01 00:01:00", "x", True), ("2024-01-01 00:02:00", "x", False)], "ts string, state string, failed boolean").withColumn("ts", F.to_timestamp("ts"))
     assert trace_windows(steps).first().n_failed == 1
 
