@@ -63,6 +63,30 @@ def memory_additions(state: DataFrame, merged: DataFrame, keys: list[str], lists
     return merged.join(old, keys, "left").select(*keys, *((F.size(c) - F.coalesce(f"_{c}", F.lit(0))).alias(f"added_{c}") for c in lists))
 
 
+def ambiguous_messages(queries: DataFrame, directory: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, message: for each query whose name begins several titles, the first `most` of them by place in the directory.
+
+    Queries and titles meet by the name's first word, as whole words and as the begin of one; directory: ticker, title, pos.
+    """
+    asked = queries.select("query_id", normalized_company(F.col("query")).alias("name")).filter("name <> ''")
+    titles = directory.select("ticker", "pos", F.col("title").alias("shown"), normalized_company(F.col("title")).alias("title"))
+    begins = titles.withColumn("start", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("title"), F.lit(1))), lambda n: F.substring(F.col("title"), 1, n))))
+    met = asked.join(begins, F.col("name") == F.col("start"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+    kept = met.withColumns({"n": n, "all": F.count(F.lit(1)).over(Window.partitionBy("query_id"))}).filter((F.col("all") > 1) & (F.col("n") <= most))
+    shown = F.transform(F.sort_array(F.collect_list(F.struct("n", "ticker", "shown"))), lambda x: F.concat(x["ticker"], F.lit(" ("), x["shown"], F.lit(")")))
+    return kept.groupBy("query_id").agg(F.concat(F.max("all").cast("string"), F.lit(" companies fit: "), F.array_join(shown, "; ")).alias("message"))
+
+
+def topic_memory(asked: DataFrame, state: DataFrame, keys: list[str], lists: list[str], default_query: str, use_memory: bool = True) -> DataFrame:
+    """asked's rows with the memory of their topic: its lists (empty where nothing is remembered) and the query to begin with.
+
+    With use_memory that is the topic's last successful query, else, and for new topics, the default.
+    """
+    joined = asked.join(state.select(*keys, *lists), keys, "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+    return initial_query(joined, default_query) if use_memory else joined.withColumn("query", F.lit(default_query))
+
+
 def initial_query(topic: DataFrame, default: str) -> DataFrame:
     """The most recent successful query of each topic, or the default."""
     return topic.withColumn("query", F.coalesce(F.try_element_at("successful_queries", F.lit(-1)), F.lit(default)))

@@ -63,6 +63,27 @@ def rewritten(covered: DataFrame, company: str, years: list[int]) -> DataFrame:
     return covered.filter("decision = 'rewrite_query'").select("query_id", words.alias("query"), F.concat(F.lit("Missing: "), said).alias("reason"))
 
 
+def plans(tasks: DataFrame, steps: list[str], topic: str, most: int = 3) -> DataFrame:
+    """task_id, objective, steps, initial_query, max_iterations: the plan that a task begins with. tasks: task_id, company, years, forms."""
+    words = F.concat_ws(" ", "company", F.array_join(F.transform("years", lambda y: y.cast("string")), " "), F.array_join("forms", " "), F.lit(topic))
+    ends = [F.array_min("years").cast("string"), F.array_max("years").cast("string")]
+    objective = F.concat(F.lit("Compare "), F.col("company"), F.lit(f" on {topic} between "), ends[0], F.lit(" and "), ends[1], F.lit("."))
+    return tasks.select("task_id", objective.alias("objective"), F.array(*map(F.lit, steps)).alias("steps"), words.alias("initial_query"), F.lit(most).alias("max_iterations"))
+
+
+def next_query(rewrites: DataFrame, previous: DataFrame) -> DataFrame:
+    """query_id, query, changed: the rewritten query with the words of the previous one that it lacks, in their order.
+
+    rewrites: query_id, query; previous: query_id, query. A query that asks for nothing new stays as it was.
+    """
+    p, r = previous.select("query_id", F.col("query").alias("before")), rewrites.select("query_id", "query")
+    joined = p.join(r, "query_id", "left")
+    old, new = F.split("before", " "), F.split(F.coalesce("query", F.lit("")), " ")
+    words = F.array_distinct(F.filter(F.concat(new, old), lambda w: w != ""))
+    made = F.when(F.col("query").isNull(), F.col("before")).otherwise(F.array_join(words, " "))
+    return joined.select("query_id", made.alias("query"), (made != F.col("before")).alias("changed"))
+
+
 def gap_sections(gaps: Column) -> Column:
     """The section types that can fill the gaps."""
     said = F.lower(F.array_join(gaps, " "))

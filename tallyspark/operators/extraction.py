@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions import rules
 from tallyspark.operators.facts import by_priority, first_in
 
 #: Section types, metric, pattern with the fiscal year as {year}, group, method, confidence, review.
@@ -75,8 +74,3 @@ def all_facts(tagged: DataFrame, narrative: DataFrame) -> DataFrame:
     """Both sources as one bag of (metric, fiscal_year, value, fact_source)."""
     columns = ["metric", "fiscal_year", "value"]
     return tagged.select(*columns, F.lit("xbrl").alias("fact_source")).unionByName(narrative.select(*columns, "fact_source"))
-
-
-def claim_order() -> Column:
-    """Place of a metric in the order of claims; unknown metrics last."""
-    return F.coalesce(*(F.when(F.col("metric") == m, F.lit(i)) for i, m in enumerate(rules.CLAIM_METRIC_ORDER)), F.lit(len(rules.CLAIM_METRIC_ORDER)))

@@ -35,6 +35,18 @@ def select_filings(filings: DataFrame, wanted: DataFrame) -> DataFrame:
     return first_in(joined, ["cik", "fiscal_year"], [F.desc("tier"), F.desc("filing_date"), "pos"])
 
 
+def first_filings(filings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each wanted (cik, fiscal_year) the first exact 10-K in source order (pos) that was filed in that year or the next: the older rule."""
+    joined = wanted.join(filings.filter("form = '10-K'"), "cik").filter(F.year("filing_date").isin(F.col("fiscal_year"), F.col("fiscal_year") + 1))
+    return first_in(joined, ["cik", "fiscal_year"], ["pos"])
+
+
+def filing_years(filings: DataFrame) -> DataFrame:
+    """cik, years: the distinct years in which an exact 10-K was filed, latest first; companies without one get an empty list."""
+    year = F.when(F.col("form") == "10-K", F.year("filing_date"))
+    return filings.groupBy("cik").agg(F.sort_array(F.collect_set(year), asc=False).alias("years"))
+
+
 def select_or_substitute(filings: DataFrame, form: str, fiscal_year: int) -> DataFrame:
     """The first filing of the form and year of each cik, else its first 10-K or 10-Q, flagged as a substitution."""
     exact = (F.col("form") == form) & (F.col("fy") == fiscal_year)

@@ -54,6 +54,13 @@ def renderings(value: Column) -> Column:
     return F.array_distinct(F.array(value.cast("string"), *plain, whole, one, two))
 
 
+def allowed_numbers(values: DataFrame, key: str, years: list[int]) -> DataFrame:
+    """key, numbers: every way a stage may write one of the key's values, and the years, sorted; nulls have no rendering."""
+    made = values.groupBy(key).agg(F.flatten(F.collect_set(renderings(F.col("value")))).alias("n"))
+    own = F.filter("n", lambda x: x.isNotNull())
+    return made.select(key, F.sort_array(F.array_distinct(F.concat(own, F.array(*(F.lit(str(y)) for y in sorted(years)))))).alias("numbers"))
+
+
 def stage_numbers(line: Column) -> Column:
     """Numbers of a line, without $ and %, leaving out years (whole numbers from 1900 to 2100)."""
     found = F.transform(F.regexp_extract_all(line, F.lit(rules.STAGE_NUMBER), 0), lambda n: F.regexp_replace(n, r"^[$%]+|[$%]+$", ""))

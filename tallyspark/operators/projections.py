@@ -46,6 +46,15 @@ def parsed_tasks(questions: DataFrame, terms: list[str] = REQUIRED_TERMS) -> Dat
     return questions.select("query_id", lacking.alias("missing")).withColumn("accepted", F.size("missing") == 0)
 
 
+RESULT_FIELDS = ["claim_id", "metric", "status", "old_year", "new_year", "old_value", "new_value", "absolute_change", "percentage_change", "direction", "unit", "evidence"]
+
+
+def compact_results(results: DataFrame) -> DataFrame:
+    """The twelve fields that a verified result is shown with; a field that is not there is null, evidence an empty list."""
+    none = {"evidence": F.array().cast("array<string>")}
+    return results.select(*(F.coalesce(F.col(c), none[c]).alias(c) if c in results.columns and c in none else F.col(c) if c in results.columns else none.get(c, F.lit(None)).alias(c) for c in RESULT_FIELDS))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """ticker, years, metrics and distinct concepts in one row each."""
     return results.groupBy("ticker").agg(F.count_distinct("fiscal_year").alias("n_years"), F.count(F.lit(1)).alias("n_metrics"), F.array_join(F.sort_array(F.collect_set("concept")), ",").alias("concepts"))

@@ -71,15 +71,6 @@ def brief(register: DataFrame, keys: list[str], title: str) -> DataFrame:
     return register.groupBy(*keys).agg(F.concat(F.lit(head), F.array_join(rows, "\n")).alias("brief"))
 
 
-def ordered_evidence(evidence: DataFrame, limit: int = 12) -> DataFrame:
-    """The evidence table of an answer: by year, section priority and falling score; the first limit rows of each query."""
-    from pyspark.sql.window import Window
-
-    priority = F.when(F.col("section_type") == "debt", 0).when(F.col("section_type") == "liquidity", 1).when(F.col("section_type") == "credit_facilities", 2).when(F.col("section_type") == "mda", 3).otherwise(4)
-    order = Window.partitionBy("query_id").orderBy("fiscal_year", priority, F.desc("score"), "chunk_id")
-    return evidence.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-
-
 #: Word in a metric's name, what a rise means, what a fall means; the first word that occurs decides.
 NOTES = [
     ("debt", "more leverage or refinancing need", "less debt to carry"),

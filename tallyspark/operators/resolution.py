@@ -29,12 +29,13 @@ def rejection(concept: Column, metric: Column) -> Column:
     return pick
 
 
-def classified(inventory: DataFrame, metrics: list[str]) -> DataFrame:
+def classified(inventory: DataFrame, metrics: list[str], terms_of: dict[str, list[str]] | None = None) -> DataFrame:
     """Every concept that a metric's search terms find, with its class, acceptance and confidence for that metric.
 
-    inventory: cik, fiscal_year, concept, unit, value. Metrics and rules are a fixed table, so this is one narrow pass.
+    terms_of gives each metric's terms, such as analysis.search_terms makes of its name and configured concepts (default: the fixed
+    table). inventory: cik, fiscal_year, concept, unit, value. Metrics and rules are a fixed table, so this is one narrow pass.
     """
-    terms = F.array(*(F.struct(F.lit(m).alias("metric"), contains_any(F.lower("concept"), rules.SEARCH_TERMS[m]).alias("hit")) for m in metrics))
+    terms = F.array(*(F.struct(F.lit(m).alias("metric"), contains_any(F.lower("concept"), (terms_of or rules.SEARCH_TERMS)[m]).alias("hit")) for m in metrics))
     asked = inventory.withColumn("m", F.explode(F.filter(terms, lambda t: t["hit"]))).withColumn("metric", F.col("m.metric")).drop("m")
     joined = asked.join(F.broadcast(safe_concepts(inventory.sparkSession)), ["metric", "concept"], "left")  # a fixed rule table
     wrong_unit = F.coalesce((F.col("unit") != "") & (F.col("unit") != "USD"), F.lit(False))
@@ -78,6 +79,19 @@ def resolved(candidates: DataFrame, configured: DataFrame | None = None) -> Data
     return joined.select(*keys, F.when(own, "resolved").otherwise(F.col("status")).alias("status"), F.when(own, "configured_concept").otherwise(F.col("basis")).alias("basis"), F.when(own, F.col("own_concept")).otherwise(F.col("concept")).alias("concept"), F.when(own, F.col("own_value")).otherwise(F.col("value")).alias("value"), "n_accepted", "n_rejected")
 
 
+def with_related(candidates: DataFrame, out: DataFrame, most: int = 12) -> DataFrame:
+    """The rows of resolved() with related (the concepts that were found and rejected, surest first, at most `most`) and a status for them.
+
+    A metric without a safe candidate but with related concepts is related_only: they are listed for review and never used.
+    """
+    keys = ["cik", "fiscal_year", "metric"]
+    order = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "concept")
+    near = candidates.filter("NOT accepted").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
+    lists = near.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "concept", "class"))), lambda x: F.concat(x["concept"], F.lit(" ("), x["class"], F.lit(")"))).alias("related"))
+    joined = out.join(lists, keys, "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+    return joined.withColumn("status", F.when((F.col("status") == "unresolved") & (F.size("related") > 0), "related_only").otherwise(F.col("status")))
+
+
 def statement_metric() -> Column:
     """The metrics that a statement row (statement_type, normalized_label, xbrl_concept) stands for.
 

@@ -115,18 +115,6 @@ def deduplicated(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
-def first_match(evidence: DataFrame, year: int | None = None, section_types: list[str] | None = None, phrases: list[str] | None = None) -> DataFrame:
-    """The first row by pos of each query that matches year, section types and any phrase."""
-    if year is not None:
-        evidence = evidence.filter(F.col("fiscal_year") == year)
-    if section_types:
-        evidence = evidence.filter(F.col("section_type").isin(section_types))
-    if phrases:
-        evidence = evidence.filter(contains_any(F.lower("text"), [p.lower() for p in phrases]))
-    first = Window.partitionBy("query_id").orderBy("pos")
-    return evidence.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-
-
 def memory_section_boosts(sections: Column) -> Column:
     """(section, weight) entries that a topic's memory suggests, for the sections it found useful."""
     weights = {"liquidity": 1.5, "debt": 1.5, "commitment": 1.3, "management": 1.2}

@@ -16,6 +16,13 @@ def propose_claims(pairs: DataFrame, keys: list[str], old_year: int, new_year: i
     return pairs.withColumns({"claim_id": F.concat(F.lit("claim_"), name, F.lit(f"_{old_year}_{new_year}")), "sentence": sentence})
 
 
+def ordered_claims(pairs: DataFrame, keys: list[str], metrics: list[str], old_year: int, new_year: int) -> DataFrame:
+    """Claims for the listed metrics alone, with place: where the list has the metric. pairs: keys with metric among them, both values."""
+    places = F.create_map(*(x for i, m in enumerate(metrics) for x in (F.lit(m), F.lit(i + 1))))
+    claims = propose_claims(pairs.filter(F.col("metric").isin(metrics)), keys, old_year, new_year)
+    return claims.withColumn("place", places[F.col("metric")])
+
+
 def verify_claims(claims: DataFrame, facts: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Add status, absolute_change, percentage_change and direction to claims.
 

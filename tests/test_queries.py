@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from comparing import DATA, rows, tables
 
-from tallyspark.plans import filing_oracles, filings, oracles, queries
+from tallyspark.plans import filing_oracles, filings, oracles, queries, work, work_oracles
 
-QUERIES, SQL = queries.QUERIES | filings.QUERIES, oracles.SQL | filing_oracles.SQL
+QUERIES, SQL = queries.QUERIES | filings.QUERIES | work.QUERIES, oracles.SQL | filing_oracles.SQL | work_oracles.SQL
 
 
 @pytest.fixture(scope="module")
