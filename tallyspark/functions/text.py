@@ -61,10 +61,6 @@ def phrase_weight(text: Column, weights: dict[str, float]) -> Column:
     return total
 
 
-def local_name(qname: Column) -> Column:
-    return F.element_at(F.split(qname, ":"), -1)
-
-
 def cik10(cik: Column) -> Column:
     return F.lpad(cik.cast("string"), 10, "0")
 

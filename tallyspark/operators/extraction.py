@@ -71,6 +71,6 @@ def excerpt(text: Column, terms: list[str], size: int = 420, lead: int = 120) ->
 
 
 def all_facts(tagged: DataFrame, narrative: DataFrame) -> DataFrame:
-    """Both sources as one bag of (metric, fiscal_year, value, fact_source)."""
-    columns = ["metric", "fiscal_year", "value"]
+    """Both sources as one bag of (company, metric, fiscal_year, value, fact_source)."""
+    columns = ["company", "metric", "fiscal_year", "value"]
     return tagged.select(*columns, F.lit("xbrl").alias("fact_source")).unionByName(narrative.select(*columns, "fact_source"))

@@ -28,10 +28,10 @@ def resolution_rows(resolutions: DataFrame) -> DataFrame:
     return resolutions.withColumn("source_type", kind)
 
 
-def diagnostic_rows(diagnostics: DataFrame, most: int = 8) -> DataFrame:
-    """Diagnostics with arrays joined; at most `most` candidates are shown."""
+def diagnostic_rows(diagnostics: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
+    """keys, metric and its diagnostics with arrays joined; at most `most` candidates are shown."""
     years = [F.array_join(F.transform(c, lambda y: y.cast("string")), ", ").alias(c) for c in ("covered_years", "missing_years")]
-    return diagnostics.select("metric", *years, F.array_join(F.slice("candidates", 1, most), ", ").alias("candidates"), "diagnosis")
+    return diagnostics.select(*keys, "metric", *years, F.array_join(F.slice("candidates", 1, most), ", ").alias("candidates"), "diagnosis")
 
 
 def compact_evidence(evidence: DataFrame, limit: int = 8, size: int = 700) -> DataFrame:

@@ -10,14 +10,3 @@ RESOLVER_METRICS = ["total_debt", "current_debt", "long_term_debt", "cash_and_eq
 REJECT_LABELS = ["property plant and equipment net", "additions to equipment not yet paid", "purchases under lease", "additional paid in capital", "lease interest", "interest paid on loans", "cash paid for interest", "interest expense", "purchases of property and equipment"]
 
 COMPANY_QUERIES = ["ara", "BRA", "Japan Holding", "United", "the france holding co", "nation of nowhere", "UNITED KINGDOM HOLDING", "donesia", "ind", "holding", "Viet", ""]
-
-NARRATIVE_CHUNKS = [
-    ("F", "c1", 2025, "liquidity", "At December 31, 2025, we had Company cash of $ 28.7 billion and liquidity of $46.4 billion."),
-    ("F", "c2", 2023, "liquidity", "At December 31, 2025, we had Company cash of $ 28.7 billion and liquidity of $46.4 billion."),
-    ("F", "c3", 2025, "mda", "Balance Sheets ($B) Company Cash $ 28.8 $ 28.7 Liquidity 46.4 46.5 rest"),
-]
-#: chunk_id, metric, value, confidence, review_required, fact_id that follow from NARRATIVE_CHUNKS by reading them.
-NARRATIVE_ROWS = [
-    ("c1", "company_cash", 28.7, "high", False, "f_2025_company_cash_text_high"), ("c1", "company_liquidity", 46.4, "high", False, "f_2025_company_liquidity_text_high"),
-    ("c3", "company_cash", 28.7, "low", True, "f_2025_company_cash_text_low_review"), ("c3", "company_liquidity", 46.5, "low", True, "f_2025_company_liquidity_text_low_review"),
-]

@@ -176,6 +176,10 @@ SQL: dict[str, str] = {
     "chunk_windows": f"WITH {CHUNKED} SELECT doc_id, CAST(i + 1 AS BIGINT) AS chunk_no, CAST(s AS BIGINT) AS token_start, CAST(least(s + 650, len(t)) AS BIGINT) AS token_end, md5(array_to_string(t[s + 1 : s + 650], ' ')) AS digest FROM win",
     "chunk_ids": f"""WITH {CHUNKED}, k AS (SELECT doc_id, i, upper(source) AS ticker, 2023 + doc_id % 2 AS fy, lang FROM win)
       SELECT doc_id, CAST(i + 1 AS BIGINT) AS chunk_no, format('{{}}_{{}}_10K_section_{{}}_{{:03d}}', ticker, fy, lang, row_number() OVER (PARTITION BY ticker, fy, lang ORDER BY doc_id, i)) AS chunk_id FROM k""",
+    "html_text": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '<x>', 'gs'), '<script[^>]*>.*?</script>', '<x>', 'gis'), '<style[^>]*>.*?</style>', '<x>', 'gis'), '<noscript[^>]*>.*?</noscript>', '<x>', 'gis') AS h FROM pages),
+      e AS (SELECT page_id, list_transform(string_split_regex(h, '</?[A-Za-z!][^>]*>'), lambda x: replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')) AS parts FROM p),
+      t AS (SELECT page_id, array_to_string(list_filter(list_transform(parts, lambda x: trim(x, chr(160) || ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''), chr(10)) AS text FROM e)
+      SELECT page_id, CAST(len(text) AS BIGINT) AS n_chars, md5(text) AS digest FROM t""",
     "best_annual_fact": f"""WITH {FACTS} SELECT entity, metric, fiscal_year, value, pos AS accession FROM (SELECT *, row_number() OVER (PARTITION BY entity, metric, fiscal_year ORDER BY fp = 'FY' DESC, filed DESC, pos) AS k FROM facts WHERE form IN ('10-K', '10-K/A')) WHERE k = 1""",
     "filing_select_tier": f"""WITH {FACTS}, f AS (SELECT entity AS cik, form, CAST(filed AS DATE) AS fd, CAST(filed AS DATE) - 90 AS rd, CASE WHEN pos % 4 = 0 THEN fiscal_year END AS fy, pos FROM facts WHERE form IN ('10-K', '10-K/A')),
       w AS (SELECT DISTINCT entity AS cik, fiscal_year FROM facts),
@@ -256,7 +260,6 @@ SQL: dict[str, str] = {
       n AS (SELECT entity, metric, name || CASE WHEN c > 0 THEN ' rose' WHEN c < 0 THEN ' fell' ELSE ' did not change' END || CASE WHEN c <> 0 AND p IS NOT NULL THEN ' by ' || format('{{:,.2f}}', abs(p)) || '%' ELSE '' END || CASE WHEN c <> 0 AND m IS NOT NULL THEN ': ' || m ELSE '' END || '.' AS note FROM a),
       i AS (SELECT entity, coalesce(string_agg(CASE signal WHEN 'adverse' THEN 'Find what drove ' || name || ' and whether it lasts.' WHEN 'favorable' THEN 'Confirm that ' || name || ' is not a matter of timing.' END, ' ' ORDER BY metric) || ' ', '') || '{reports.THEME_ITEMS["debt_liquidity"].replace("'", "''")}' AS items FROM a GROUP BY 1)
       SELECT entity, metric, note, items FROM n JOIN i USING (entity)""",
-    "narrative_facts": "SELECT * FROM " + values(fixtures.NARRATIVE_ROWS, "chunk_id, metric, value, confidence, review_required, fact_id"),
     "compact_evidence": r"""SELECT query_id, pos, chunk_id, substring(trim(regexp_replace(text, '[\t\n\f\r\x0B ]+', ' ', 'g')), 1, 60) AS preview FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS k FROM (SELECT conv_id % 30 AS query_id, conv_id * 1000 + turn AS pos, conv_id || '_' || turn AS chunk_id, text FROM conversations)) WHERE k <= 8""",
     "parsed_tasks": """WITH m AS (SELECT doc_id AS query_id, list_filter([CASE WHEN NOT contains(lower(text), 'license') THEN 'license' END, CASE WHEN NOT contains(lower(text), 'the') THEN 'the' END, CASE WHEN NOT contains(lower(text), 'und') THEN 'und' END], lambda x: x IS NOT NULL) AS missing FROM documents)

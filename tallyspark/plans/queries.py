@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
-from tallyspark.operators import analysis, entities, evidence, extraction, facts, guardrail, index, ingestion, projections, reports, research, resolution, retrieval, verification
+from tallyspark.operators import analysis, entities, evidence, facts, guardrail, index, ingestion, projections, reports, research, resolution, retrieval, verification
 from tallyspark.plans import fixtures, views
 from tallyspark.sources.readers import load
 from tallyspark.sources.staging import fresh_path
@@ -349,11 +349,6 @@ def analyst_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.join(items, "entity")
 
 
-def narrative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = spark.createDataFrame(fixtures.NARRATIVE_CHUNKS, "company string, chunk_id string, fiscal_year int, section_type string, text string")
-    return extraction.narrative_facts(chunks).select("chunk_id", "metric", "value", "confidence", "review_required", "fact_id")
-
-
 def compact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 30).alias("query_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text")
     return projections.compact_evidence(turns, 8, 60)
@@ -462,6 +457,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_coverage, query_rewrite, guardrail_scan, guardrail_report, guardrail_strip, stage_guard,
         evaluation_summary, source_mix, years_complete, chunk_summary, entity_resolve, task_cross, memory_upsert, trace_rollup, trace_runs, critic_anti_join, critic_repair,
         metric_analysis, coverage_diagnostics, verified_by_metric, unverified_mentions, over_fetch, supported_ticker, last_namespace, unambiguous_facts, statement_rejects,
-        analyst_notes, narrative_facts, compact_evidence, parsed_tasks, tool_calls, research_loop,
+        analyst_notes, compact_evidence, parsed_tasks, tool_calls, research_loop,
     )
 }

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import analysis, briefs, entities, evidence, facts, formulas, guardrail, projections, resolution, retrieval, verification
-from tallyspark.plans import fixtures, queries, views
+from tallyspark.functions import text as T
+from tallyspark.operators import analysis, briefs, entities, evidence, extraction, facts, formulas, guardrail, projections, resolution, retrieval, verification
+from tallyspark.plans import filings, fixtures, queries, views
 from tallyspark.sources import manifest
 from tallyspark.sources.readers import load
 from tallyspark.sources.staging import fresh_path
@@ -70,7 +71,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.when(F.col("o_orderstatus") == "F", "10-K").when(F.col("o_orderstatus") == "O", "10-K/A").otherwise("10-Q")
     listed = o.select(F.col("o_custkey").cast("string").alias("cik"), F.concat(F.lit("a-"), F.col("o_orderkey").cast("string")).alias("accession"), form.alias("form"), F.year("o_orderdate").alias("fy"), F.col("o_orderdate").cast("date").alias("filing_date"), F.col("o_orderkey").alias("pos"))
     chosen = facts.select_or_substitute(listed, "10-K", 1997)
-    return chosen.select("cik", "accession", "form", F.col("fy").cast("int").alias("fiscal_year"), "filing_date", F.lit("10-K").alias("requested_form"), F.lit(1997).alias("requested_year"), "is_substitution", F.concat("accession", F.lit(".htm")).alias("document"), F.concat(F.lit("<p>"), "accession", F.lit("</p>")).alias("html"))
+    return chosen.select("cik", "accession", "form", F.col("fy").cast("int").alias("fiscal_year"), "filing_date", F.lit("10-K").alias("requested_form"), F.lit(1997).alias("requested_year"), "is_substitution", T.archive_url(F.col("cik"), F.col("accession"), F.concat("accession", F.lit(".htm"))).alias("document"), F.concat(F.lit("<p>"), "accession", F.lit("</p>")).alias("html"))
 
 
 def filing_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def filing_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest.ingest(all_.filter("cast(cik AS bigint) % 2 = 0"), path, 1)
     for batch in (2, 2, 3):
         manifest.ingest(all_, path, batch)
-    return manifest.filings(spark, path).select("cik", "accession", "form", "fiscal_year", "is_substitution", "batch", F.md5("html").alias("digest"))
+    return manifest.filings(spark, path).select("cik", "accession", "form", "fiscal_year", "is_substitution", "batch", "document", F.md5("html").alias("digest"))
 
 
 def listed_filings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -152,10 +153,89 @@ def compact_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("claim_id", "metric", "status", "old_year", "new_year", F.round("absolute_change", 2).alias("absolute_change"), "direction", F.size("evidence").cast("long").alias("n_evidence"))
 
 
+def narrative_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as passages of a filing: a sentence or flattened table with amounts in billions, every fifth of another year."""
+    o, key = load(spark, sf_dir, "orders"), F.col("o_orderkey")
+    tenths = F.floor(filings.cents("o_totalprice") / 100_000)
+    amount = lambda plus: F.concat(F.floor((tenths + plus) / 10).cast("string"), F.lit("."), ((tenths + plus) % 10).cast("string"))
+    begin = F.concat(F.lit("At December 31, "), (F.year("o_orderdate") - F.when(key % 5 == 0, 1).otherwise(0)).cast("string"), F.lit(", "))
+    forms = [
+        F.concat(begin, F.lit("total balance sheet cash, cash equivalents, marketable securities, and restricted cash, as reported, was $ "), amount(0), F.lit(" billion.")),
+        F.concat(begin, F.lit("we had Company cash of $"), amount(0), F.lit(" billion and liquidity of $"), amount(3), F.lit(" billion.")),
+        F.concat(F.lit("Balance Sheets ($B)  Company Cash $ "), amount(1), F.lit(" $ "), amount(2), F.lit(" Liquidity "), amount(4), F.lit(" "), amount(5)),
+        F.concat(begin, F.lit("Ford Credit\u2019s net liquidity available for use was $"), amount(0), F.lit(" billion, as planned.")),
+        F.concat(begin, F.lit("Ford Credit's liquidity sources, including cash, committed asset-backed facilities, and unsecured credit facilities, totaled $"), amount(0), F.lit(" billion in all.")),
+        F.concat(begin, F.lit("Ford Credit's committed capacity totaled $"), amount(0), F.lit(" billion.")),
+        F.concat(F.lit("Debt payable within one year was "), amount(0), F.lit(".")), F.lit("Debt was as before."),
+    ]
+    kind = F.element_at(F.array(*map(F.lit, ["liquidity", "mda", "mda", "credit_facilities", "credit_facilities", "credit_facilities", "debt", "debt"])), (key % 8 + 1).cast("int"))
+    return o.select(F.col("o_custkey").cast("string").alias("company"), F.concat(F.lit("o"), key.cast("string")).alias("chunk_id"), F.year("o_orderdate").alias("fiscal_year"), kind.alias("section_type"), F.element_at(F.array(*forms), (key % 8 + 1).cast("int")).alias("text"))
+
+
+def narrative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.narrative_facts(narrative_chunks(spark, sf_dir)).select("chunk_id", "metric", "value", "confidence", "review_required", "fact_id")
+
+
+def fact_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debt facts from tags with concepts by order, and the narrative's, as one bag; counted and added up by company and year."""
+    concepts = [c for found in extraction.DEBT_CONCEPTS.values() for c in found]
+    key = F.element_at(F.array(*map(F.lit, concepts)), (F.col("o_orderkey") * 3 % len(concepts) + 1).cast("int"))
+    keyed = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id"), key.alias("key"), F.year("o_orderdate").alias("year")).agg(F.max(filings.cents("o_totalprice") * 10_000).cast("double").alias("value"))
+    chunks = narrative_chunks(spark, sf_dir)
+    tagged = extraction.tagged_debt_facts(keyed, chunks).withColumn("company", F.col("doc_id"))
+    told = extraction.narrative_facts(chunks)
+    bag = extraction.all_facts(tagged.filter("chunk_id IS NOT NULL AND source_text LIKE '%ebt payable%'"), told)
+    return bag.groupBy("company", "fiscal_year", "fact_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+def statement_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered statements' metrics, cross-checked with filed facts that the resolver accepts, with calculated metrics."""
+    keys = ["entity", "fiscal_year"]
+    stated = resolution.resolve_statements(filings.statement_lines(spark, sf_dir)).withColumnRenamed("accession", "entity")
+    o, price = load(spark, sf_dir, "orders"), filings.cents("o_totalprice")
+    year = F.when(F.col("o_orderkey") % 2 == 0, 2025).otherwise(2024)
+    sums = o.groupBy(F.col("o_custkey").alias("c"), year.alias("fiscal_year")).agg(F.floor(F.sum(price) / 100).alias("x"))
+    both = sums.join(sums.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n = 2"), "c")
+    filed = both.select(F.col("c").cast("string").alias("cik"), "fiscal_year", F.inline(F.array(*(F.struct(F.lit(n).alias("concept"), v.cast("double").alias("value")) for n, v in (("NetCashProvidedByUsedInOperatingActivities", F.col("x") + F.col("c") % 3), ("InterestExpense", F.floor(F.col("x") / 12)), ("LongTermDebtNoncurrent", F.floor(F.col("x") / 9))))))).withColumn("unit", F.lit("USD"))
+    accepted = resolution.resolved(resolution.classified(filed, ["operating_cash_flow", "interest_expense", "long_term_debt"])).filter("status = 'resolved'").withColumnRenamed("cik", "entity")
+    direct = analysis.composed(stated, accepted, keys)
+    rows = projections.resolution_rows(analysis.register(direct, keys, ["free_cash_flow", "total_debt"]))
+    return rows.select(*keys, "metric", "value", "source", "status", "cross_check", "difference", "requires_review", "source_type")
+
+
+def configured_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured concepts, first choice first, before the rules."""
+    own = spark.createDataFrame([("interest_expense", "InterestExpenseNonoperating", 1), ("interest_expense", "InterestExpense", 2), ("net_income", "NoSuchConcept", 1)], "metric string, concept string, priority int")
+    found = resolution.classified(queries.resolver_inputs(spark, sf_dir), ["interest_expense", "net_income"])
+    return resolution.resolved(found, own).select("cik", "metric", "status", "basis", "concept", "value")
+
+
+def gap_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries.covered(spark, sf_dir).select("query_id", F.array_join(evidence.gap_sections(F.col("missing")), ",").alias("sections"))
+
+
+def flat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly maps of metrics, as results hold them, made flat again."""
+    rows = views.annual_totals(spark, sf_dir).groupBy("entity", "fiscal_year").agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    results = rows.groupBy(F.col("entity").alias("ticker")).agg(F.map_from_entries(F.collect_list(F.struct("fiscal_year", "m"))).alias("metrics_by_year"))
+    return projections.metric_rows(results).select("ticker", "fiscal_year", F.col("pos").cast("long").alias("pos"), "metric", "value")
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.run_summary(views.annual_totals(spark, sf_dir).select(F.col("entity").alias("ticker"), "fiscal_year", F.col("metric").alias("concept")))
+
+
+def diagnostic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = resolution.coverage_gaps(views.annual_totals(spark, sf_dir), ["entity"], ["1-URGENT", "9-NONE"], [1996, 1997, 2002])
+    named = F.array_sort(F.filter(F.array(F.lit("z"), F.when(F.length("entity") % 2 == 0, F.lit("a")), F.lit("m")), lambda x: x.isNotNull()))
+    return projections.diagnostic_rows(gaps.withColumn("candidates", named), ["entity"], most=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         full_brief, answer, evidence_picks, stored_formulas, filing_manifest, first_filings, filing_years, ordered_claims, resolver_register,
         ambiguous_companies, topic_memory, research_plan, next_query, allowed_numbers, compact_results,
+        narrative_facts, fact_bag, statement_analysis, configured_resolution, gap_sections, flat_metrics, run_summary, diagnostic_report,
     )
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from tallyspark.functions import rules
 from tallyspark.operators.reports import THEME_ITEMS
 from tallyspark.plans import fixtures, views
-from tallyspark.plans.oracles import CHUNKS, EVIDENCE, FACTS, PAIRS, TOTALS, any_of, rejection_case, values
+from tallyspark.plans.filing_oracles import ITEMS
+from tallyspark.operators.extraction import DEBT_CONCEPTS
+from tallyspark.plans.oracles import CHUNKS, EVIDENCE, PAIRS, TOTALS, any_of, rejection_case, resolver, values
 from tallyspark.plans.work import CLAIM_METRICS, STEPS, WANTED
 
 THEME = THEME_ITEMS["leverage_analysis"].replace("'", "''")
@@ -104,7 +106,40 @@ g AS (SELECT cik, metric, count(*) FILTER (WHERE accepted) AS n_accepted, count(
 SELECT cik, metric, CASE WHEN n_accepted = 0 AND related <> '' THEN 'related_only' WHEN n_accepted = 0 THEN 'unresolved' WHEN n_accepted = 1 OR n_best = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n_accepted = 1 OR n_best = 1 THEN c END AS concept, related FROM g"""
 FORM = "CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-K/A' ELSE '10-Q' END"
 
+NARRATED = """o AS (SELECT CAST(o_custkey AS VARCHAR) AS company, 'o' || o_orderkey AS chunk_id, CAST(year(o_orderdate) AS INT) AS fy, o_orderkey % 8 AS k, o_orderkey % 5 = 0 AS other, floor(CAST(round(o_totalprice * 100) AS BIGINT) / 100000) AS t FROM orders),
+told AS (SELECT company, chunk_id, fy, unnest(CASE WHEN k = 2 THEN [{'metric': 'company_cash', 'v': t + 2}, {'metric': 'company_liquidity', 'v': t + 5}] WHEN other THEN [] WHEN k = 0 THEN [{'metric': 'total_balance_sheet_cash_and_marketable_securities_restricted_cash', 'v': t}]
+    WHEN k = 1 THEN [{'metric': 'company_cash', 'v': t}, {'metric': 'company_liquidity', 'v': t + 3}] WHEN k = 3 THEN [{'metric': 'ford_credit_net_liquidity_available_for_use', 'v': t}] WHEN k = 4 THEN [{'metric': 'ford_credit_liquidity_sources', 'v': t}] WHEN k = 5 THEN [{'metric': 'ford_credit_committed_capacity', 'v': t}] ELSE [] END, recursive := true), k = 2 AS low FROM o)"""
+TAGS = [c for found in DEBT_CONCEPTS.values() for c in found]
+TAG_ORDER = [(m, c, i) for m, found in DEBT_CONCEPTS.items() for i, c in enumerate(found)]
+
 SQL: dict[str, str] = {
+    "narrative_facts": f"""WITH {NARRATED} SELECT chunk_id, metric, round(v / 10, 6) AS value, CASE WHEN low THEN 'low' ELSE 'high' END AS confidence, low AS review_required, company || '_' || fy || '_' || metric || '_text_' || CASE WHEN low THEN 'low_review' ELSE 'high' END AS fact_id FROM told""",
+    "fact_bag": f"""WITH {NARRATED}, tags AS (SELECT CAST(o_custkey AS VARCHAR) AS company, CAST(year(o_orderdate) AS INT) AS fy, ({TAGS!r})[o_orderkey * 3 % {len(TAGS)} + 1] AS concept, max(CAST(round(o_totalprice * 100) AS BIGINT) * 10000) AS v FROM orders GROUP BY ALL),
+      pri AS (SELECT * FROM {values(TAG_ORDER, "metric, concept, priority")}), best AS (SELECT company, fy, metric, arg_min(v, priority) AS v FROM tags JOIN pri USING (concept) GROUP BY ALL),
+      src AS (SELECT DISTINCT fy FROM o WHERE k = 6),
+      bag AS (SELECT company, fy, 'xbrl' AS s, round(CAST(v AS DOUBLE) / 1e9, 6) AS value FROM best WHERE fy IN (SELECT fy FROM src) UNION ALL SELECT company, fy, 'text', round(v / 10, 6) FROM told)
+      SELECT company, fy AS fiscal_year, s AS fact_source, count(*) AS n, round(sum(value), 3) AS total FROM bag GROUP BY ALL""",
+    "statement_analysis": f"""WITH {ITEMS}, st AS (SELECT accession AS entity, fiscal_year AS fy, metric, CASE WHEN metric = 'current_debt' THEN coalesce(max(value) FILTER (WHERE label LIKE 'Total%'), sum(value)) ELSE min(value) END AS s FROM items WHERE metric IS NOT NULL AND value IS NOT NULL GROUP BY accession, fiscal_year, metric),
+      fl AS (SELECT CAST(c AS VARCHAR) AS entity, fy, unnest([{{'metric': 'operating_cash_flow', 'f': x + c % 3}}, {{'metric': 'interest_expense', 'f': floor(x / 12)}}, {{'metric': 'long_term_debt', 'f': floor(x / 9)}}], recursive := true) FROM (SELECT c, 2025 AS fy, a AS x FROM totals UNION ALL SELECT c, 2024, b FROM totals)),
+      direct AS (SELECT entity, fy, metric, s, f, coalesce(s, f) AS value FROM st FULL JOIN fl USING (entity, fy, metric)),
+      v AS (SELECT entity, fy, max(value) FILTER (WHERE metric = 'operating_cash_flow') - abs(max(value) FILTER (WHERE metric = 'capital_expenditures')) AS fcf, max(value) FILTER (WHERE metric = 'current_debt') + max(value) FILTER (WHERE metric = 'long_term_debt') AS debt FROM direct GROUP BY entity, fy),
+      made AS (SELECT entity, fy, 'free_cash_flow' AS metric, fcf AS value FROM v UNION ALL SELECT entity, fy, 'total_debt', debt FROM v)
+      SELECT entity, CAST(fy AS INT) AS fiscal_year, metric, value, CASE WHEN s IS NULL THEN 'companyfacts' ELSE 'statement' END AS source, CASE WHEN s IS NULL THEN 'resolved' WHEN f IS NULL THEN 'verified_statement' WHEN abs(s - f) <= 1 THEN 'verified_cross_checked' ELSE 'cross_check_mismatch' END AS status,
+        CASE WHEN s IS NULL THEN NULL WHEN f IS NULL THEN 'not_found' WHEN abs(s - f) <= 1 THEN 'matched' ELSE 'mismatch' END AS cross_check, s - f AS difference, coalesce(abs(s - f) > 1, false) AS requires_review, CASE WHEN s IS NULL THEN 'company_facts' ELSE 'statement' END AS source_type FROM direct
+      UNION ALL SELECT entity, CAST(fy AS INT), metric, value, 'deterministic_calculation', 'calculated_from_verified_inputs', NULL, NULL, false, 'none' FROM made""",
+    "configured_resolution": f"""WITH {resolver()}, b AS (SELECT *, accepted AND confidence = max(CASE WHEN accepted THEN confidence END) OVER (PARTITION BY cik, metric) AS best FROM cand WHERE metric IN ('interest_expense', 'net_income')),
+      g AS (SELECT cik, metric, count(*) FILTER (WHERE accepted) AS na, count(*) FILTER (WHERE best) AS nb, min(concept) FILTER (WHERE best) AS c, arg_min(value, concept) FILTER (WHERE best) AS v, bool_or(concept = 'InterestExpenseNonoperating') AS first_, bool_or(concept = 'InterestExpense') AS second_,
+        max(value) FILTER (WHERE concept = 'InterestExpenseNonoperating') AS fv, max(value) FILTER (WHERE concept = 'InterestExpense') AS sv FROM b GROUP BY ALL),
+      h AS (SELECT *, metric = 'interest_expense' AND (first_ OR second_) AS own, na = 1 OR nb = 1 AS one FROM g)
+      SELECT cik, metric, CASE WHEN own OR one THEN 'resolved' WHEN na = 0 THEN 'unresolved' ELSE 'ambiguous' END AS status, CASE WHEN own THEN 'configured_concept' WHEN na = 0 THEN 'no_safe_candidate' WHEN na = 1 THEN 'safe_alternate' WHEN nb = 1 THEN 'highest_confidence_alternate' ELSE 'multiple_safe_candidates' END AS basis,
+        CASE WHEN own THEN CASE WHEN first_ THEN 'InterestExpenseNonoperating' ELSE 'InterestExpense' END WHEN one THEN c END AS concept, CASE WHEN own THEN CASE WHEN first_ THEN fv ELSE sv END WHEN one THEN v END AS value FROM h""",
+    "gap_sections": f"""WITH {CHUNKS}, {EVIDENCE}, m AS (SELECT query_id, lower(array_to_string(missing, ' ')) AS said FROM cover) SELECT query_id, concat_ws(',', CASE WHEN contains(said, 'debt') THEN 'debt' END, CASE WHEN contains(said, 'liquidity') THEN 'liquidity' END, CASE WHEN contains(said, 'credit') THEN 'credit_facilities' END, CASE WHEN contains(said, 'management') THEN 'mda' END) AS sections FROM m""",
+    "flat_metrics": f"WITH {TOTALS} SELECT entity AS ticker, fiscal_year, row_number() OVER (PARTITION BY entity, fiscal_year ORDER BY metric) - 1 AS pos, metric, value FROM totals",
+    "run_summary": f"WITH {TOTALS} SELECT entity AS ticker, count(DISTINCT fiscal_year) AS n_years, count(*) AS n_metrics, string_agg(DISTINCT metric, ',' ORDER BY metric) AS concepts FROM totals GROUP BY 1",
+    "diagnostic_report": f"""WITH {TOTALS}, e AS (SELECT DISTINCT entity FROM totals), a AS (SELECT entity, m AS metric FROM e, (SELECT unnest(['1-URGENT', '9-NONE']) AS m)), g AS (SELECT entity, metric, list_sort(list(DISTINCT fiscal_year)) AS y FROM totals WHERE metric = '1-URGENT' AND fiscal_year IN (1996, 1997, 2002) GROUP BY 1, 2),
+      j AS (SELECT a.entity, a.metric, coalesce(y, []) AS y FROM a LEFT JOIN g ON g.entity = a.entity AND g.metric = a.metric)
+      SELECT entity, metric, array_to_string(y, ', ') AS covered_years, array_to_string(list_filter([1996, 1997, 2002], lambda x: NOT list_contains(y, x)), ', ') AS missing_years, CASE WHEN len(entity) % 2 = 0 THEN 'a, m' ELSE 'm, z' END AS candidates,
+        CASE WHEN len(y) = 3 THEN 'covered' WHEN len(y) > 0 THEN 'partially_covered' ELSE 'not_covered' END AS diagnosis FROM j""",
     "full_brief": f"WITH {BRIEF}",
     "answer": f"WITH {ANSWER}",
     "evidence_picks": f"""WITH {PICKS}, q AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY k) AS shown FROM shown GROUP BY 1) SELECT q.query_id, {", ".join(f"{n}.chunk_id AS {n}" for n in WANTED)}, q.shown FROM q {JOINED}""",
@@ -115,7 +150,7 @@ SQL: dict[str, str] = {
       SELECT entity, fiscal_year, metric, round(value, 6) AS value FROM f WHERE value IS NOT NULL""",
     "filing_manifest": f"""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS cik, 'a-' || o_orderkey AS accession, {FORM} AS form, CAST(year(o_orderdate) AS INT) AS fy, o_orderkey AS pos FROM orders),
       c AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY NOT (form = '10-K' AND fy = 1997), pos) AS k FROM o WHERE form IN ('10-K', '10-Q'))
-      SELECT cik, accession, form, fy AS fiscal_year, NOT (form = '10-K' AND fy = 1997) AS is_substitution, CAST(CASE WHEN CAST(cik AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS batch, md5('<p>' || accession || '</p>') AS digest FROM c WHERE k = 1""",
+      SELECT cik, accession, form, fy AS fiscal_year, NOT (form = '10-K' AND fy = 1997) AS is_substitution, CAST(CASE WHEN CAST(cik AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS batch, 'https://www.sec.gov/Archives/edgar/data/' || regexp_replace(cik, '^0+', '') || '/' || replace(accession, '-', '') || '/' || accession || '.htm' AS document, md5('<p>' || accession || '</p>') AS digest FROM c WHERE k = 1""",
     "first_filings": """WITH w AS (SELECT DISTINCT o_custkey AS cik, CAST(year(o_orderdate) AS INT) AS fiscal_year FROM orders) SELECT cik, fiscal_year, min(o_orderkey) AS accession FROM w JOIN orders ON o_custkey = cik WHERE o_orderstatus = 'F' AND year(o_orderdate) IN (fiscal_year, fiscal_year + 1) GROUP BY 1, 2""",
     "filing_years": """SELECT o_custkey AS cik, coalesce(array_to_string(list_reverse_sort(list_distinct(list(year(o_orderdate)) FILTER (WHERE o_orderstatus = 'F'))), ','), '') AS years FROM orders GROUP BY 1""",
     "ordered_claims": f"""WITH {PAIRS} SELECT 'claim_' || entity || '_' || metric || '_{views.OLD_YEAR}_{views.NEW_YEAR}' AS claim_id, CAST(list_position({CLAIM_METRICS!r}, metric) AS INT) AS place, metric FROM pairs WHERE metric IN ({", ".join(map(repr, CLAIM_METRICS))})""",

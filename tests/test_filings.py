@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import facts, resolution, statements
+from tallyspark.operators import extraction, facts, resolution, statements
 from tallyspark.sources import readers
 
 STATEMENT_HTML = """
@@ -62,6 +62,17 @@ XML_ROWS = [(1, "Debt", 2023, 50000.0), (1, "Small", 2023, -12.5)]
 SUBMISSIONS = json.dumps({"cik": "320193", "name": "Issuer", "tickers": ["ISS"], "exchanges": ["NYSE"], "sic": "1", "filings": {"recent": {"form": ["10-K", "10-Q"], "accessionNumber": ["a-1", "a-2"], "filingDate": ["2025-02-01", "2024-11-01"], "reportDate": ["2024-12-31", ""], "fy": [2024, 2024], "primaryDocument": ["k.htm", "q.htm"]}}})
 SUBMISSION_ROWS = [("0000320193", 0, "10-K", "a-1", "2025-02-01", 2024, "k.htm"), ("0000320193", 1, "10-Q", "a-2", "2024-11-01", 2024, "q.htm")]
 
+NARRATIVE_CHUNKS = [
+    ("F", "c1", 2025, "liquidity", "At December 31, 2025, we had Company cash of $ 28.7 billion and liquidity of $46.4 billion."),
+    ("F", "c2", 2023, "liquidity", "At December 31, 2025, we had Company cash of $ 28.7 billion and liquidity of $46.4 billion."),
+    ("F", "c3", 2025, "mda", "Balance Sheets ($B) Company Cash $ 28.8 $ 28.7 Liquidity 46.4 46.5 rest"),
+]
+#: chunk_id, metric, value, confidence, review_required, fact_id that follow from NARRATIVE_CHUNKS by reading them.
+NARRATIVE_ROWS = [
+    ("c1", "company_cash", 28.7, "high", False, "f_2025_company_cash_text_high"), ("c1", "company_liquidity", 46.4, "high", False, "f_2025_company_liquidity_text_high"),
+    ("c3", "company_cash", 28.7, "low", True, "f_2025_company_cash_text_low_review"), ("c3", "company_liquidity", 46.5, "low", True, "f_2025_company_liquidity_text_low_review"),
+]
+
 
 def rows(found, *columns: str) -> list[tuple]:
     return sorted((tuple(r) for r in found.select(*columns).collect()), key=str)
@@ -128,3 +139,8 @@ def test_xml_instances(spark):
 def test_submissions(spark):
     found = readers.recent_filings(readers.submissions(spark.createDataFrame([(SUBMISSIONS,)], "json string")))
     assert rows(found.withColumn("filing_date", F.col("filing_date").cast("string")), "cik", "pos", "form", "accession", "filing_date", "fy", "document") == SUBMISSION_ROWS
+
+
+def test_narrative(spark):
+    chunks = spark.createDataFrame(NARRATIVE_CHUNKS, "company string, chunk_id string, fiscal_year int, section_type string, text string")
+    assert rows(extraction.narrative_facts(chunks), "chunk_id", "metric", "value", "confidence", "review_required", "fact_id") == sorted(NARRATIVE_ROWS, key=str)
