@@ -16,6 +16,7 @@ from tallyspark.operators import facts, ingestion, resolution, statements
 from tallyspark.plans import fixtures
 from tallyspark.sources import readers
 from tallyspark.sources.readers import load
+from tallyspark.sources.staging import kept
 
 #: Lines that some orders show as headings; every rule of the ladder is among them.
 HEADS = ["Item 1. Business", "ITEM 1", *fixtures.HEADINGS, "Committed Credit Facilities.", "Financing Activities", "Item 9B", "Credit Ratings", "  Liquidity   and Capital Resources (continued) ", "Day Revolving Credit Facility"]
@@ -119,7 +120,9 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.statement_items(statements.table_cells(statement_pages(spark, sf_dir)))
+    """The pages are parsed once: their cells are kept, as items read them several times, and so are the items."""
+    cells = kept(statements.table_cells(statement_pages(spark, sf_dir)), "cells")
+    return kept(statements.statement_items(cells), "statements")
 
 
 def statement_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,9 +266,9 @@ SQL: dict[str, str] = {
       SELECT query_id, array_to_string(missing, ',') AS missing, len(missing) = 0 AS accepted FROM m""",
     "tool_calls": "SELECT user_id AS run, count(*) AS n_calls, string_agg(event_type, ',' ORDER BY event_id) AS names, bool_or(contains(event_type, 'retrieve')) AS used_retrieval FROM events WHERE event_type <> 'click' GROUP BY 1",
     "metric_analysis": """WITH r AS (
-        SELECT l_suppkey AS entity, year(l_shipdate) AS fiscal_year, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 2) AS s_ocf, round(-sum(l_extendedprice * l_discount) FILTER (WHERE l_linestatus = 'F'), 2) AS s_capex,
+        SELECT l_suppkey AS entity, year(l_shipdate) AS fiscal_year, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 2) AS s_ocf, -floor((sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) FILTER (WHERE l_linestatus = 'F') + 50) / 100) / 100 AS s_capex,
           round(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 2) AS s_cur, round(sum(l_quantity) FILTER (WHERE l_linenumber = 1), 2) AS s_long, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N') + any_value(l_suppkey) % 3, 2) AS f_ocf,
-          round(sum(l_quantity) FILTER (WHERE l_linenumber = 2), 2) AS f_cur, round(sum(l_quantity) FILTER (WHERE l_linenumber = 3), 2) AS f_int, round(-sum(l_extendedprice * l_discount), 2) AS f_capex FROM lineitem GROUP BY ALL),
+          round(sum(l_quantity) FILTER (WHERE l_linenumber = 2), 2) AS f_cur, round(sum(l_quantity) FILTER (WHERE l_linenumber = 3), 2) AS f_int, -floor((sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) + 50) / 100) / 100 AS f_capex FROM lineitem GROUP BY ALL),
       p AS (SELECT entity, fiscal_year, unnest([{'metric': 'operating_cash_flow', 's': s_ocf, 'f': f_ocf}, {'metric': 'capital_expenditures', 's': s_capex, 'f': f_capex}, {'metric': 'current_debt', 's': s_cur, 'f': f_cur}, {'metric': 'long_term_debt', 's': s_long, 'f': NULL}, {'metric': 'interest_expense', 's': NULL, 'f': f_int}], recursive := true) FROM r),
       direct AS (SELECT entity, fiscal_year, metric, CAST(coalesce(s, f) AS DOUBLE) AS value, CASE WHEN s IS NOT NULL THEN 'statement:' || metric ELSE 'f_' || metric END AS concept, CASE WHEN s IS NOT NULL THEN 'statement' ELSE 'companyfacts' END AS source,
           CASE WHEN s IS NULL THEN 'resolved' WHEN f IS NULL THEN 'verified_statement' WHEN abs(s - f) <= 1.0 THEN 'verified_cross_checked' ELSE 'cross_check_mismatch' END AS status,

@@ -375,16 +375,17 @@ def research_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analysis_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Statement and filed values of suppliers and ship years: sums over their lines, null where no line counts."""
     li = load(spark, sf_dir, "lineitem").withColumns({"entity": F.col("l_suppkey"), "fiscal_year": F.year("l_shipdate")})
-    price, used = F.col("l_extendedprice"), F.col("l_extendedprice") * F.col("l_discount")
+    price, used = F.col("l_extendedprice"), F.round(F.col("l_extendedprice") * 100).cast("long") * F.round(F.col("l_discount") * 100).cast("long")
+    spent = lambda some: -F.floor((F.sum(some) + 50) / 100) / 100  # noqa: E731  whole cents, so that no engine rounds them another way
     rows = li.groupBy("entity", "fiscal_year").agg(
         F.round(F.sum(F.when(F.col("l_returnflag") == "N", price)), 2).alias("operating_cash_flow"),
-        F.round(-F.sum(F.when(F.col("l_linestatus") == "F", used)), 2).alias("capital_expenditures"),
+        spent(F.when(F.col("l_linestatus") == "F", used)).alias("capital_expenditures"),
         F.round(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), 2).alias("current_debt"),
         F.round(F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))), 2).alias("long_term_debt"),
         F.round(F.sum(F.when(F.col("l_returnflag") == "N", price)) + F.col("entity") % 3, 2).alias("f_operating_cash_flow"),
         F.round(F.sum(F.when(F.col("l_linenumber") == 2, F.col("l_quantity"))), 2).alias("f_current_debt"),
         F.round(F.sum(F.when(F.col("l_linenumber") == 3, F.col("l_quantity"))), 2).alias("f_interest_expense"),
-        F.round(-F.sum(used), 2).alias("f_capital_expenditures"),
+        spent(used).alias("f_capital_expenditures"),
     )
     keys = ["entity", "fiscal_year"]
     stated = rows.unpivot(keys, ["operating_cash_flow", "capital_expenditures", "current_debt", "long_term_debt"], "metric", "value").withColumn("concept", F.concat(F.lit("statement:"), "metric"))

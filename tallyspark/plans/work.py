@@ -185,7 +185,7 @@ def fact_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = extraction.tagged_debt_facts(keyed, chunks).withColumn("company", F.col("doc_id"))
     told = extraction.narrative_facts(chunks)
     bag = extraction.all_facts(tagged.filter("chunk_id IS NOT NULL AND source_text LIKE '%ebt payable%'"), told)
-    return bag.groupBy("company", "fiscal_year", "fact_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return bag.groupBy("company", "fiscal_year", "fact_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def statement_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ SQL: dict[str, str] = {
       pri AS (SELECT * FROM {values(TAG_ORDER, "metric, concept, priority")}), best AS (SELECT company, fy, metric, arg_min(v, priority) AS v FROM tags JOIN pri USING (concept) GROUP BY ALL),
       src AS (SELECT DISTINCT fy FROM o WHERE k = 6),
       bag AS (SELECT company, fy, 'xbrl' AS s, round(CAST(v AS DOUBLE) / 1e9, 6) AS value FROM best WHERE fy IN (SELECT fy FROM src) UNION ALL SELECT company, fy, 'text', round(v / 10, 6) FROM told)
-      SELECT company, fy AS fiscal_year, s AS fact_source, count(*) AS n, round(sum(value), 3) AS total FROM bag GROUP BY ALL""",
+      SELECT company, fy AS fiscal_year, s AS fact_source, count(*) AS n, round(sum(value), 6) AS total FROM bag GROUP BY ALL""",
     "statement_analysis": f"""WITH {ITEMS}, st AS (SELECT accession AS entity, fiscal_year AS fy, metric, CASE WHEN metric = 'current_debt' THEN coalesce(max(value) FILTER (WHERE label LIKE 'Total%'), sum(value)) ELSE min(value) END AS s FROM items WHERE metric IS NOT NULL AND value IS NOT NULL GROUP BY accession, fiscal_year, metric),
       fl AS (SELECT CAST(c AS VARCHAR) AS entity, fy, unnest([{{'metric': 'operating_cash_flow', 'f': x + c % 3}}, {{'metric': 'interest_expense', 'f': floor(x / 12)}}, {{'metric': 'long_term_debt', 'f': floor(x / 9)}}], recursive := true) FROM (SELECT c, 2025 AS fy, a AS x FROM totals UNION ALL SELECT c, 2024, b FROM totals)),
       direct AS (SELECT entity, fy, metric, s, f, coalesce(s, f) AS value FROM st FULL JOIN fl USING (entity, fy, metric)),
