@@ -12,7 +12,7 @@ from tallyspark.operators import analysis, briefs, entities, evidence, extractio
 from tallyspark.plans import filings, fixtures, queries, views
 from tallyspark.sources import manifest
 from tallyspark.sources.readers import load
-from tallyspark.sources.staging import fresh_path
+from tallyspark.sources.staging import fresh_path, kept
 
 BRIEF_YEARS = (1996, 1998, 2000)
 TOPICS = [("Debt", ["1-URGENT"], ["debt_old", "debt_new"]), ("Liquidity", ["2-HIGH"], ["cash_old", "cash_new"])]
@@ -198,7 +198,7 @@ def statement_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = sums.join(sums.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n = 2"), "c")
     filed = both.select(F.col("c").cast("string").alias("cik"), "fiscal_year", F.inline(F.array(*(F.struct(F.lit(n).alias("concept"), v.cast("double").alias("value")) for n, v in (("NetCashProvidedByUsedInOperatingActivities", F.col("x") + F.col("c") % 3), ("InterestExpense", F.floor(F.col("x") / 12)), ("LongTermDebtNoncurrent", F.floor(F.col("x") / 9))))))).withColumn("unit", F.lit("USD"))
     accepted = resolution.resolved(resolution.classified(filed, ["operating_cash_flow", "interest_expense", "long_term_debt"])).filter("status = 'resolved'").withColumnRenamed("cik", "entity")
-    direct = analysis.composed(stated, accepted, keys)
+    direct = kept(analysis.composed(stated, accepted, keys), "analysis")  # the register reads it several times
     rows = projections.resolution_rows(analysis.register(direct, keys, ["free_cash_flow", "total_debt"]))
     return rows.select(*keys, "metric", "value", "source", "status", "cross_check", "difference", "requires_review", "source_type")
 
