@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark.llm.common import stage
 
@@ -153,25 +154,34 @@ def feature_counts(rows: DataFrame, n_categories: int) -> DataFrame:
     return counted.groupBy("feature").agg(*(F.sum(F.when(F.col("fold") == f, F.col(n)).otherwise(0)).alias(f"{n}_{f}") for n in names for f in range(FOLDS)))
 
 
-def telling_without(fold: int | None, y: np.ndarray, folds: np.ndarray, min_odds: float) -> Column:
-    """Whether a feature tells of some category by the rows outside a fold (None: by all rows)."""
+def odds_without(fold: int | None, y: np.ndarray, folds: np.ndarray, min_odds: float) -> Column:
+    """The greatest log odds ratio with which a feature tells of some category by the rows outside a fold (None: by all rows); null if it tells of none."""
     outside = [f for f in range(FOLDS) if f != fold]
     rows = y[np.isin(folds, outside)]
-    tells = F.lit(False)
+    told = [F.lit(None).cast("double")] * 2  # greatest() takes two or more
     for c in range(y.shape[1]):
         n_with, n_without = int((rows[:, c] == 1).sum()), int((rows[:, c] == 0).sum())
         if n_with and n_without:
             n, hit = (sum((F.col(f"{name}{c}_{f}") for f in outside), F.lit(0)) for name in ("n", "hit"))
             odds = F.log((hit + 0.5) / (n_with + 1)) - F.log((n - hit + 0.5) / (n_without + 1))
-            tells = tells | ((hit >= int(np.clip(n_with // 100, 3, 8))) & (odds >= min_odds))
-    return tells
+            told.append(F.when((hit >= int(np.clip(n_with // 100, 3, 8))) & (odds >= min_odds), odds))
+    return F.greatest(*told)
 
 
-def fit(sample: DataFrame, n_categories: int, min_odds: float = 2.5) -> Chain:
+def most_telling(counted: DataFrame, y: np.ndarray, folds: np.ndarray, min_odds: float, max_features: int) -> DataFrame:
+    """variant (0: all rows, f + 1: without fold f) and feature: the max_features of greatest odds of each variant, ties to the smaller feature."""
+    odds = F.array(*(odds_without(v, y, folds, min_odds) for v in (None, *range(FOLDS))))
+    told = counted.select("feature", F.posexplode(odds).alias("variant", "odds")).filter("odds IS NOT NULL")
+    order = Window.partitionBy("variant").orderBy(F.desc("odds"), "feature")
+    return told.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_features).select("variant", "feature")
+
+
+def fit(sample: DataFrame, n_categories: int, min_odds: float = 2.5, max_features: int = 2000) -> Chain:
     """Fit the chain on a bounded sample (doc_id, fold, y, text).
 
     A feature tells of a category if enough rows of the category hold it (a hundredth of them, from 3 to 8) and its log odds
-    ratio is min_odds or more. Out-of-fold probabilities come from models whose features, too, are chosen without the fold.
+    ratio is min_odds or more; of these, each model takes at most max_features, those of greatest odds, which bounds its
+    matrices whatever the texts hold. Out-of-fold probabilities come from models whose features, too, are chosen without the fold.
     Texts and their features stay on the executors. To the driver go each row's minwise features, the
     telling features and each row's places among them.
     """
@@ -189,18 +199,18 @@ def fit(sample: DataFrame, n_categories: int, min_odds: float = 2.5) -> Chain:
     distinct = sample.join(F.broadcast(spark.createDataFrame([(int(i),) for i in probed["doc_id"][first]], "doc_id long")), "doc_id")  # ids of the sample
     known = distinct.select("doc_id", "fold", "y").toPandas().sort_values("doc_id", kind="stable")
     y, folds = np.stack(known["y"].to_numpy()), known["fold"].to_numpy()
-    variants = [None, *range(FOLDS)]
-    tells = F.array(*(telling_without(v, y, folds, min_odds) for v in variants)).alias("tells")
-    telling = feature_counts(distinct, n_categories).select("feature", tells).filter(F.exists("tells", lambda t: t)).toPandas().sort_values("feature", kind="stable")
-    features = {int(np.int64(f).view(np.uint64)): i for i, f in enumerate(telling["feature"])}
-    chosen = np.array(telling["tells"].tolist(), bool).reshape(-1, len(variants))
+    telling = most_telling(feature_counts(distinct, n_categories), y, folds, min_odds, max_features).toPandas()
+    names = np.unique(telling["feature"].to_numpy(np.int64))
+    features = {int(f): i for i, f in enumerate(names.view(np.uint64))}
+    chosen = np.zeros((len(names), FOLDS + 1), bool)
+    chosen[np.searchsorted(names, telling["feature"]), telling["variant"]] = True
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "places": [[features[h] for h in features_of(t).tolist() if h in features] for t in batch["text"]]})
 
     placed = distinct.mapInPandas(places, "doc_id long, places array<int>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.zeros((len(placed), len(features)))
+    x = np.zeros((len(placed), len(features)), np.uint8)
     for i, at in enumerate(placed["places"]):
         x[i, np.asarray(at, int)] = 1
     out_of_fold = np.empty((len(x), 0))
@@ -251,9 +261,14 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows_each: int = 2000, cat
     """The rows of docs that are not judged toxic, in the columns of docs; judged where they are read.
 
     The verdict is that of toxicity(): null and empty texts, null doc_ids and several rows of one doc_id are
-    each judged by their own text; columns of any name are carried.
+    each judged by their own text; columns of any name are carried; an empty table gives no rows.
     """
     categories = CATEGORIES if categories is None else categories
     chain = fit(training_rows(docs, labels, rows_each, categories), len(categories))
-    toxic = F.pandas_udf(lambda texts: pd.Series(chain.of_texts(texts)[:, -1] >= chain.limit), "boolean")
-    return docs.filter(~toxic("text"))
+    at = docs.columns.index("text")
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(chain.of_texts(batch.column(at).to_pylist())[:, -1] < chain.limit))
+
+    return docs.mapInArrow(spared, docs.schema)  # not a filter by a function: the optimiser may move that to where no Python can be called

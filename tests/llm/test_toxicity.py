@@ -56,6 +56,25 @@ def test_near_copies_count_once():
     assert toxicity.families(np.array(rows)).tolist() == [i % 5 == 0 for i in range(20)]
 
 
+def test_features_are_bounded(spark):
+    """Each model takes the features of greatest odds, ties to the smaller hash; texts of many telling words still fit."""
+    held = [np.flatnonzero(np.random.RandomState(i).rand(300) < 0.3) for i in range(80)]
+    docs = [(i, prose(i, 40) + "".join(f" {'bad' if i % 2 else 'good'}{chr(97 + j // 26)}{chr(97 + j % 26)}x" for j in at), "a") for i, at in enumerate(held)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_rows(frame(spark, docs), labels, 2000, toxicity.CATEGORIES)
+    counted = toxicity.feature_counts(sample, 3).cache()
+    known = sample.select("fold", "y").toPandas()
+    y, folds = np.stack(known["y"].to_numpy()), known["fold"].to_numpy()
+    chosen = toxicity.most_telling(counted, y, folds, 2.5, 25).toPandas()
+    assert (chosen.groupby("variant").size() == 25).all() and len(chosen) == 25 * (toxicity.FOLDS + 1)
+    for v, fold in enumerate([None, *range(toxicity.FOLDS)]):
+        every = counted.select("feature", toxicity.odds_without(fold, y, folds, 2.5).alias("o")).filter("o IS NOT NULL").toPandas()
+        want = sorted(zip(-every["o"], every["feature"], strict=True))[:25]
+        assert set(chosen.loc[chosen["variant"] == v, "feature"]) == {f for _, f in want}
+    assert len(toxicity.fit(sample, 3, max_features=25).columns) == 25
+    assert len(toxicity.fit(sample, 3).columns) > 25
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     """Ridge logistic regression by gradient and Hessian in full; the bias comes last and bears no penalty."""
     w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, penalty), 1e-6]
