@@ -25,7 +25,7 @@ def test_stages_in_order_and_columns(spark):
 
 
 def test_stages_on_nothing(spark, none, odd):
-    """No rows give no rows; of the odd ones those of enough varied words stay: 5 and 6 are equal texts, 4's name is no host's line."""
+    """No rows give no rows; of the odd ones those of 50 varied words or more stay, one of them for the equal texts 5 and 6."""
     ended = {}
     for name, docs in (("none", none), ("odd", odd)):
         at = docs
