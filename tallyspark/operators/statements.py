@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,21 +63,44 @@ class Tables(HTMLParser):
                 self.tagged.append(data.strip())
 
 
+#: Characters of pages whose cells a Python worker holds at once.
+HELD_CHARS = 1 << 18
+CELLS = pa.schema([("accession", pa.string()), *((c, pa.int32()) for c in ("table_no", "row_no", "column_no")), *((c, pa.string()) for c in ("text", "tagged", "concept"))])
+
+
+def cell_batches(pages: Iterator[tuple[str | None, str | None]], held_chars: int = HELD_CHARS) -> Iterator[pa.RecordBatch]:
+    """The cells of (accession, html) pages, given out as soon as the pages since the last batch have held_chars characters."""
+
+    def batch(cells: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*cells) if cells else [()] * len(CELLS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CELLS, strict=True)], schema=CELLS)
+
+    cells, chars = [], 0
+    for accession, html in pages:
+        parser = Tables()
+        parser.feed(html or "")
+        parser.close()
+        parser.close_cell()
+        cells += [(accession, *c) for c in parser.cells]
+        chars += len(html or "")
+        if chars >= held_chars:
+            yield batch(cells)
+            cells, chars = [], 0
+    yield batch(cells)
+
+
 def table_cells(filings: DataFrame) -> DataFrame:
-    """accession, table_no, row_no, column_no, text, tagged, concept for every cell of every table. filings: accession, html."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for accession, html in zip(batch["accession"], batch["html"], strict=True):
-                parser = Tables()
-                parser.feed(html or "")
-                parser.close()
-                parser.close_cell()
-                out += [(accession, *c) for c in parser.cells]
-            yield pd.DataFrame(out, columns=["accession", "table_no", "row_no", "column_no", "text", "tagged", "concept"])
-
-    return filings.select("accession", "html").mapInPandas(run, "accession string, table_no int, row_no int, column_no int, text string, tagged string, concept string")
+    """accession, table_no, row_no, column_no, text, tagged, concept for every cell of every table. filings: accession, html.
+
+    A task holds the cells of HELD_CHARS characters of pages (or of one longer page), whatever the size of its batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            yield from cell_batches((a.as_py(), h.as_py()) for a, h in zip(given.column("accession"), given.column("html"), strict=True))
+
+    pages = filings.select(F.col("accession").cast("string").alias("accession"), "html")
+    return pages.mapInArrow(run, "accession string, table_no int, row_no int, column_no int, text string, tagged string, concept string")
 
 
 def statement_type(text: Column) -> Column:

@@ -144,3 +144,20 @@ def test_submissions(spark):
 def test_narrative(spark):
     chunks = spark.createDataFrame(NARRATIVE_CHUNKS, "company string, chunk_id string, fiscal_year int, section_type string, text string")
     assert rows(extraction.narrative_facts(chunks), "chunk_id", "metric", "value", "confidence", "review_required", "fact_id") == sorted(NARRATIVE_ROWS, key=str)
+
+
+def test_cells_are_given_out_page_by_page():
+    page = "<table>" + "<tr><td>a</td><td>1</td></tr>" * 40 + "</table>"
+    given: list[int] = []
+
+    def pages():
+        for i in range(50):
+            given.append(i)
+            yield str(i), page if i % 5 else None
+
+    out, ahead = [], 0
+    for batch in statements.cell_batches(pages(), 2 * len(page)):
+        ahead = max(ahead, batch.num_rows)
+        out += batch.to_pylist()
+    assert ahead == 160 and len(out) == 40 * 80 and len(given) == 50
+    assert out[0] == {"accession": "1", "table_no": 0, "row_no": 0, "column_no": 0, "text": "a", "tagged": None, "concept": None}
