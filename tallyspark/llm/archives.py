@@ -47,14 +47,15 @@ def described(pages: DataFrame) -> DataFrame:
     return known.withColumns({"key": F.coalesce("page_id", F.lit(NO_ID)), "tie": F.xxhash64("url", "digest")})
 
 
-def with_first(known: DataFrame, min_bytes: int) -> DataFrame:
+def with_first(known: DataFrame, heads: DataFrame, min_bytes: int) -> DataFrame:
     """Add first (page_id and url of the first of several records with one payload of min_bytes or more; else null).
 
+    heads: the rows of known without their payloads, staged, so that digests are worked out once for all passes over them.
     Records of a payload are combined on the map side before they meet; only payloads with several records are joined back.
     """
-    alike = known.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "size")
+    alike = heads.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "size")
     firsts = alike.agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = salted_join(known.select("key", "tie", "url", "digest", "size"), firsts, ["digest", "size"]).filter(F.col("key") > F.col("first.page_id"))
+    later = salted_join(heads.select("key", "tie", "url", "digest", "size"), firsts, ["digest", "size"]).filter(F.col("key") > F.col("first.page_id"))
     revisits = stage(later.groupBy("key", "tie", "url", "digest").agg(F.first("first").alias("first")), "warc")
     k, r = known.alias("k"), revisits.alias("r")
     same = (F.col("k.key") == F.col("r.key")) & (F.col("k.tie") == F.col("r.tie")) & (F.col("k.digest") == F.col("r.digest")) & F.col("k.url").eqNullSafe(F.col("r.url"))
@@ -139,8 +140,10 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = 1 << 28, roll_byte
         raise FileExistsError(f"{folder} holds archives")
     system.create_dir(f"{root}/_temporary", recursive=True)
     known = described(pages)
-    starts = segment_starts(known, segment_bytes)
-    chosen = with_first(known, min_revisit_bytes)
+    heads = stage(known.drop("payload"), "warc")
+    starts = segment_starts(heads, segment_bytes)
+    chosen = with_first(known, heads, min_revisit_bytes)
+    discard(heads)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

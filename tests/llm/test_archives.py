@@ -107,3 +107,17 @@ def test_many_equal_payloads(spark):
     place = folder(spark)
     archives.write(pages(spark, given), place, segment_bytes=100_000)
     assert found(spark, place) == expected(given)
+
+
+def test_payloads_are_not_read_to_find_the_first_ones(spark, tmp_path, monkeypatch):
+    plans, whole = [], archives.with_first
+
+    def seen(known, heads, min_bytes):
+        plans.append(heads._jdf.queryExecution().optimizedPlan().toString())
+        return whole(known, heads, min_bytes)
+
+    monkeypatch.setattr(archives, "with_first", seen)
+    pages = spark.createDataFrame([(1, "u", "<p>"), (2, "v", "<p>")], "page_id long, url string, html string")
+    archives.write(pages, str(tmp_path / "w"))
+    assert len(plans) == 1 and "sha1" not in plans[0].lower() and "html" not in plans[0]
+    assert sorted((r.page_id, r.record_type) for r in archives.read(spark, str(tmp_path / "w")).collect()) == [(1, "response"), (2, "revisit")]
