@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark.functions import rules
 from tallyspark.functions.text import tokens
@@ -21,7 +22,7 @@ ALL = ""
 
 @dataclass(frozen=True)
 class Index:
-    """Below path: postings (term, block, chunk_id, tf, length) and heads (term, block, n, n_tokens, max_tf, min_length), sorted by term."""
+    """Below path: postings (term, block, chunk_id, tf, length; head on the first of a term and block) and heads (term, block, n, n_tokens, max_tf, min_length), sorted by term."""
 
     spark: SparkSession
     path: str
@@ -32,7 +33,7 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/heads")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.parquet(f"{self.path}/postings").drop("head")
 
 
 def term_counts(terms: Column) -> Column:
@@ -49,7 +50,8 @@ def term_counts(terms: Column) -> Column:
 def build(chunks: DataFrame, path: str, block_chunks: int = BLOCK_CHUNKS) -> Index:
     """Write the index of chunks (chunk_id, section_name, section_type, text) below path.
 
-    Tokens are counted in the row, so one shuffle deals the postings; a block is a bounded set of chunks by hash, so a frequent
+    Tokens are counted in the row, so one shuffle deals the postings, and the first posting of a term in a block carries the block's head,
+    so that heads are read off the written postings without another shuffle; a block is a bounded set of chunks by hash, so a frequent
     term is spread over all blocks. Files are sorted by term, so that searches read the row groups of their terms.
     Null texts have no tokens and count as chunks; rows with equal chunk_id are chunks of their own in the counts.
     """
@@ -58,11 +60,13 @@ def build(chunks: DataFrame, path: str, block_chunks: int = BLOCK_CHUNKS) -> Ind
     every = F.array(F.struct(F.lit(ALL).alias("term"), F.lit(0).alias("tf")))
     counts = F.concat(every, F.coalesce(term_counts(F.col("terms")), F.array().cast("array<struct<term:string,tf:int>>")))
     rows = docs.select(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"), "chunk_id", "length", F.inline(counts))
-    dealt = rows.repartition("term", "block").sortWithinPartitions("term", "block")
-    dealt.select("term", "block", "chunk_id", "tf", "length").write.mode("overwrite").parquet(f"{path}/postings")
+    dealt = rows.repartition("term", "block").sortWithinPartitions("term", "block", "chunk_id")
+    group = Window.partitionBy("term", "block")
+    head = F.struct(F.count(F.lit(1)).over(group).alias("n"), F.sum("length").over(group).alias("n_tokens"), F.max("tf").over(group).alias("max_tf"), F.min("length").over(group).alias("min_length"))
+    first = F.row_number().over(group.orderBy("chunk_id")) == 1
+    dealt.select("term", "block", "chunk_id", "tf", "length", F.when(first, head).alias("head")).write.mode("overwrite").parquet(f"{path}/postings")
     written = chunks.sparkSession.read.parquet(f"{path}/postings")
-    heads = written.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("n_tokens"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-    heads.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/heads")
+    written.filter("head IS NOT NULL").select("term", "block", "head.*").write.mode("overwrite").parquet(f"{path}/heads")
     return opened(chunks.sparkSession, path)
 
 

@@ -50,3 +50,12 @@ def test_many_terms_and_nothing(spark, monkeypatch):
     assert ranked(index.search(kept, asked, 7)) == ranked(retrieval.bm25(chunks, asked, 7))
     empty = index.build(chunks.limit(0), fresh_path(spark, "bm25"))
     assert empty.n == 0 and index.search(empty, asked, 3).count() == 0
+
+
+def test_heads_need_no_second_shuffle(spark):
+    kept = index.build(made(spark, 60), fresh_path(spark, "bm25"), 16)
+    by_hand = kept.postings().groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("n_tokens"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+    columns = ["term", "block", "n", "n_tokens", "max_tf", "min_length"]
+    assert sorted(map(tuple, kept.heads().select(columns).collect())) == sorted(map(tuple, by_hand.select(columns).collect()))
+    written = spark.read.parquet(f"{kept.path}/postings")
+    assert written.filter("head IS NOT NULL").count() == kept.heads().count() < written.count()
