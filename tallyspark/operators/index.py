@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions import rules
 from tallyspark.functions.text import tokens
-from tallyspark.operators.retrieval import BROADCAST_TERMS, document_terms, top
+from tallyspark.operators.retrieval import BROADCAST_TERMS, document_terms, term_counts, top
 
 #: Chunks of a block: all postings of a term in a block are one row.
 BLOCK_CHUNKS = 256
@@ -36,17 +36,6 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/postings").drop("head")
 
 
-def term_counts(terms: Column) -> Column:
-    """(term, tf) of an array of tokens, counted in the row by sorting."""
-    ordered = F.sort_array(terms)
-
-    def counted(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i] != s[F.greatest(i - 1, F.lit(0))]))
-        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, j: F.struct(s[i].alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tf"))))[0]
-
-    return F.when(F.size(terms) > 0, F.transform(F.array(ordered), counted)[0])
-
-
 def build(chunks: DataFrame, path: str, block_chunks: int = BLOCK_CHUNKS) -> Index:
     """Write the index of chunks (chunk_id, section_name, section_type, text) below path.
 

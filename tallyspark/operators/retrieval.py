@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions import rules
 from tallyspark.functions.text import contains_any, phrase_weight, searchable, tokens
+from tallyspark.sources.staging import kept
 
 
+#: Query terms up to which a scan is told them, so that it counts no other tokens.
+SCANNED_TERMS = 1000
 #: Query terms up to which they are sent to every task: a few MB.
 BROADCAST_TERMS = 100_000
 
@@ -33,23 +36,38 @@ def document_terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", tokens(searchable(F.col("section_name"), F.col("section_type"), F.col("text"))).alias("terms")).withColumn("length", F.size("terms"))
 
 
+def term_counts(terms: Column) -> Column:
+    """(term, tf) of an array of tokens, counted in the row by sorting."""
+    ordered = F.sort_array(terms)
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i] != s[F.greatest(i - 1, F.lit(0))]))
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, j: F.struct(s[i].alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tf"))))[0]
+
+    return F.when(F.size(terms) > 0, F.transform(F.array(ordered), counted)[0])
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, top_n: int, k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
     """query_id, chunk_id, score, rank: the top_n chunks of positive score for each query.
 
-    Statistics are those of chunks as given, so filter before for statistics of the filtered corpus. A
-    query's repeated term counts as often. Up to BROADCAST_TERMS query terms go to the tasks, so that only
-    tokens that some query holds leave the scan; counts by (chunk, term) are combined on the map side, and
-    lengths need no shuffle at all.
+    Statistics are those of chunks as given, so filter before for statistics of the filtered corpus. A query's repeated term counts
+    as often. The texts are read and cut into tokens once: a row's counts of the queries' terms and its length are worked out in the
+    row and kept, and statistics and scores come from what is kept. Up to SCANNED_TERMS terms are named to the scan; with more,
+    all of a row's tokens are counted and kept, and those of some query are picked out by a join.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    docs = document_terms(chunks)
+    terms = asked.select("term").distinct()
+    named = [r["term"] for r in terms.limit(SCANNED_TERMS + 1).collect()]
+    few = len(named) <= SCANNED_TERMS
+    wanted = F.filter("terms", lambda t: t.isin(named)) if few else F.col("terms")
+    docs = document_terms(chunks).select("chunk_id", "length", wanted.alias("wanted"))
+    docs = kept(docs.select("chunk_id", "length", term_counts(F.col("wanted")).alias("counts")), "counts")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
     n, mean = corpus["n"], max(corpus["mean"], 1.0)
-    terms = asked.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:  # else tokens are dealt by term, and AQE splits frequent ones
-        terms = F.broadcast(terms)
-    postings = docs.select("chunk_id", "length", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
-    tf = postings.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    postings = docs.select("chunk_id", "length", F.inline("counts"))
+    if not few:
+        postings = postings.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
+    tf = postings.groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))

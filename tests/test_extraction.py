@@ -61,6 +61,16 @@ def test_research_stops_when_evidence_suffices(spark):
     assert research.retrieval_sizes(1, True) == (8, 3) and research.retrieval_sizes(2, True) == (40, 12)
 
 
+def test_research_keeps_the_evidence_of_a_pass(spark):
+    prose = "We expect our liquidity to hold, primarily due to the cash equivalents that we keep at hand. The company believes that it manages its capital resources in line with what it needs for the time to come. "
+    rows = [(f"d{y}", y, "debt", "Debt", f"long-term debt and debt maturities of $5 billion in {y}") for y in (2023, 2025)]
+    rows += [(f"m{y}", y, "mda", "MDA", prose + f"liquidity {y} $1 billion debt") for y in (2023, 2025)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, fiscal_year int, section_type string, section_name string, text string")
+    found, _ = research.research(chunks.filter("fiscal_year = 2023"), "debt", "Issuer", [2023, 2025], 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0 and "regexp_extract_all" not in plan and "Join" not in plan
+
+
 def test_embeddings_are_unit_and_alike_for_alike_texts(spark):
     rows = spark.createDataFrame([("cash and debt",), ("debt and cash",), ("",)], "t string").select(embedded(F.col("t"), 16)).collect()
     assert rows[0][0] == rows[1][0] and sum(x * x for x in rows[0][0]) == pytest.approx(1) and set(rows[2][0]) == {0.0}

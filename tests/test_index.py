@@ -59,3 +59,15 @@ def test_heads_need_no_second_shuffle(spark):
     assert sorted(map(tuple, kept.heads().select(columns).collect())) == sorted(map(tuple, by_hand.select(columns).collect()))
     written = spark.read.parquet(f"{kept.path}/postings")
     assert written.filter("head IS NOT NULL").count() == kept.heads().count() < written.count()
+
+
+def test_scan_reads_the_texts_once(spark, monkeypatch):
+    chunks = made(spark, 60).filter("chunk_id < 60")
+    asked = spark.createDataFrame([(1, "w1 w1 w7"), (2, "w3 absent s"), (3, "")], "query_id long, query string")
+    found = retrieval.bm25(chunks, asked, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all(coalesce(concat_ws" not in plan and "section_name" not in plan
+    expected = ranked(found)
+    monkeypatch.setattr(retrieval, "SCANNED_TERMS", 1)
+    assert len(expected) == 14 and ranked(retrieval.bm25(chunks, asked, 7)) == expected
+    assert retrieval.bm25(chunks, asked.filter("query_id = 3"), 7).count() == 0
