@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
-from tallyspark.functions.text import display_number, last_entries, normalized_label
+from tallyspark.functions.text import display_number, normalized_label
 from tallyspark.operators.facts import first_in
 
 
@@ -139,72 +139,86 @@ def statement_items(cells: DataFrame) -> DataFrame:
     return found.select(*keys, (F.col("table_no") * 100_000 + F.col("row_no")).alias("pos"), F.col("z.years").alias("fiscal_year"), "statement_type", "row_label", "normalized_label", F.col("z.v.value").alias("value"), concept.alias("xbrl_concept"), F.when(concept.isNotNull(), "high").otherwise("medium").alias("confidence"))
 
 
-def attributes(text: Column) -> Column:
-    """The attributes of a tag by name; of equal names the last one counts."""
-    pattern = r"([A-Za-z_:][-A-Za-z0-9_:]*)=\"([^\"]*)\""
-    names, values = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
-    return last_entries(F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
-
-
 def unescaped(text: Column) -> Column:
-    """The text without the entities that stand in numbers, dates and names."""
+    """The text without the entities that stand in numbers, dates and names. Text without an ampersand costs no pattern."""
+    plain = text
     for entity, character in (("&(nbsp|#160|#xa0);", "\u00a0"), ("&(mdash|#8212);", "\u2014"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.regexp_replace(text, f"(?i){entity}", character)
-    return text
+        plain = F.regexp_replace(plain, f"(?i){entity}", character)
+    return F.when(text.contains("&"), plain).otherwise(text)
 
 
 def qname_part(name: Column) -> Column:
-    return F.element_at(F.split(unescaped(F.trim(name)), ":"), -1)
+    return F.substring_index(unescaped(F.trim(name)), ":", -1)
+
 
+def context_id(block: Column) -> Column:
+    return F.regexp_extract(F.substring_index(block, ">", 1), r"[^-A-Za-z0-9_:]id=\"([^\"]*)\"", 1)
 
-def contexts(html: Column) -> Column:
-    """context id -> year (of the instant, else the end date) and dimensions (axis and member, in their order)."""
+
+def context_described(block: Column, lower: Column) -> Column:
+    """year (of the instant, else the end date) and dimensions (axis and member, in their order) of a context. lower: the block's lower case, which tells what need not be sought."""
     member = r"(?is)<xbrldi:explicitMember\b[^>]*dimension=\"([^\"]+)\"[^>]*>(.*?)</xbrldi:explicitMember>"
 
-    def described(block: Column) -> Column:
-        dates = [F.nullif(F.trim(F.regexp_extract(block, rf"(?is)<xbrli:{tag}>(.*?)</xbrli:{tag}>", 1)), F.lit("")) for tag in ("instant", "endDate")]
-        axes, members = F.regexp_extract_all(block, F.lit(member), 1), F.regexp_extract_all(block, F.lit(member), 2)
-        dimensions = F.zip_with(axes, members, lambda a, m: F.struct(qname_part(a).alias("axis"), qname_part(m).alias("member")))
-        own = F.regexp_extract(block, r"(?is)<xbrli:context\b([^>]*)>", 1)
-        id_ = F.regexp_extract(own, r"(?:^|[^-A-Za-z0-9_:])id=\"([^\"]*)\"", 1)
-        return F.struct(id_.alias("key"), F.struct(F.substring(F.coalesce(*dates), 1, 4).try_cast("int").alias("year"), dimensions.alias("dimensions")).alias("value"))
+    def date(tag: str) -> Column:
+        """The first four characters of the tag's trimmed text; null if it has none."""
+        found = F.regexp_extract(block, rf"(?is)<xbrli:{tag}>[\x20]*((?:(?!</xbrli:{tag}>).){{0,4}}).*?</xbrli:{tag}>", 1)
+        return F.when(lower.contains(f"<xbrli:{tag.lower()}>"), found)
+
+    axes, members = F.regexp_extract_all(block, F.lit(member), 1), F.regexp_extract_all(block, F.lit(member), 2)
+    dimensions = F.zip_with(axes, members, lambda a, m: F.struct(qname_part(a).alias("axis"), qname_part(m).alias("member")))
+    years = F.filter(F.array(date("instant"), date("endDate")), lambda d: d != "")
+    return F.struct(F.get(years, F.lit(0)).try_cast("int").alias("year"), F.when(lower.contains("<xbrldi:explicitmember"), dimensions).otherwise(no_dimensions()).alias("dimensions"))
 
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<xbrli:context\b[^>]*>.*?</xbrli:context>"), 0)
-    return last_entries(F.filter(F.transform(blocks, described), lambda e: e["key"] != ""))
 
+def no_dimensions() -> Column:
+    return F.array().cast("array<struct<axis:string,member:string>>")
 
-def fact_value(inner: Column, attrs: Column) -> Column:
-    """A tagged number: without tags and entities; a dash or nothing is zero only in a fixed-zero format; parentheses or sign="-" negate; scale shifts."""
-    text = F.trim(F.replace(unescaped(F.regexp_replace(inner, r"(?s)<[^>]+>", "")), F.lit("\u00a0"), F.lit("")))
-    attribute = lambda name: F.try_element_at(attrs, F.lit(name))
-    zero = F.coalesce(F.endswith(attribute("format"), F.lit("fixed-zero")), F.lit(False))
-    number = F.regexp_replace(F.regexp_replace(text, r"^[()]+|[()]+$", ""), "[$,%]", "").try_cast("double")
-    scaled = number * F.pow(F.lit(10.0), F.coalesce(attribute("scale").try_cast("int"), F.lit(0)))
-    negative = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.coalesce(attribute("sign") == "-", F.lit(False))
-    return F.when(text.isin("", "-", "\u2014"), F.when(zero, F.lit(0.0))).otherwise(F.when(negative, -scaled).otherwise(scaled))
+
+def fact_value(text: Column, scale: Column, format_: Column, sign: Column) -> Column:
+    """A tagged number, of its text without tags and entities; a dash or nothing is zero only in a fixed-zero format; parentheses or sign="-" negate; scale shifts."""
+    zero = F.coalesce(F.endswith(format_, F.lit("fixed-zero")), F.lit(False))
+    bare = F.when(text.contains("(") | text.contains(")"), F.regexp_replace(text, r"^[()]+|[()]+$", "")).otherwise(text)
+    number = F.translate(bare, "$,%", "").try_cast("double")
+    scaled = number * F.pow(F.lit(10.0), F.coalesce(scale.try_cast("int"), F.lit(0)))
+    negative = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.coalesce(sign == "-", F.lit(False))
+    return F.when(text.isin("", "-", "\u2014"), F.when(zero, F.lit(0.0))).otherwise(scaled * F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0)))
 
 
 def inline_facts(docs: DataFrame) -> DataFrame:
     """doc_id, pos, concept, year, dimensions, unit, value of every tagged number that names a concept and a context.
 
-    docs: doc_id, html. A document's contexts are a map in its row, in which its tags look themselves up, so the HTML is read once
-    and nothing is shuffled. A tag of an unknown context has no year and no dimensions; a null html has no tags.
+    docs: doc_id, html. A document's contexts are arrays in its row, in which its tags look themselves up, so the HTML is read once
+    and nothing is shuffled. A tag of an unknown context has no year and no dimensions; a null html has no tags. Of contexts with one
+    id, and of a tag's attributes with one name, the last counts. Each step's results are array elements, so that the next one reads
+    them and no pattern runs twice.
     """
-    tag = r"(?is)<ix:nonFraction\b([^>]*)>(.*?)</ix:nonFraction>"
-    both = F.zip_with(F.regexp_extract_all("html", F.lit(tag), 1), F.regexp_extract_all("html", F.lit(tag), 2), lambda a, b: F.struct(attributes(a).alias("a"), b.alias("inner")))
-    none = F.array().cast("array<struct<axis:string,member:string>>")
+    context, tag, pair = r"(?is)<xbrli:context\b[^>]*>.*?</xbrli:context>", r"(?is)<ix:nonFraction\b([^>]*>.*?)</ix:nonFraction>", r"[A-Za-z_:][-A-Za-z0-9_:]*=\"[^\"]*\""
+    found = docs.select("doc_id", F.reverse(F.regexp_extract_all("html", F.lit(context), 0)).alias("blocks"), F.regexp_extract_all("html", F.lit(tag), 1).alias("tags"))
+    lower = F.transform("blocks", lambda b: F.struct(b.alias("block"), F.lower(b).alias("lower")))
+    read = found.select("doc_id", F.transform("blocks", context_id).alias("ids"), F.transform(lower, lambda b: context_described(b["block"], b["lower"])).alias("described"), "tags")
+
+    def cut(t: Column) -> Column:
+        inner = F.substr(t, F.instr(t, ">") + 1)
+        return F.struct(F.regexp_extract_all(F.substring_index(t, ">", 1), F.lit(pair), 0).alias("pairs"), F.when(t.contains("<"), F.regexp_replace(inner, r"(?s)<[^>]+>", "")).otherwise(inner).alias("bare"))
+
+    def attribute(t: Column, name: str) -> Column:
+        last = F.try_element_at(F.filter(t["pairs"], lambda p: p.startswith(f'{name}="')), F.lit(-1))
+        return F.substring_index(F.substring_index(last, '"', -2), '"', 1)
+
+    def named(t: Column, i: Column) -> Column:
+        attributes = (attribute(t, n).alias(n) for n in ("name", "contextRef", "unitRef", "format", "scale", "sign"))
+        return F.struct(i.alias("pos"), *attributes, F.trim(F.replace(unescaped(t["bare"]), F.lit("\u00a0"), F.lit(""))).alias("text"))
 
-    def facts(known: Column) -> Column:
-        def fact(t: Column, i: Column) -> Column:
-            attribute = lambda name: F.try_element_at(t["a"], F.lit(name))
-            context = F.try_element_at(known, attribute("contextRef"))
-            named = (F.coalesce(attribute("name"), F.lit("")) != "") & (F.coalesce(attribute("contextRef"), F.lit("")) != "")
-            return F.struct(i.alias("pos"), named.alias("named"), qname_part(attribute("name")).alias("concept"), context["year"].alias("year"), F.coalesce(context["dimensions"], none).alias("dimensions"), attribute("unitRef").alias("unit"), fact_value(t["inner"], t["a"]).alias("value"))
+    def placed(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.get("described", (F.array_position("ids", t["contextRef"]) - 1).cast("int")).alias("context"))
 
-        return F.transform(both, fact)
+    def fact(f: Column) -> Column:
+        t = f["t"]
+        value = fact_value(t["text"], t["scale"], t["format"], t["sign"])
+        return F.struct(t["pos"].alias("pos"), qname_part(t["name"]).alias("concept"), f["context"]["year"].alias("year"), F.coalesce(f["context"]["dimensions"], no_dimensions()).alias("dimensions"), t["unitRef"].alias("unit"), value.alias("value"))
 
-    rows = docs.select("doc_id", F.inline(F.transform(F.array(contexts(F.col("html"))), facts)[0]))
-    return rows.filter("named").drop("named")
+    tags = F.filter(F.transform(F.transform("tags", cut), named), lambda t: (t["name"] != "") & (t["contextRef"] != ""))
+    return read.select("doc_id", F.inline(F.transform(F.transform(tags, placed), fact)))
 
 
 def member_suffix(dimension: Column) -> Column:

@@ -28,6 +28,11 @@ def in_order(line: Column, *order: str) -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"])
 
 
+def bound(value: Column, shown: Callable[[Column], Column]) -> Column:
+    """What shown makes of a value. The lambda also keeps a long rendering out of whole-stage code, whose single method would be too long for the JVM to compile."""
+    return F.transform(F.array(value), shown)[0]
+
+
 def field(items: str, name: str) -> Column:
     """One field of each struct of an array."""
     return F.transform(items, lambda x: x[name])
@@ -58,19 +63,20 @@ def filing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, html: an order's lines as contexts and tagged numbers; lines that share a number share a context id, and the later one holds."""
     li = load(spark, sf_dir, "lineitem")
-    n, part, day = F.col("l_linenumber"), F.col("l_partkey"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    n, part, day = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate").cast("date").cast("string")
     member = lambda axis, name: F.concat(F.lit(f'<xbrldi:explicitMember dimension="a:{axis}"> x:'), name, F.lit("Member </xbrldi:explicitMember>"))
     legal = member("LegalAxis", F.concat("l_linestatus", F.lit("Co")))
     two = F.concat(member("SegmentAxis", F.concat(F.lit("Seg-"), (part % 5).cast("string"))), member("LegalAxis", F.lit("Unit")))
     segment = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("<xbrli:segment>"), legal, F.lit("</xbrli:segment>"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("<xbrli:segment>"), two, F.lit("</xbrli:segment>"))).otherwise(F.lit(""))
     period = F.when(n % 2 == 1, F.concat(F.lit("<xbrli:instant>"), day, F.lit("</xbrli:instant>"))).otherwise(F.concat(F.lit("<xbrli:startDate>1990-01-01</xbrli:startDate><xbrli:endDate> "), day, F.lit(" </xbrli:endDate>")))
-    context = F.concat(F.lit('<xbrli:context id="c'), n.cast("string"), F.lit('"><xbrli:entity/>'), segment, F.lit("<xbrli:period>"), period, F.lit("</xbrli:period></xbrli:context>"))
+    id_ = bound(n.cast("string"), lambda k: F.concat(F.lit("c"), k))
+    context = F.concat(F.lit('<xbrli:context id="'), id_, F.lit('"><xbrli:entity/>'), segment, F.lit("<xbrli:period>"), period, F.lit("</xbrli:period></xbrli:context>"))
     quantity = F.col("l_quantity").cast("long").cast("string")
     price = F.concat(F.lit("<span>$ </span>"), F.format_number(F.floor(cents("l_extendedprice") / 100), 0), F.lit("."), F.lpad((cents("l_extendedprice") % 100).cast("string"), 2, "0"))
     kind = part % 7
     shown = F.when(kind == 0, F.lit("—")).when(kind == 1, F.lit("&#8212;")).when(kind == 2, F.concat(F.lit("("), quantity, F.lit(")"))).when(kind == 4, price).when(kind == 5, F.concat(quantity, F.lit("%"))).when(kind == 6, F.concat(F.lit("&nbsp;"), quantity)).otherwise(quantity)
     extra = F.when(kind == 1, F.lit(' format="ixt:fixed-zero"')).when(kind == 3, F.lit(' sign="-"')).otherwise(F.lit(""))
-    ref = F.when(part % 11 == 0, F.lit("nowhere")).otherwise(F.concat(F.lit("c"), n.cast("string")))
+    ref = F.when(part % 11 == 0, F.lit("nowhere")).otherwise(id_)
     tag = F.concat(F.lit('<td><ix:nonFraction name="us-gaap:Concept'), (n % 3).cast("string"), F.lit('" contextRef="'), ref, F.lit('" unitRef="usd" scale="'), (n % 3 * 3).cast("string"), F.lit('"'), extra, F.lit(">"), shown, F.lit("</ix:nonFraction></td>"))
     rows = li.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(context.alias("c"), tag.alias("t")).alias("both"))
     held = rows.groupBy("doc_id").agg(in_order(F.col("both"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("l"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyspark.operators import extraction, facts, resolution, statements
+from tallyspark.plans import filings
 from tallyspark.sources import readers
 
 STATEMENT_HTML = """
@@ -103,6 +104,27 @@ def test_inline_facts(spark):
     assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
 
 
+def test_each_pattern_of_inline_facts_stands_once_in_the_plan(spark):
+    plan = statements.inline_facts(spark.createDataFrame([(1, INLINE_HTML)], "doc_id long, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("<ix:nonFraction") == 1 and plan.count("<xbrli:context") == 1
+
+
+def test_last_attribute_and_context_count_and_odd_spellings(spark):
+    html = """<XBRLI:Context id="c"><xbrli:INSTANT>  </xbrli:instant><xbrli:enddate> 2024-12-31</xbrli:endDate></xbrli:context><xbrli:context data-id="z" id="c"><xbrli:instant>2019</xbrli:instant></xbrli:context>
+    <xbrli:context id="e"><xbrli:instant>  </xbrli:instant><xbrli:ENDDATE> 2024-12-31</xbrli:endDate></xbrli:context>
+    <IX:nonfraction name="g:Y" title="scale=" name="g:X" contextRef="c" scale="1" scale="2" x="">4&amp;</ix:nonFraction><ix:nonFraction name="g:Z" contextRef="e" sign="-" format="a:b">(7)</ix:nonFraction><ix:nonFraction name="" contextRef="c">1</ix:nonFraction>"""
+    found = statements.inline_facts(spark.createDataFrame([(1, html)], "doc_id long, html string"))
+    assert rows(found, "pos", "concept", "year", "value") == [(0, "X", 2019, None), (1, "Z", 2024, -7.0)]
+
+
+def test_long_renderings_stay_out_of_whole_stage_code(spark):
+    """In one whole-stage method they are too long for the JVM to compile."""
+    for made, mark in ((filings.inline_pages, "<ix:nonFraction"),):
+        lines = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString().splitlines()
+        shown = [line for line in lines if mark in line and "Project [" in line]
+        assert shown and any("lambdafunction" in line for line in shown)
+
+
 def test_inline_values_contexts_and_conflicts(spark):
     context = '<xbrli:context id="{}">{}<xbrli:instant>{}-01-01</xbrli:instant></xbrli:context>'
     member = '<xbrldi:explicitMember dimension="d:{}">m:{}Member</xbrldi:explicitMember>'
