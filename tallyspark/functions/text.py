@@ -106,7 +106,7 @@ def last_entries(entries: Column) -> Column:
 
     def kept(e: Column) -> Column:
         later = F.reverse(F.transform(e, lambda x: x["key"]))
-        return F.filter(e, lambda x, i: F.array_position(later, x["key"]) == F.size(e) - i)
+        return F.transform(F.array(later), lambda keys: F.filter(e, lambda x, i: F.array_position(keys, x["key"]) == F.size(e) - i))[0]
 
     return F.map_from_entries(F.transform(F.array(entries), kept)[0])
 

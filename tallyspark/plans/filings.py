@@ -180,9 +180,9 @@ def submissions_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, doc: an order's lines as an XML instance; concepts by part, in a vocabulary's namespace or a foreign one."""
     li = load(spark, sf_dir, "lineitem")
-    part, day = F.col("l_partkey"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    part, day = F.col("l_partkey"), F.col("l_shipdate").cast("date").cast("string")
     names = F.element_at(F.array(*map(F.lit, CONCEPTS)), (part % len(CONCEPTS) + 1).cast("int"))
-    id_ = F.concat(F.lit("c"), F.year("l_shipdate").cast("string"))
+    id_ = bound(F.year("l_shipdate").cast("string"), lambda y: F.concat(F.lit("c"), y))
     context = F.concat(F.lit('<context id="'), id_, F.lit('"><entity/><instant>'), day, F.lit("</instant></context>"))
     prefix = F.when(part % 13 == 0, "own").otherwise("us-gaap")
     number = F.when(part % 9 == 0, F.lit("n/a")).when(part % 4 == 0, cents("l_extendedprice").cast("string")).otherwise(F.concat(F.lit("-"), F.col("l_quantity").cast("long").cast("string")))

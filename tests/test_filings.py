@@ -119,7 +119,7 @@ def test_last_attribute_and_context_count_and_odd_spellings(spark):
 
 def test_long_renderings_stay_out_of_whole_stage_code(spark):
     """In one whole-stage method they are too long for the JVM to compile."""
-    for made, mark in ((filings.inline_pages, "<ix:nonFraction"),):
+    for made, mark in ((filings.inline_pages, "<ix:nonFraction"), (filings.instances, "decimals=")):
         lines = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString().splitlines()
         shown = [line for line in lines if mark in line and "Project [" in line]
         assert shown and any("lambdafunction" in line for line in shown)
