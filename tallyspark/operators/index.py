@@ -71,7 +71,8 @@ def search(index: Index, queries: DataFrame, top_n: int, k1: float = rules.BM25_
 
     A block's bound for a query adds, over the query's terms, what the block's largest count and shortest chunk could score.
     The blocks with the highest bounds are scored first; only blocks whose bound reaches the top_n-th score found there are
-    scored after them, so the result is exact. Bounds are read without the postings.
+    scored after them, so the result is exact. Bounds are read without the postings. Pairs of a query and a chunk of an open block are shuffled: for a few queries
+    that is little; many long ones, which leave most blocks open, are better asked by retrieval.bm25.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = asked.select("term").distinct()

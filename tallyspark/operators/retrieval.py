@@ -12,9 +12,11 @@ from tallyspark.sources.staging import kept
 
 
 #: Query terms up to which a scan is told them, so that it counts no other tokens.
-SCANNED_TERMS = 1000
+SCANNED_TERMS = 10_000
 #: Query terms up to which they are sent to every task: a few MB.
 BROADCAST_TERMS = 100_000
+#: Pairs of a query and a chunk that a task scores and sorts: up to about 500 MB.
+SCORED_PAIRS = 1 << 19
 
 
 def filtered(chunks: DataFrame, fiscal_years: list[int] | None = None, filing_types: list[str] | None = None) -> DataFrame:
@@ -54,6 +56,9 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_n: int, k1: float = rules.BM
     as often. The texts are read and cut into tokens once: a row's counts of the queries' terms and its length are worked out in the
     row and kept, and statistics and scores come from what is kept. Up to SCANNED_TERMS terms are named to the scan; with more,
     all of a row's tokens are counted and kept, and those of some query are picked out by a join.
+    Counts are dealt by chunk_id, to as many tasks as leave each at most about SCORED_PAIRS pairs. The queries' weights are sent there (up to
+    BROADCAST_TERMS of them), so pairs of a query and a chunk are made, summed and cut to the top_n of each query without a shuffle of their own.
+    Rows of equal chunk_id and length are one chunk in the counts of terms.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = asked.select("term").distinct()
@@ -64,14 +69,19 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_n: int, k1: float = rules.BM
     docs = kept(docs.select("chunk_id", "length", term_counts(F.col("wanted")).alias("counts")), "counts")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
     n, mean = corpus["n"], max(corpus["mean"], 1.0)
+    size = asked.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-n * size["queries"] // SCORED_PAIRS))
     postings = docs.select("chunk_id", "length", F.inline("counts"))
     if not few:
         postings = postings.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
-    tf = postings.groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    postings = postings.repartition(tasks, "chunk_id")
+    tf = postings.groupBy("chunk_id", "length", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = tf.join(df, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    weighed = kept(asked.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight")), "weights")
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    parts = tf.select("chunk_id", "term", part.alias("part")).join(F.broadcast(weighed) if size["terms"] <= BROADCAST_TERMS else weighed, "term")
+    scored = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 9).alias("score"))
     return top(scored.filter("score > 0"), top_n)
 
 

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 
+import duckdb
+import pytest
+from comparing import rows
 from pyspark.sql import functions as F
 
 from tallyspark.operators import index, retrieval
-from tallyspark.plans import queries, views
+from tallyspark.plans import oracles, queries, views
 from tallyspark.sources.staging import fresh_path
 
 
@@ -77,3 +81,21 @@ def test_scan_reads_the_texts_once(spark, monkeypatch):
 def test_fused_lists_need_no_index(spark, monkeypatch):
     monkeypatch.setattr(views, "kept_index", None)
     assert queries.post_filter(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("scanned_terms", [10_000, 1])
+def test_benchmark_deals_counts_and_no_pairs(spark, tmp_path, monkeypatch, scanned_terms):
+    """Over rows with repeated ids, of equal and of other lengths, and long queries that share their terms."""
+    duck = duckdb.connect()
+    duck.execute("""COPY (SELECT i % 150 AS doc_id, 'src' || i % 3 AS source, CASE WHEN i % 4 > 0 THEN 'en' END AS lang, CASE WHEN i % 11 > 0 THEN
+      list_aggregate(list_transform(range(0, 5 + i % 150 % 9 + (i // 150 % 2)), lambda k: 'w' || hash(i * 31 + k) % 60), 'string_agg', ' ') END AS text FROM range(0, 450) t(i)) TO '{0}/documents.parquet'""".format(tmp_path))
+    duck.execute("""COPY (SELECT i AS item_id, list_aggregate(list_transform(range(0, i % 25), lambda k: 'w' || hash(i + k) % 70), 'string_agg', ' ') AS text FROM range(0, 30) t(i)) TO '{0}/benchmark.parquet'""".format(tmp_path))
+    for name in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    expected = rows(duck.execute(oracles.SQL["bm25_benchmark"]).df())
+    monkeypatch.setattr(retrieval, "SCORED_PAIRS", 1000)
+    monkeypatch.setattr(retrieval, "SCANNED_TERMS", scanned_terms)
+    found = queries.bm25_benchmark(spark, str(tmp_path))
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString()))
+    assert ("chunk_id", "13") in dealt and {by for by, _ in dealt} <= {"chunk_id", "query_id", "term"}
+    assert len(expected) > 60 and rows(found.toPandas()) == expected
